@@ -77,3 +77,18 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Most bytes of keys that are sent to all executors to drop rows; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def without(docs: DataFrame, removed: DataFrame, key: dict[str, Column], row_bytes: int = 64) -> DataFrame:
+    """docs without the rows whose key (names of removed to expressions over docs) is in removed."""
+    removed = cut(removed.select(*key).distinct())
+    small = removed.count() * row_bytes <= BROADCAST_BYTES
+    marked = docs.withColumns({f"_{k}": c for k, c in key.items()})
+    side = removed.toDF(*[f"_{k}" for k in key])
+    on = [F.col(f"l._{k}").eqNullSafe(F.col(f"r._{k}")) for k in key]
+    both = marked.alias("l").join((F.broadcast(side) if small else side).alias("r"), on, "left_anti")
+    return both.select(*docs.columns)

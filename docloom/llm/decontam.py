@@ -104,11 +104,13 @@ def contamination(
     span: int = SPAN,
     k: int = K,
     literals: int = LITERALS,
+    carry: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """For every row of docs: doc_id, n_words, n_hit, n_items, items (sorted as strings), items_sha256, contaminated, spans."""
+    """For every row of docs: doc_id, the columns to carry, n_words, n_hit, n_items, items (sorted as strings), items_sha256, contaminated, spans."""
     windows = cut(benchmark_windows(benchmark, item_text, item_id, span, k))
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most `span` values
-    read = docs.select(F.col(doc_id).alias("doc_id"), words_of(text).alias("words"))
+    read = docs.select(F.col(doc_id).alias("doc_id"), *carry, words_of(text).alias("words"))
+    own = [c for c in read.columns if c != "words"]
     small = windows.select("len", "fp").distinct().limit(literals + 1).collect()
     if len(small) <= literals:
         rows = with_fingerprints(read, lengths, span, k)
@@ -118,18 +120,18 @@ def contamination(
         every = lambda n: F.transform(starts_where(n, span, k, lambda v: F.lit(True)), lambda i: least_of(F.col(f"g_{n}"), i, span - k + 1 if n == span else 1))
         prints = with_fingerprints(read, lengths, span, k).select("doc_id", F.explode(F.array_distinct(F.concat(*[every(n) for n in lengths]))).alias("fp"))
         found = prints.join(windows.select("fp").distinct(), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("own"))
-        joined = read.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("r.doc_id", "words", F.coalesce("own", F.array().cast("array<bigint>")).alias("own"))
+        joined = read.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select(*[f"r.{c}" for c in own], "words", F.coalesce("f.own", F.array().cast("array<bigint>")).alias("own"))
         rows = with_fingerprints(joined, lengths, span, k)
         tests = dict.fromkeys(lengths, lambda v: F.array_contains("own", v))
     found = [F.transform(starts_where(n, span, k, tests[n]), window_at(n)) for n in lengths]
     none = F.array().cast("array<struct<s:int,len:int,win:string>>")
-    scanned = cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("found")))
+    scanned = cut(rows.select(F.monotonically_increasing_id().alias("row"), *own, F.size("words").cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("found")))
     hits = scanned.select("row", F.inline("found")).join(windows.select("len", "win", "items"), ["len", "win"])
     per_row = hits.groupBy("row").agg(F.collect_set(F.struct("s", (F.col("s") + F.col("len")).alias("e"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    out = scanned.select("row", "doc_id", "n_words").join(per_row, "row", "left")
+    out = scanned.select("row", *own, "n_words").join(per_row, "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id",
+        *own,
         "n_words",
         F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),

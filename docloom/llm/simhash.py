@@ -158,14 +158,14 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("v", F.col("v").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) for every row of docs."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    rows = cut(fingerprints(base, "text", words, seed).select("doc_id", "fp"))
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, bits: int = BITS, seed: int = SEED, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id) and the columns to carry, for every row of docs."""
+    base = docs.select(F.col(doc_id).alias("doc_id"), *carry, text_of(text).alias("_text"))
+    rows = cut(fingerprints(base, "_text", words, seed).drop("_text"))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(distinct.select("fp"), bits))
     member = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     named = member.join(least, "root").select("fp", "least")
     every = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(every, "fp").select("doc_id", "fp", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return rows.join(every, "fp").select(*rows.columns, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
