@@ -121,8 +121,8 @@ class Templates:
                     old = found.get(key)
                     if old is None or (missing + between, name) < (old[3] + old[4], old[0]):
                         found[key] = (name, *key, missing, between)
-        rows, kept = sorted(found.values(), key=lambda r: (r[3] + r[4], r[1] - r[2], r[1], r[0])), []
-        for r in rows:  # of overlapping findings the one with fewer differences, then the longer, stays
+        rows, kept = sorted(found.values(), key=lambda r: (2 * r[3] + r[4] - len(self.words[r[0]]), r[1], r[0])), []
+        for r in rows:  # of overlapping findings the one with more words in agreement, less the differences, stays
             if all(r[2] <= k[1] or k[2] <= r[1] for k in kept):
                 kept.append(r)
         return len(blocks), sorted(kept, key=lambda r: (r[1], r[0]))
