@@ -6,19 +6,30 @@ empty lists (null fields in the information record).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .text import contained, strip, sub, text_of, visible
+from .text import contained, let, strip, sub, text_of, visible
 
 
 def every(c: Column, pattern: str, flags: str = "U", group: int = 0) -> Column:
     return F.regexp_extract_all(text_of(c), F.lit(f"(?{flags})" + pattern), F.lit(group))
 
 
+def folded(c: Column) -> Column:
+    """Lower case, with the long s as s, as patterns that ignore case have it; for cheap tests before a pattern."""
+    return F.translate(F.lower(text_of(c)), "\u017f", "s")
+
+
+def if_any(low: Column, needles: list[str], found: Column) -> Column:
+    """found, but no pattern is run on texts without any of the strings that its matches must have."""
+    return F.when(has_any(low, needles), found).otherwise(F.array().cast("array<string>"))
+
+
 def first_seen(a: Column) -> Column:
     return F.array_distinct(a)
 
@@ -61,25 +72,30 @@ def has_any(low: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
 
 
-def concepts(c: Column) -> Column:
-    low = F.lower(text_of(c))
+def concepts(low: Column) -> Column:
+    """Technical concepts of a lower-case text."""
     return named({n: has_any(low, ws) for n, ws in V.CONCEPTS.items()})
 
 
-def sections(c: Column) -> Column:
-    low = F.lower(text_of(c))
-    return named({n: low.rlike("(?iuU)" + "|".join(f"(?:{p})" for p in ps)) for n, ps in V.SECTIONS.items()})
+def literal_of(pattern: str) -> str:
+    """The longest string that every match of a section's pattern has."""
+    return max(re.split(r"\\b|\w\?|[.+]+", pattern), key=len)
+
+
+def sections(low: Column) -> Column:
+    """Sections of a lower-case text."""
+    tests = {n: [has_any(low, [literal_of(p)]) & low.rlike("(?iuU)" + p) for p in ps] for n, ps in V.SECTIONS.items()}
+    return named({n: reduce(lambda a, b: a | b, ts) for n, ts in tests.items()})
 
 
 def topics(c: Column) -> Column:
-    low = F.lower(text_of(c))
-    return named({t: F.contains(low, F.lit(t.lower())) for t in V.TOPICS})
+    """Topics in the order of their list."""
+    return let(F.lower(text_of(c)), lambda low: named({t: F.contains(low, F.lit(t.lower())) for t in V.TOPICS}))
 
 
 def marks(c: Column, pattern: str) -> Column:
     """Number of distinct ordinals of page or table marks, null if none."""
-    n = F.size(first_seen(every(c, pattern, "iuU", 1)))
-    return F.when(n > 0, n)
+    return F.nullif(F.size(first_seen(every(c, pattern, "iuU", 1))), F.lit(0))
 
 
 def pages_marked(c: Column) -> Column:
@@ -92,23 +108,31 @@ def tables_marked(c: Column) -> Column:
 
 def information(c: Column) -> Column:
     """The information record (E11): absent fields are null; the message stands only alone."""
-    t = visible(c)
-    some = lambda a: F.when(F.size(a) > 0, a)
-    fields = {
-        "technical_topics": some(concepts(t)),
-        "major_sections": some(sections(t)),
-        "important_commands": some(commands(t)),
-        "pages_processed": pages_marked(t),
-        "tables_detected": tables_marked(t),
-        "emails": some(emails(t)),
-        "phone_numbers": some(phones(t)),
-        "urls": some(urls(t)),
-        "dates": some(dates(t)),
-        "currency": some(amounts(t)),
-    }
-    nothing = reduce(lambda a, b: a & b, [v.isNull() for v in fields.values()])
-    message = F.when((text_of(c) != "") & nothing, F.lit(V.NOTHING_FOUND))
-    return F.struct(*[v.alias(k) for k, v in fields.items()], message.alias("message"))
+    some = lambda a: F.nullif(a, F.array().cast("array<string>"))
+
+    def fields(t: Column, low: Column) -> Column:
+        found = {
+            "technical_topics": some(concepts(low)),
+            "major_sections": some(sections(low)),
+            "important_commands": some(if_any(low, ["python", "pip", "git", "jupyter", "conda"], commands(t))),
+            "pages_processed": F.when(F.contains(low, F.lit("page")), pages_marked(t)),
+            "tables_detected": F.when(F.contains(low, F.lit("[table")), tables_marked(t)),
+            "emails": some(if_any(low, ["@"], emails(t))),
+            "phone_numbers": some(phones(t)),
+            "urls": some(if_any(low, ["http"], urls(t))),
+            "dates": some(dates(t)),
+            "currency": some(if_any(low, ["₹", "rs", "inr"], amounts(t))),
+        }
+        return F.struct(*[v.alias(k) for k, v in found.items()])
+
+    names = ["technical_topics", "major_sections", "important_commands", "pages_processed", "tables_detected", "emails", "phone_numbers", "urls", "dates", "currency"]
+
+    def record(r: Column) -> Column:
+        nothing = reduce(lambda a, b: a & b, [r[n].isNull() for n in names])
+        message = F.when((text_of(c) != "") & nothing, F.lit(V.NOTHING_FOUND))
+        return F.struct(*[r[n].alias(n) for n in names], message.alias("message"))
+
+    return let(let(visible(c), lambda t: let(folded(t), lambda low: fields(t, low))), record)
 
 
 def document_type(c: Column) -> Column:
@@ -130,7 +154,7 @@ def count_of(c: Column, pattern: str, flags: str = "U") -> Column:
 def quality(c: Column) -> Column:
     """Quality of selectable text, 0 to 1."""
     t = text_of(c)
-    kept = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), strip), lambda x: x != "")
+    kept = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), strip), lambda x: x != "")
     n = F.size(kept)
     suspicious = F.length(t) - F.length(F.translate(t, V.SUSPICIOUS, ""))
     short = F.size(F.filter(kept, lambda x: F.length(x) <= 2))
@@ -141,7 +165,7 @@ def quality(c: Column) -> Column:
 
 def estimated_pages(c: Column, per_page: int = 50) -> Column:
     """Pages of a plain text by its lines."""
-    ends = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+    ends = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
     n = F.size(F.split(F.regexp_replace(text_of(c), f"(?:{ends})\\z", ""), ends))
     return F.when(strip(text_of(c)) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(n / per_page))).cast("int")
 
@@ -174,7 +198,7 @@ def answer_insights(c: Column, most: int = 5) -> Column:
     """The bullet points of a model's answer."""
     t = strip(F.regexp_extract(strip(text_of(c)), r"(?isuU)KEY\s+INSIGHTS\s*:(.*)\z", 1))
     t = F.when(t.rlike(r"(?iuU)\bDOCUMENT\s*:"), strip(F.regexp_extract(t, r"(?isuU)\A(.*?)\bDOCUMENT\s*:", 1))).otherwise(t)
-    bare = lambda x: strip(sub(strip(x), r"^[\-*•\d.)\s]+", ""))
+    bare = lambda x: strip(sub(strip(x), r"^[\-*\u2022\d.)\s]+", ""))
     by_line = F.filter(F.transform(F.split(t, r"\r\n|[\n\r]"), bare), lambda x: (x != "") & ~F.upper(x).isin("SUMMARY", "KEY INSIGHTS", "DOCUMENT", "DOCUMENT TYPE"))
     by_sentence = F.filter(F.transform(F.split(t, r"(?U)(?<=[.!?])\s+"), bare), lambda x: x != "")
     return F.slice(first_seen(F.when(F.size(by_line) > 0, by_line).otherwise(by_sentence)), 1, most)

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .extract import every, has_any, named, topics
-from .text import contained, heading_key, lines, strip, sub, text_of
+from .text import contained, heading_key, let, lines, strip, sub, text_of
 
 WORD = r"\b[a-zA-Z][a-zA-Z0-9_.+-]*\b"
 
 
 def is_resume(c: Column) -> Column:
     """Two strong indicators or six of all."""
-    low = F.lower(text_of(c))
-    return (contained(low, V.CV_STRONG) >= 2) | (contained(low, V.CV_TERMS) >= 6)
+    return let(F.lower(text_of(c)), lambda low: (contained(low, V.CV_STRONG) >= 2) | (contained(low, V.CV_TERMS) >= 6))
 
 
 def is_structural(c: Column) -> Column:
@@ -71,7 +70,10 @@ def bonus(c: Column) -> Column:
 
 def purpose(c: Column) -> Column:
     """What a document is for."""
-    low = F.lower(text_of(c))
+    return let(F.lower(text_of(c)), purpose_of)
+
+
+def purpose_of(low: Column) -> Column:
     has = lambda *w: [F.contains(low, F.lit(x)) for x in w]
     python, environment, deployment, learning, science = has("python", "environment", "deployment", "machine learning", "data science")
     return F.when(python & environment & deployment & learning, V.PURPOSES["full"]).when(learning & science, V.PURPOSES["learning"]).when(python, V.PURPOSES["python"]).otherwise(V.PURPOSES["other"])
@@ -79,7 +81,10 @@ def purpose(c: Column) -> Column:
 
 def topic_sentence(c: Column, most: int = 12) -> Column:
     """One sentence on the topics covered."""
-    found = F.slice(topics(c), 1, most)
+    return let(F.slice(topics(c), 1, most), listed_topics)
+
+
+def listed_topics(found: Column) -> Column:
     n = F.size(found)
     several = F.concat(F.lit("The main technical areas covered are "), F.array_join(F.slice(found, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.get(found, n - 1), F.lit("."))
     return F.when(n == 0, "").when(n == 1, F.concat(F.lit("The main technical area covered is "), F.get(found, F.lit(0)), F.lit("."))).otherwise(several)
@@ -115,8 +120,7 @@ def resume_lines(c: Column) -> Column:
         )
         return F.flatten(F.transform(heads, each))
 
-    # bound to one name, so that the lines are marked once
-    return F.get(F.transform(F.array(headed), stretches), F.lit(0))
+    return let(headed, stretches)
 
 
 def section(rows: Column, name: str) -> Column:
@@ -161,8 +165,7 @@ def projects(rows: Column, most: int = 8) -> Column:
 
 
 def skills(c: Column) -> Column:
-    low = F.lower(text_of(c))
-    return named({n: F.contains(low, F.lit(w)) for n, w in V.SKILLS.items()})
+    return let(F.lower(text_of(c)), lambda low: named({n: F.contains(low, F.lit(w)) for n, w in V.SKILLS.items()}))
 
 
 def candidate_name(c: Column) -> Column:
@@ -189,10 +192,8 @@ def bullets(a: Column) -> Column:
 
 def resume_summary(cleaned: Column) -> Column:
     """Summary of a CV by its sections."""
-    # parts are bound by transform over one element, so that each is computed once
-    rows = resume_lines(cleaned)
-    parts = F.transform(F.array(rows), lambda r: F.struct(experience(cleaned).alias("exp"), accuracy(cleaned).alias("acc"), education(r).alias("edu"), projects(r).alias("pro"), skills(cleaned).alias("ski")))
-    return F.get(F.transform(parts, resume_blocks), F.lit(0))
+    parts = let(resume_lines(cleaned), lambda r: F.struct(experience(cleaned).alias("exp"), accuracy(cleaned).alias("acc"), education(r).alias("edu"), projects(r).alias("pro"), skills(cleaned).alias("ski")))
+    return let(parts, resume_blocks)
 
 
 def resume_blocks(p: Column) -> Column:

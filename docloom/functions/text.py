@@ -23,6 +23,11 @@ def sub(c: Column, pattern: str, by: str, flags: str = "U") -> Column:
     return F.regexp_replace(c, f"(?{flags})" + pattern, by)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, wherever f uses it; Spark does not share parts of branches and lambdas."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return sub(c, r"^\s+|\s+$", "")
 
@@ -120,8 +125,7 @@ def resume_scan(c: Column, names: dict[str, str] | None = None) -> Column:
 
 def clean_scan(c: Column, names: dict[str, str] | None = None) -> Column:
     """Cleaning of recognised text."""
-    c = plain_scan(c)
-    c = F.when(resume_like(c), resume_scan(c, names)).otherwise(c)
+    c = let(plain_scan(c), lambda x: F.when(let(F.lower(x), lambda low: contained(low, V.SCAN_CV_TERMS)) >= 3, resume_scan(x, names)).otherwise(x))
     keep = lambda x: ~x.rlike(r"(?U)^[\W_]+$") & ((F.length(x) > 2) | x.rlike("[A-Za-z0-9]"))
     return strip(join_lines(F.filter(lines(c), keep)))
 

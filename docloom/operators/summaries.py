@@ -9,15 +9,16 @@ from ..functions import summary as S
 from ..functions import vocabulary as V
 from ..functions.extract import every, topics
 from ..functions.text import for_summary, strip
+from .placement import by_document
 
 
 def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", titles: list[str] = ()) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), for_summary(F.col(text), titles).alias("cleaned"))
+    return by_document(docs, doc_id, text).select("doc_id", "text", for_summary(F.col("text"), titles).alias("cleaned"))
 
 
 def valid_sentences(docs: DataFrame, column: str = "cleaned") -> DataFrame:
-    """(doc_id, pos, sentence): sentences fit for a summary, of equal ones the first."""
-    rows = docs.select("doc_id", column).repartition("doc_id").select("doc_id", F.posexplode(S.sentences(F.col(column))).alias("at", "sentence"))
+    """docs as of prepared(). (doc_id, pos, sentence): sentences fit for a summary, of equal ones the first."""
+    rows = docs.select("doc_id", F.posexplode(S.sentences(F.col(column))).alias("at", "sentence"))
     c = F.col("sentence")
     rows = rows.where(~S.is_noise(c) & S.is_good(c) & (F.size(every(c, r"\S+")) >= 8))
     first = rows.groupBy("doc_id", F.lower(strip(c)).alias("key")).agg(F.min(F.struct("at", "sentence")).alias("s"))
@@ -61,7 +62,7 @@ def chosen_sentences(docs: DataFrame, sizes: dict[str, int], column: str = "clea
 
 def summaries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", titles: list[str] = ()) -> DataFrame:
     """(doc_id, kind, summary): the router and the four kinds of summary."""
-    rows = prepared(docs, doc_id, text, titles).withColumn("_row", F.monotonically_increasing_id())
+    rows = prepared(docs, doc_id, text, titles)
     # a prepared text is cleaned once more when sentences are chosen
     again = rows.select("doc_id", for_summary(F.col("cleaned"), titles).alias("cleaned"))
     found = chosen_sentences(again.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), {"four": 4, "five": 5})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import extract as X
 from ..functions.text import for_model, text_of, words_in
 from ..operators.keywords import keywords
+from ..operators.placement import by_document
 from ..operators.summaries import summaries
 
 ANALYSIS = "success boolean, summary string, insights array<string>, raw_response string, message string"
@@ -66,7 +67,7 @@ def analyse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """(doc_id, text, document_type, word_count, keywords, information, summary): one row per document."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     t = F.col("text")
-    per_row = own.select("doc_id", "text", X.document_type(t).alias("document_type"), words_in(t).alias("word_count"), X.information(t).alias("information"))
+    per_row = by_document(own).select("doc_id", "text", X.document_type(t).alias("document_type"), words_in(t).alias("word_count"), X.information(t).alias("information"))
     return per_row.join(keywords(own), "doc_id", "left").join(summaries(own).select("doc_id", "summary"), "doc_id", "left")
 
 

@@ -227,7 +227,9 @@ def document_types(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", X.document_type(F.col("text")).alias("kind"))
 
 
-_BROKEN = " + ".join(f"len({q_all('t', p)})" for p in V.BROKEN)
+# RE2's word boundaries are ASCII's: letters and digits beyond become 0, other characters #
+Q_ASCII = lambda x: f"regexp_replace(regexp_replace({x}, '[^\\x00-\\x7F\\pL\\pN]', '#', 'g'), '[^\\x00-\\x7F]', '0', 'g')"
+_BROKEN = " + ".join(f"len({q_all(Q_ASCII('t') if k == 0 else 't', p)})" for k, p in enumerate(V.BROKEN))
 
 
 @query(
@@ -256,7 +258,7 @@ def hard_wrap(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", F.size(X.wrapped(F.col("text"))).cast("long").alias("n_lines")).where("n_lines > 0")
 
 
-@query(f"WITH d AS (SELECT doc_id, {pick_sql(ANSWERS, 'doc_id')} AS a FROM documents) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Alpha is.' WHEN 1 THEN 'One.' WHEN 2 THEN 'Just text without marks.' WHEN 3 THEN 'Beta.' ELSE '' END AS summary, CASE doc_id % 5 WHEN 0 THEN 'Alpha;beta);graduates' WHEN 1 THEN 'a' ELSE '' END AS insights FROM d")
+@query(f"WITH d AS (SELECT doc_id, {pick_sql(ANSWERS, 'doc_id')} AS a FROM documents) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Alpha is.' WHEN 1 THEN 'One.' WHEN 2 THEN 'Just text without marks.' WHEN 3 THEN 'Beta.' ELSE '' END AS summary, CASE doc_id % 5 WHEN 0 THEN 'Alpha;(beta);graduates' WHEN 1 THEN 'a' ELSE '' END AS insights FROM d")
 def model_answers(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", pick(ANSWERS, F.col("doc_id")).alias("a"))
     return d.select("doc_id", X.answer_summary(F.col("a")).alias("summary"), F.array_join(X.answer_insights(F.col("a")), ";").alias("insights"))
@@ -265,7 +267,7 @@ def model_answers(spark, sf_dir):
 # --- keywords ---
 
 # non-ASCII letters become Z, which no lower-cased text has, so that RE2 sees the same word boundaries
-_FLAT = "regexp_replace(regexp_replace(lower(t), '[A-Z]', '0', 'g'), '[^\\x00-\\x7F]', 'Z', 'g')"
+_FLAT = "regexp_replace(regexp_replace(lower(t), '[^\\x00-\\x7F\\pL\\pN]', '#', 'g'), '[^\\x00-\\x7F]', 'Z', 'g')"
 _STOP = "(" + ", ".join(map(quoted, V.KEYWORD_STOP_WORDS)) + ")"
 _TECH = "(" + ", ".join(map(quoted, V.TECHNICAL_TERMS)) + ")"
 _TERMS = f"""{CORPUS}, l AS (SELECT doc_id, {q_all(_FLAT, r'\b[a-z][a-z0-9_.-]{2,}\b')} AS w FROM c),
@@ -322,9 +324,9 @@ _STRUCTURAL = "|".join(f"(?:{p})" for p in V.STRUCTURAL)
 _TIMES = lambda x, m: f"(length({x}) - length(translate({x}, {quoted(m)}, '')))"
 _NOISE = f"(length(x) < 35 OR regexp_matches(lower(x), {quoted(V.COMMAND_LINE)}) OR regexp_matches(lower(x), {quoted('(?i)' + _STRUCTURAL)}) OR {' OR '.join(f'starts_with(lower(x), {quoted(s)})' for s in V.NOISE_STARTS)} OR {_TIMES('x', '|')} >= 1 OR {_TIMES('x', ':')} >= 4 OR regexp_matches(x, '[{{}}]|=>|->') OR length(regexp_replace(x, '\\PL', '', 'g')) < 25)"
 _GOOD = f"(NOT {q_any('lower(x)', V.TITLE_PHRASES)} AND {_TIMES('x', ':')} < 3 AND (len({q_all('x', r'\S+')}) > 18 OR regexp_matches({_FLAT.replace('(t)', '(x)')}, {quoted(r'\b(?:' + '|'.join(V.VERBS) + r')\b')})) AND len(list_filter({q_all('regexp_replace(x, ' + quoted('[^\\x00-\\x7F]') + ', ' + quoted('0') + ', ' + quoted('g') + ')', r'\b[A-Za-z]+\b')}, lambda w: regexp_full_match(w, '[A-Z]{{3,}}'))) < 4)"
-_VALID = f"""{CORPUS}, d AS (SELECT doc_id, {CLEANED} AS s FROM c), e AS (SELECT doc_id, unnest(range(0, len(ss))) AS at, unnest(ss) AS x FROM (SELECT doc_id, {_SENTENCES} AS ss FROM d)),
-f AS (SELECT doc_id, at, x, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY at) AS again FROM e WHERE NOT {_NOISE} AND {_GOOD} AND len({q_all('x', r'\S+')}) >= 8),
-g AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS pos FROM f WHERE again = 1)"""
+_VALID = f"""{CORPUS}, d AS (SELECT doc_id, {CLEANED} AS s FROM c), e AS (SELECT doc_id, unnest(range(0, len(ss))) AS idx, unnest(ss) AS x FROM (SELECT doc_id, {_SENTENCES} AS ss FROM d)),
+f AS (SELECT doc_id, idx, x, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY idx) AS again FROM e WHERE NOT {_NOISE} AND {_GOOD} AND len({q_all('x', r'\S+')}) >= 8),
+g AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS pos FROM f WHERE again = 1)"""
 _WORDS = q_all(_FLAT.replace("(t)", "(x)"), r"\b[a-z][a-z0-9_.+-]*\b")
 
 
@@ -369,9 +371,9 @@ def document_summaries(spark, sf_dir):
 
 _HEAD = "trim(regexp_replace(regexp_replace(lower(x), '[^a-zA-Z& ]', '', 'g'), '\\s+', ' ', 'g'))"
 _HEADING = "CASE " + " ".join(f"WHEN {_HEAD} IN ({', '.join(map(quoted, ts))}) THEN {quoted(n)}" for n, ts in V.CV_HEADINGS.items()) + " END"
-_SECTIONED = f"""{CORPUS}, d AS (SELECT doc_id, {CLEANED} AS s FROM c), l AS (SELECT doc_id, unnest(range(0, len(ls))) AS at, unnest(ls) AS x FROM (SELECT doc_id, {q_lines('s')} AS ls FROM d)),
-h AS (SELECT doc_id, at, x, {_HEADING} AS h FROM l),
-sec AS (SELECT doc_id, at, x, h, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'header') AS section FROM h)"""
+_SECTIONED = f"""{CORPUS}, d AS (SELECT doc_id, {CLEANED} AS s FROM c), l AS (SELECT doc_id, unnest(range(0, len(ls))) AS idx, unnest(ls) AS x FROM (SELECT doc_id, {q_lines('s')} AS ls FROM d)),
+h AS (SELECT doc_id, idx, x, {_HEADING} AS h FROM l),
+sec AS (SELECT doc_id, idx, x, h, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'header') AS section FROM h)"""
 
 
 @query(f"WITH {_SECTIONED} SELECT doc_id, section, count(*) AS n_lines, sum(length(x)) AS n_chars FROM sec WHERE h IS NULL GROUP BY doc_id, section")
@@ -393,9 +395,9 @@ _PRO = f"section = 'projects' AND length(x) <= 140 AND NOT ({' OR '.join(f'start
 
 
 @query(
-    f"WITH {_SECTIONED}, k AS (SELECT doc_id, at, {q_sub('x', r'\s+', ' ')} AS x, {_EDU} AS edu, {_PRO} AS pro FROM sec WHERE h IS NULL), "
-    "p AS (SELECT doc_id, x, edu, pro, min(at) AS at FROM k WHERE edu OR pro GROUP BY doc_id, x, edu, pro), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, edu ORDER BY at) AS r FROM p) "
-    "SELECT doc_id, coalesce(string_agg(x, ' ; ' ORDER BY at) FILTER (WHERE edu AND r <= 6), '') AS education, coalesce(string_agg(x, ' ; ' ORDER BY at) FILTER (WHERE pro AND r <= 8), '') AS projects FROM r GROUP BY doc_id"
+    f"WITH {_SECTIONED}, k AS (SELECT doc_id, idx, {q_sub('x', r'\s+', ' ')} AS x, {_EDU} AS edu, {_PRO} AS pro FROM sec WHERE h IS NULL), "
+    "p AS (SELECT doc_id, x, edu, pro, min(idx) AS idx FROM k WHERE edu OR pro GROUP BY doc_id, x, edu, pro), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, edu ORDER BY idx) AS r FROM p) "
+    "SELECT doc_id, coalesce(string_agg(x, ' ; ' ORDER BY idx) FILTER (WHERE edu AND r <= 6), '') AS education, coalesce(string_agg(x, ' ; ' ORDER BY idx) FILTER (WHERE pro AND r <= 8), '') AS projects FROM r GROUP BY doc_id"
 )
 def resume_entries(spark, sf_dir):
     rows = with_cleaned(spark, sf_dir).select("doc_id", S.resume_lines(F.col("cleaned")).alias("l"))
@@ -468,8 +470,8 @@ def page_information(spark, sf_dir):
 
 
 @query(
-    f"WITH {CORPUS}, l AS (SELECT doc_id, unnest(range(0, len(ls))) AS at, unnest(ls) AS x FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM c)), m AS (SELECT doc_id, at, CAST(nullif(regexp_extract(x, '(?i)---\\s*Page\\s+(\\d+)\\s*---', 1), '') AS INTEGER) AS p FROM l), "
-    "w AS (SELECT doc_id, p, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS page FROM m) SELECT doc_id, page, count(*) AS n_lines FROM w WHERE p IS NULL GROUP BY doc_id, page"
+    f"WITH {CORPUS}, l AS (SELECT doc_id, unnest(range(0, len(ls))) AS idx, unnest(ls) AS x FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM c)), m AS (SELECT doc_id, idx, CAST(nullif(regexp_extract(x, '(?i)---\\s*Page\\s+(\\d+)\\s*---', 1), '') AS INTEGER) AS p FROM l), "
+    "w AS (SELECT doc_id, p, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS page FROM m) SELECT doc_id, page, count(*) AS n_lines FROM w WHERE p IS NULL GROUP BY doc_id, page"
 )
 def lines_by_page(spark, sf_dir):
     from pyspark.sql import Window
