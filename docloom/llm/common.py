@@ -13,12 +13,21 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows and bytes that a Python worker is sent at a time: a few very long texts fill a batch as well as many short ones.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if they start in another folder.
+    """Let Python workers import this package even if they start in another folder, and bound their batches.
 
     On a cluster the package is shipped with --py-files or installed; the path
-    added here then simply does not exist on the executors.
+    added here then simply does not exist on the executors. Batch sizes that
+    the session has below the bounds are left alone.
     """
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < int(now.rstrip("bB")) <= int(most):
+            spark.conf.set(key, most)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):

@@ -34,7 +34,7 @@ STATE_CONF = {
     # many small stores: do not set disk aside beforehand
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
 }
 
 
@@ -107,7 +107,7 @@ def exact_duplicates(
     differing = check_bytes(spark, rows, state.where("group_size > 1"), digest, broadcast_bytes, f"{home}/checked")
     out = feed_rows.join(state, "digest")
     if differing is not None:
-        out = out.join(differing, ["digest", "sha"], "left").withColumn("keep_id", F.coalesce("own_id", "keep_id")).withColumn("group_size", F.coalesce("own_size", "group_size"))
+        out = out.join(differing, ["digest", "sha"], "left").withColumn("keep_id", F.when(F.col("own_size").isNull(), F.col("keep_id")).otherwise(F.col("own_id"))).withColumn("group_size", F.coalesce("own_size", "group_size"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

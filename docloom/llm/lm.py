@@ -149,6 +149,8 @@ def backoff_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 keys, counts, _ = Block.of(row).asked()
+                if not len(keys):
+                    continue
                 bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                 found, starts = np.unique(bucket, return_index=True)
                 ends = [*starts[1:].tolist(), len(keys)]

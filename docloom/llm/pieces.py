@@ -44,7 +44,9 @@ ALPHA, VARIANTS, SEED = 0.1, 4, 1
 #: Longer chunks have a heap of their own.
 SHORT = 40
 #: Characters that are encoded together.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
+#: Symbols of agendas that advance together; bounds the arrays of a worker.
+CELLS = 1_000_000
 NEVER = np.int32(2**31 - 1)
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -202,7 +204,7 @@ class PieceCoder:
         count, done = np.zeros(len(which), np.int64), []
         for a, b in zip((1, 5, 9, 13, 19, 27), (5, 9, 13, 19, 27, SHORT + 1), strict=True):
             group = np.flatnonzero((size[which] >= a) & (size[which] < b))
-            for part in np.array_split(group, len(group) * b // 4_000_000 + 1):
+            for part in np.array_split(group, len(group) * b // CELLS + 1):
                 if not len(part):
                     continue
                 n, cols = size[which[part]], np.arange(b, dtype=np.int64)

@@ -117,20 +117,19 @@ class Automaton:
                     self.moves[p][c] = to
 
     def merge_states(self) -> None:
-        red, at = [0], 0
+        red = [0]
         while True:
             blue = sorted({(self.moves[p][c], p, c) for p in red for c in self.moves[p] if self.moves[p][c] not in red})
             if not blue:
                 break
             q, p, c = max(blue, key=lambda b: (self.seen[b[0]], -b[0]))
-            for r in red:
-                if self.compatible(r, q):
-                    self.moves[p][c] = r
-                    self.fold(r, q)
-                    break
+            fits = [r for r in red if self.compatible(r, q)]
+            if fits:  # rarely seen states are compatible with many: the one seen most is taken, of equals the latest
+                r = max(fits, key=lambda r: (self.seen[r], red.index(r)))
+                self.moves[p][c] = r
+                self.fold(r, q)
             else:
                 red.append(q)
-            at += 1
         self.red = red
 
     def finish(self) -> None:
@@ -150,7 +149,7 @@ class Automaton:
         return total + self.stop[s]
 
 
-#: Log probability of a character in prose: mostly lower-case letters.
+#: Log probability of a character in prose: mostly letters of one case.
 BACKGROUND = {c: math.log(0.92 / 26) for c in LOWER} | {c: math.log(0.08 / 42) for c in UPPER + DIGIT + "+/_.=-"}
 
 
@@ -171,7 +170,7 @@ def likely(x: str, models: dict[str, Automaton], margin: float) -> str | None:
         if s == -math.inf:
             continue
         if base is None:
-            base = sum(map(BACKGROUND.__getitem__, x))
+            base = max(sum(map(BACKGROUND.__getitem__, v)) for v in (x, x.swapcase()))
         if (gain := (s - base) / len(x)) > best:
             best, name = gain, kind
     return name
