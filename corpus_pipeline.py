@@ -41,8 +41,8 @@ def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of near copies, the document that names it."""
     mark = MARK(text_of())
     rows = simhash.near_duplicates(docs, carry=(mark.alias("mark"),))
-    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    removed = rows.join(first, "component_id").where(~F.struct("doc_id", "mark").eqNullSafe(F.col("first")))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    removed = rows.join(first, "root").where(~F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark").eqNullSafe(F.col("first")))
     return without(docs, removed, {"doc_id": F.col("doc_id"), "mark": mark})
 
 

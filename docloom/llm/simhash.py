@@ -159,13 +159,17 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, bits: int = BITS, seed: int = SEED, carry: tuple[Column, ...] = ()) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) and the columns to carry, for every row of docs."""
+    """(doc_id, fp, fingerprint, root, component_id) and the columns to carry, for every row of docs.
+
+    root is the group's least fingerprint (signed); it tells groups apart even where ids repeat.
+    """
     base = docs.select(F.col(doc_id).alias("doc_id"), *carry, text_of(text).alias("_text"))
     rows = cut(fingerprints(base, "_text", words, seed).drop("_text"))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(distinct.select("fp"), bits))
     member = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
-    named = member.join(least, "root").select("fp", "least")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(every, "fp").select(*rows.columns, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    named = member.join(least, "root").select("fp", "root", "least")
+    alone = F.col("root").isNull()
+    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(every, "fp").select(*rows.columns, as_hex(F.col("fp")).alias("fingerprint"), "root", "component_id")
