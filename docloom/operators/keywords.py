@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.extract import every
 from ..functions.text import lower_lines
-from .placement import by_document
+from .placement import by_document, exploded
 
 TOKEN = r"\b[a-zA-Z][a-zA-Z0-9_.-]{2,}\b"
 PHRASE_TOKEN = r"\b[a-zA-Z][a-zA-Z0-9_-]{2,}\b"
@@ -24,7 +24,7 @@ def lowered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, word): candidate keywords in order (T2 and the filters of E12)."""
-    rows = lowered(docs, doc_id, text).select("doc_id", F.posexplode(every(F.col("t"), TOKEN)).alias("pos", "w"))
+    rows = exploded(lowered(docs, doc_id, text), every(F.col("t"), TOKEN), "pos", "w")
     rows = rows.withColumn("word", F.regexp_replace("w", r"^[.,;:!?()\[\]{}<>\"'`]+|[.,;:!?()\[\]{}<>\"'`]+$", ""))
     return rows.where((F.length("word") >= 4) & ~F.col("word").isin(V.KEYWORD_STOP_WORDS)).select("doc_id", "pos", "word")
 
@@ -58,7 +58,7 @@ def phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """(doc_id, phrase, n, first_pos): neighbours of which neither is a stop word."""
     rows = lowered(docs, doc_id, text).withColumn("w", every(F.col("t"), PHRASE_TOKEN))
     pairs = F.transform(F.when(F.size("w") > 1, F.sequence(F.lit(0), F.size("w") - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))
-    two = rows.select("doc_id", F.posexplode(pairs).alias("pos", "p")).select("doc_id", "pos", "p.a", "p.b")
+    two = exploded(rows, pairs, "pos", "p").select("doc_id", "pos", "p.a", "p.b")
     two = two.where(~F.col("a").isin(V.KEYWORD_STOP_WORDS) & ~F.col("b").isin(V.KEYWORD_STOP_WORDS))
     return two.groupBy("doc_id", "a", "b").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).withColumn("phrase", F.concat_ws(" ", "a", "b"))
 
@@ -76,5 +76,5 @@ def keywords(docs: DataFrame, limit: int = 10, doc_id: str = "doc_id", text: str
     more = ranked_phrases(docs, limit, doc_id, text).select("doc_id", (F.col("rank") + limit).alias("r"), F.col("phrase").alias("k"))
     listed = terms.unionByName(more).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "k"))).alias("l"))
     listed = listed.select("doc_id", F.slice(F.array_distinct(F.transform("l", lambda x: x["k"])), 1, limit).alias("keywords"))
-    ids = by_document(docs, doc_id, text).select("doc_id").where("doc_id IS NOT NULL").distinct()
+    ids = by_document(docs, doc_id, text).select("doc_id").distinct()
     return ids.join(listed, "doc_id", "left").select("doc_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))

@@ -2,14 +2,22 @@
 
 The exchange carries nothing but id and raw text, so operators that start from
 the same documents have the same exchange, and Spark reuses it. What they
-explode, count and join by document afterwards needs no further one.
+explode, count and join by document afterwards needs no further one. Rows
+without an id are left out here, as they could not be joined; and arrays are
+exploded by the outer form and empty ones dropped afterwards, since Spark would
+else compute each array a second time in a filter below the exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def by_document(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL").repartition("doc_id")
+
+
+def exploded(rows: DataFrame, array: Column, pos: str, item: str) -> DataFrame:
+    """rows(doc_id) with one row for each element of an array."""
+    return rows.select("doc_id", F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())

@@ -9,7 +9,7 @@ from ..functions import summary as S
 from ..functions import vocabulary as V
 from ..functions.extract import every, topics
 from ..functions.text import for_summary, strip
-from .placement import by_document
+from .placement import by_document, exploded
 
 
 def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", titles: list[str] = ()) -> DataFrame:
@@ -18,7 +18,7 @@ def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", titles
 
 def valid_sentences(docs: DataFrame, column: str = "cleaned") -> DataFrame:
     """docs as of prepared(). (doc_id, pos, sentence): sentences fit for a summary, of equal ones the first."""
-    rows = docs.select("doc_id", F.posexplode(S.sentences(F.col(column))).alias("at", "sentence"))
+    rows = exploded(docs, S.sentences(F.col(column)), "at", "sentence")
     c = F.col("sentence")
     rows = rows.where(~S.is_noise(c) & S.is_good(c) & (F.size(every(c, r"\S+")) >= 8))
     first = rows.groupBy("doc_id", F.lower(strip(c)).alias("key")).agg(F.min(F.struct("at", "sentence")).alias("s"))
@@ -29,7 +29,7 @@ def valid_sentences(docs: DataFrame, column: str = "cleaned") -> DataFrame:
 def scored_sentences(docs: DataFrame, column: str = "cleaned") -> DataFrame:
     """(doc_id, pos, sentence, score): word frequencies among the valid sentences, and bonuses."""
     valid = valid_sentences(docs, column)
-    used = valid.select("doc_id", "pos", F.explode(S.words(F.col("sentence"))).alias("w")).groupBy("doc_id", "pos", "w").agg(F.count("*").alias("n"))
+    used = valid.select("doc_id", "pos", F.explode_outer(S.words(F.col("sentence"))).alias("w")).where("w IS NOT NULL").groupBy("doc_id", "pos", "w").agg(F.count("*").alias("n"))
     weighted = used.withColumn("f", F.sum("n").over(Window.partitionBy("doc_id", "w")))
     sums = weighted.groupBy("doc_id", "pos").agg(F.sum(F.col("n") * F.col("f")).alias("words"))
     c = F.col("sentence")
@@ -65,7 +65,7 @@ def summaries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", title
     rows = prepared(docs, doc_id, text, titles)
     # a prepared text is cleaned once more when sentences are chosen
     again = rows.select("doc_id", for_summary(F.col("cleaned"), titles).alias("cleaned"))
-    found = chosen_sentences(again.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), {"four": 4, "five": 5})
+    found = chosen_sentences(again.dropDuplicates(["doc_id"]), {"four": 4, "five": 5})
     c = F.col("cleaned")
     empty = F.array().cast("array<string>")
     five, four = F.coalesce("five", empty), F.coalesce("four", empty)

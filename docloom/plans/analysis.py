@@ -64,7 +64,7 @@ def model_analysis(docs: DataFrame, model: Callable[[list[str]], list[str]] | No
 
 
 def analyse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, document_type, word_count, keywords, information, summary): one row per document."""
+    """(doc_id, text, document_type, word_count, keywords, information, summary): one row per document; ids are taken to be unique."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     t = F.col("text")
     per_row = by_document(own).select("doc_id", "text", X.document_type(t).alias("document_type"), words_in(t).alias("word_count"), X.information(t).alias("information"))
