@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.extract import wrapped
+from ..functions.text import strip, text_of
+
+#: A4 report pages in points (fixed values): height, margin, space kept at the foot, line height.
+PAGE_HEIGHT, MARGIN, FOOT, LINE_HEIGHT = 841.89, 50, 20, 16
+
+
+def lines_per_page() -> int:
+    return int((PAGE_HEIGHT - MARGIN - (MARGIN + FOOT)) // LINE_HEIGHT) + 1
+
+
+def report_pages(reports: DataFrame, text: str = "report", doc_id: str = "doc_id", width: int = 95) -> DataFrame:
+    """(doc_id, page, line_no, line): a report's wrapped lines on pages (W7, S15). All lines are of one height, so a page holds a fixed number."""
+    rows = reports.select(F.col(doc_id).alias("doc_id"), F.posexplode(wrapped(F.col(text), width)).alias("line_no", "line"))
+    return rows.select("doc_id", (F.floor(F.col("line_no") / lines_per_page()) + 1).cast("int").alias("page"), "line_no", "line")
+
+
+def scale_of(width: Column, height: Column) -> Column:
+    """How much an image is enlarged before recognition."""
+    n = width.cast("long") * height
+    return F.when(n < 1_500_000, 3).when(n < 4_000_000, 2).otherwise(1)
+
+
+def better_reading(first: Column, second: Column, least: int = 30) -> Column:
+    """The first reading of a page, unless it is short and the second is longer."""
+    a, b = strip(text_of(first)), strip(text_of(second))
+    return F.when((F.length(a) < least) & (F.length(b) > F.length(a)), b).otherwise(a)
+
 
 def column_splits(boxes: DataFrame, widths: DataFrame) -> DataFrame:
     """(image_id, split): where two columns part, null if they do not.

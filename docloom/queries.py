@@ -495,6 +495,27 @@ def page_columns(spark, sf_dir):
     return layout.column_splits(b, b.select("image_id").distinct().withColumn("image_width", F.lit(1000)))
 
 
+@query(
+    f"WITH {CORPUS}, w AS (SELECT doc_id, unnest({q_lines('t')}) AS l FROM c), x AS (SELECT doc_id, sum(CAST(ceil(length(l) / 95.0) AS BIGINT)) AS n FROM w GROUP BY doc_id), "
+    "y AS (SELECT doc_id, n, unnest(range(1, CAST(ceil(n / 46.0) AS BIGINT) + 1)) AS page FROM x) SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(least(46, n - 46 * (page - 1)) AS BIGINT) AS n_lines FROM y"
+)
+def report_pagination(spark, sf_dir):
+    return layout.report_pages(corpus(spark, sf_dir), "text").groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id * 1000 * 900 < 1500000 THEN 3 WHEN doc_id * 1000 * 900 < 4000000 THEN 2 ELSE 1 END AS scale, CASE WHEN length(trim(left(coalesce(text, ''), doc_id % 50), chr(10) || ' ')) < 30 AND length(source) > length(trim(left(coalesce(text, ''), doc_id % 50), chr(10) || ' ')) THEN source ELSE trim(left(coalesce(text, ''), doc_id % 50), chr(10) || ' ') END AS reading FROM documents")
+def recognition_choices(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    short = F.substring(F.coalesce("text", F.lit("")), F.lit(1), (F.col("doc_id") % 50).cast("int"))
+    return docs.select("doc_id", layout.scale_of(F.col("doc_id") * 1000, F.lit(900)).alias("scale"), layout.better_reading(short, F.col("source")).alias("reading"))
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, coalesce(list_filter({q_lines('t')}, lambda x: contains(lower(x), 'skills') OR contains(lower(x), 'docker'))[1], '') AS line, regexp_matches(coalesce(regexp_extract(t, {quoted(V.EMAIL)}), ''), '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS address FROM c")
+def lines_and_addresses(spark, sf_dir):
+    t = F.col("text")
+    return corpus(spark, sf_dir).select("doc_id", S.line_with(t, ["skills", "docker"]).alias("line"), catalog.valid_email(F.regexp_extract(t, "(?U)" + V.EMAIL, 0)).alias("address"))
+
+
 # --- whole plans ---
 
 
