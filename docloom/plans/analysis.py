@@ -71,7 +71,7 @@ def analyse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return per_row.join(keywords(own), "doc_id", "left").join(summaries(own).select("doc_id", "summary"), "doc_id", "left")
 
 
-def report(rows: DataFrame, name: Column) -> DataFrame:
+def report(rows: DataFrame, name: Column, title: str = "DOCUMENT ANALYSIS") -> DataFrame:
     """(doc_id, report): the plain-text report of analyse() rows."""
     rule = lambda c: F.lit(c * 60)
     listed = lambda a, none: F.when(F.size(F.coalesce(a, F.array().cast("array<string>"))) > 0, F.array_join(F.transform(a, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(F.lit(none))
@@ -83,7 +83,7 @@ def report(rows: DataFrame, name: Column) -> DataFrame:
         said = F.array_join(v, ", ") if kind == "array" else v.cast("string")
         shown.append(F.when(v.isNotNull(), F.concat(F.lit(f.replace("_", " ").title() + ": "), said)))
     parts = [
-        F.lit("AI DOCUMENT ANALYZER"), rule("="), F.lit(""), F.concat(F.lit("Document: "), name), F.lit(""),
+        F.lit(title), rule("="), F.lit(""), F.concat(F.lit("Document: "), name), F.lit(""),
         F.lit("KEYWORDS"), rule("-"), listed(F.col("keywords"), "No keywords found."), F.lit(""),
         F.lit("EXTRACTED INFORMATION"), rule("-"), F.coalesce(F.nullif(F.concat_ws("\n", *shown), F.lit("")), F.lit("No structured information found.")), F.lit(""),
         F.lit("SUMMARY"), rule("-"), F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.lit("No summary available.")), F.lit(""),
