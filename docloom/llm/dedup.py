@@ -31,6 +31,8 @@ BROADCAST_BYTES = 32 << 20
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a store is closed when its task ends, so an executor holds as many as it runs tasks
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # many small stores: do not set disk aside beforehand
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",

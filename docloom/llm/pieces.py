@@ -44,9 +44,9 @@ ALPHA, VARIANTS, SEED = 0.1, 4, 1
 #: Longer chunks have a heap of their own.
 SHORT = 40
 #: Characters that are encoded together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 #: Symbols of agendas that advance together; bounds the arrays of a worker.
-CELLS = 1_000_000
+CELLS = 500_000
 NEVER = np.int32(2**31 - 1)
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
