@@ -510,7 +510,7 @@ def recognition_choices(spark, sf_dir):
     return docs.select("doc_id", layout.scale_of(F.col("doc_id") * 1000, F.lit(900)).alias("scale"), layout.better_reading(short, F.col("source")).alias("reading"))
 
 
-@query(f"WITH {CORPUS} SELECT doc_id, coalesce(list_filter({q_lines('t')}, lambda x: contains(lower(x), 'skills') OR contains(lower(x), 'docker'))[1], '') AS line, regexp_matches(coalesce(regexp_extract(t, {quoted(V.EMAIL)}), ''), '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS address FROM c")
+@query(f"WITH {CORPUS} SELECT doc_id, coalesce(list_filter({q_lines('t')}, lambda x: contains(lower(x), 'skills') OR contains(lower(x), 'docker'))[1], '') AS line, regexp_matches(coalesce(regexp_extract(t, {quoted(V.EMAIL)}), ''), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AS address FROM c")
 def lines_and_addresses(spark, sf_dir):
     t = F.col("text")
     return corpus(spark, sf_dir).select("doc_id", S.line_with(t, ["skills", "docker"]).alias("line"), catalog.valid_email(F.regexp_extract(t, "(?U)" + V.EMAIL, 0)).alias("address"))
