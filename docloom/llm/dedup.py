@@ -6,8 +6,8 @@ expired, retains for each digest the stable identifier (largest doc_id), the
 content locator (file of that row) and the number of rows. Rows of a
 micro-batch are aggregated by digest before they are shuffled, so a digest that
 a third of all rows share arrives as one row per task. A hit is a row whose
-digest has other rows; its full bytes are compared with those of the row that
-stays, and rows that turn out to differ are grouped by their whole text.
+digest has other rows; the full bytes of a digest's rows are compared, and rows
+that turn out to differ are grouped by their whole text.
 
 Cases: null counts as empty text, empty texts equal each other; texts are
 compared whole; of equal texts the row with the largest doc_id stays, and of
@@ -114,18 +114,20 @@ def exact_duplicates(
 
 
 def check_bytes(spark: SparkSession, rows: DataFrame, repeated: DataFrame, digest, broadcast_bytes: int, path: str) -> DataFrame | None:
-    """Compare every hit with the row that stays, byte by byte.
+    """Compare the full bytes of all rows of a digest.
 
-    None if all agree; else (digest, sha, own_id, own_size) for the digests that several texts share.
+    All texts are equal exactly if the least equals the greatest. Both are
+    aggregated before the shuffle, so a task sends two texts a digest at most,
+    however many rows share it. None if all agree; else (digest, sha, own_id,
+    own_size) for the digests that several texts share.
     """
     n = repeated.count()
     if not n:
         return None
     small = n * 64 <= broadcast_bytes
-    repeated = repeated.select("digest", "keep_id")
-    hits = rows.select("doc_id", "t", digest(F.col("t")).alias("digest")).join(F.broadcast(repeated) if small else repeated, "digest")
-    stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("t").alias("kept_text"))
-    wrong = hits.join(stays, "digest").where(F.col("t") != F.col("kept_text")).select("digest").distinct()
+    repeated = repeated.select("digest")
+    hits = rows.select("t", digest(F.col("t")).alias("digest")).join(F.broadcast(repeated) if small else repeated, "digest")
+    wrong = hits.groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("digest")
     wrong.write.parquet(path)
     wrong = spark.read.parquet(path)
     if not wrong.head(1):
