@@ -1,22 +1,26 @@
 """License scans by conditional compression.
 
-Method: candidate blocks are cut around words that license notices use. Each
-block is compressed alone and with every template as a raw zstandard
-dictionary; templates are ranked by how much smaller the block gets. Those
-that save anything are confirmed, best first, by the exact differences in wording: the template's words
-are aligned with the block's, and words missing from and words put between the
-aligned ones are counted.
+Method: candidate blocks are cut around words that license notices use. In a
+block, windows as wide as a template may be are passed over if they hold too
+few of its words to be confirmed, in whatever order. The others are compressed,
+as words, alone and with the template as a raw zstandard dictionary; where that
+saves bytes the template is confirmed by the exact differences in wording: its
+words are aligned with the window's, and words missing from and words put
+between the aligned ones are counted. What surrounds a window has no say.
 
 Cases: null and empty texts have no blocks; texts of any length are read whole
 (a run of cue words closer than GAP makes one block, cut every LONGEST
-characters with an overlap as long as the longest template); templates tied in
-rank are tried in order of name; repeated rows get repeated results; an empty
+characters with an overlap as long as the longest template); windows that
+overlap are aligned together, and again on both sides of what is found, and one
+by one if nothing is; repeated rows get repeated results; an empty
 table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -45,18 +49,21 @@ TEMPLATES = {
 CUE = re.compile(r"licen[sc]e|permission|redistribut|copyright|warrant|\bCC BY|public license|SPDX", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 AROUND, GAP, LONGEST = 160, 240, 4000
-LEVEL, SAVED = 3, 0.02
+LEVEL = 3
 #: A template is confirmed if this share of its words is there, and at most that many others a template word lie between.
 SHARE, BETWEEN = 0.9, 0.1
 
 
 class Templates:
     def __init__(self, texts: tuple[tuple[str, str], ...]) -> None:
-        self.words = {k: [w.lower() for w in WORD.findall(t)] for k, t in texts}
+        self.words = {k: [w.lower() for w in WORD.findall(t)] for k, t in sorted(texts)}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.least = {k: math.ceil(SHARE * len(w) - 1e-9) for k, w in self.words.items()}
+        self.width = {k: len(w) + int(BETWEEN * len(w) + 1e-9) for k, w in self.words.items()}
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self.packers = {}
-        for k, t in sorted(texts):
-            raw = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for k, w in self.words.items():
+            raw = zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.packers[k] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.overlap = max((len(t) for _, t in texts), default=0)
 
@@ -78,46 +85,79 @@ class Templates:
                 k += step
         return cut
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the share of the compressed size that they save, most first."""
-        raw = block.lower().encode("utf-8", "surrogatepass")
-        alone = len(self.alone.compress(raw))
-        return sorted(((1 - len(p.compress(raw)) / alone, k) for k, p in self.packers.items()), key=lambda r: (-r[0], r[1]))
-
-    def confirm(self, name: str, block: str) -> list[tuple[int, int, int, int]]:
-        """Occurrences (start, end, missing, between) of a template's wording in a block."""
-        want, found = self.words[name], list(WORD.finditer(block))
-        have, out, low = [m[0].lower() for m in found], [], 0
-        while want and low < len(have):
-            parts = [p for p in SequenceMatcher(None, have[low:], want, autojunk=False).get_matching_blocks() if p.size]
-            # the alignment is cut to where its words lie close together, around its longest part
-            if not parts:
-                break
-            core = max(range(len(parts)), key=lambda k: parts[k].size)
-            first = last = core
-            room = max(2, round(BETWEEN * len(want)))
-            while first > 0 and parts[first].a - (parts[first - 1].a + parts[first - 1].size) <= room:
-                first -= 1
-            while last + 1 < len(parts) and parts[last + 1].a - (parts[last].a + parts[last].size) <= room:
-                last += 1
-            same = sum(p.size for p in parts[first : last + 1])
-            a, b = low + parts[first].a, low + parts[last].a + parts[last].size
-            if same < SHARE * len(want) or b - a - same > BETWEEN * len(want):
-                break
-            out.append((found[a].start(), found[b - 1].end(), len(want) - same, b - a - same))
-            low = b
+    def saved(self, name: str, have: list[str]) -> int:
+        """Bytes that the template saves as a dictionary of these words."""
+        raw = " ".join(have).encode("utf-8", "surrogatepass")
+        return len(self.alone.compress(raw)) - len(self.packers[name].compress(raw))
+
+    def windows(self, name: str, have: list[str], low: int, high: int) -> list[tuple[int, int]]:
+        """Where have[low:high] holds enough of the template's words within its width; windows that follow one another are joined."""
+        counts, least, width, out = self.counts[name], self.least[name], self.width[name], []
+        if not least or high - low < least:
+            return out
+        inside, same = dict.fromkeys(counts, 0), 0
+        for k in range(low, high):
+            w = have[k]
+            if w in counts:
+                same += inside[w] < counts[w]
+                inside[w] += 1
+            if k - width >= low and (w := have[k - width]) in counts:
+                inside[w] -= 1
+                same -= inside[w] < counts[w]
+            if same >= least:
+                a = max(low, k - width + 1)
+                if out and a <= out[-1][0] + out[-1][2]:
+                    out[-1][1], out[-1][2] = k + 1, a - out[-1][0] + 1
+                else:
+                    out.append([a, k + 1, 1])
+        return [(a, b) for a, b, _ in out]
+
+    def aligned(self, name: str, have: list[str], low: int, high: int) -> tuple[int, int, int, int] | None:
+        """(first word, end, missing, between) of the template's wording around the longest part of it in have[low:high]."""
+        want = self.words[name]
+        parts = [p for p in SequenceMatcher(None, have[low:high], want, autojunk=False).get_matching_blocks() if p.size]
+        if not parts:
+            return None
+        # the alignment is cut to where its words lie close together, around its longest part
+        core = max(range(len(parts)), key=lambda k: parts[k].size)
+        first = last = core
+        room = max(2, round(BETWEEN * len(want)))
+        while first > 0 and parts[first].a - (parts[first - 1].a + parts[first - 1].size) <= room:
+            first -= 1
+        while last + 1 < len(parts) and parts[last + 1].a - (parts[last].a + parts[last].size) <= room:
+            last += 1
+        same = sum(p.size for p in parts[first : last + 1])
+        a, b = low + parts[first].a, low + parts[last].a + parts[last].size
+        if same < self.least[name] or b - a - same > self.width[name] - len(want):
+            return None
+        return a, b, len(want) - same, b - a - same
+
+    def confirm(self, name: str, have: list[str]) -> list[tuple[int, int, int, int]]:
+        """Occurrences (first word, end, missing, between) of a template's wording; some may overlap."""
+        distinct = self.counts[name].keys()
+        if len(distinct & set(have)) < len(distinct) - len(self.words[name]) + self.least[name]:
+            return []
+        out, todo, width = [], [(0, len(have))], self.width[name]
+        while todo:
+            for low, high in self.windows(name, have, *todo.pop()):
+                if self.saved(name, have[low:high]) <= 0:
+                    continue
+                if hit := self.aligned(name, have, low, high):
+                    out.append(hit)
+                    todo += [(low, hit[0]), (hit[1], high)]
+                elif high - low > width:
+                    out += [h for k in range(low, high - width + 1) if (h := self.aligned(name, have, k, k + width))]
         return out
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int, int, int]]]:
         """(blocks, findings): (license, start, end, missing words, words between), in code points."""
         blocks, found = self.blocks(text or ""), {}
         for a, b in blocks:
-            block = (text or "")[a:b]
-            for gain, name in self.ranked(block):
-                if gain <= SAVED:
-                    break
-                for s, e, missing, between in self.confirm(name, block):
-                    key = (a + s, a + e)
+            places = list(WORD.finditer((text or "")[a:b]))
+            have = [m[0].lower() for m in places]
+            for name in self.words:
+                for first, end, missing, between in self.confirm(name, have):
+                    key = (a + places[first].start(), a + places[end - 1].end())
                     old = found.get(key)
                     if old is None or (missing + between, name) < (old[3] + old[4], old[0]):
                         found[key] = (name, *key, missing, between)

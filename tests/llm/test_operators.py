@@ -74,6 +74,21 @@ def test_licenses_exact_altered_and_absent(spark, odd, nothing):
     assert licenses.scan_licenses(odd).count() == len(TEXTS) and licenses.scan_licenses(nothing).count() == 0
 
 
+def test_verbatim_licenses_stand_in_any_block():
+    rng, t = np.random.default_rng(5), licenses.templates(tuple(sorted(licenses.TEMPLATES.items())))
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(n))) for n in rng.integers(2, 10, 400)]
+    prose = lambda n: " ".join(w + (" license" if k % 20 == 0 else "") for k, w in enumerate(rng.choice(words, n)))
+    for name, notice in licenses.TEMPLATES.items():
+        for around in (0, 80, 250, 400):
+            text = f"{prose(around)} {notice} {prose(around)}"
+            assert [(f[0], *f[3:]) for f in t.scan(text)[1]] == [(name, 0, 0)], (name, around)
+    # the longest part is in the second copy, and a cut copy stands before the whole one
+    header = licenses.TEMPLATES["Apache-2.0-header"]
+    altered, half = header.replace("implied", "inferred").replace("permissions", "rights"), " ".join(header.split()[:40])
+    assert [f[3] for f in t.scan(f"{altered} and {header}")[1] if f[0] == "Apache-2.0-header"] == [2, 0]
+    assert [f[3] for f in t.scan(f"{half} {altered}")[1] if f[0] == "Apache-2.0-header"] == [2]
+
+
 # --- SimHash ---
 
 
