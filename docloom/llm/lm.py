@@ -1,16 +1,17 @@
 """Language-model scores: stupid backoff with counts of the whole corpus.
 
-Method: words (A-Z lower-cased, between ASCII white space) and their bigrams
-are counted over all documents in tables partitioned by a hash of the n-gram.
-The n-grams of the documents are matched with these tables, and the logarithms
-of their scores are summed per document. Counts leave out the document's own
-rows: with c the other documents' counts and N their words,
+Method: words (A-Z lower-cased, between ASCII white space) and their n-grams up
+to an order are counted over all documents in tables partitioned by a hash of
+the n-gram. The n-grams of the documents are matched with these tables, and the
+logarithms of their scores are summed per document. Counts leave out the
+document's own rows: with c the other documents' counts, N their words and v the
+words before w, as many as the order allows and the document has,
 
     S(w | v) = c(v w) / c(v)          if c(v w) > 0
-               0.4 c(w) / N           else, if c(w) > 0
-               0.4 / (N + 1)          else
+               0.4 S(w | v')          else, v' being v without its first word
 
-and the first word is scored without v and without the factor 0.4.
+    S(w)     = c(w) / N               if c(w) > 0
+               1 / (N + 1)            else
 
 N-grams travel packed. Documents are dealt into blocks of about BLOCK words,
 written once as a table in the shared folder; a block asks each hash bucket for
@@ -28,6 +29,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,9 +67,9 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
 
 
-def bigrams(hashes: np.ndarray) -> np.ndarray:
-    """Key of every two neighbours."""
-    return mixed(mixed(hashes[:-1]) + hashes[1:])
+def longer(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Keys of n-grams, and of the word after each: keys of n-grams of one word more."""
+    return mixed(mixed(keys) + hashes)
 
 
 class Block:
@@ -80,26 +82,32 @@ class Block:
     def of(cls, row) -> Block:
         return cls(np.asarray(row["sizes"], dtype=np.int64), unpack_sorted(row["vocabulary"]), unpack(row["numbers"], np.uint32).astype(np.int64))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the bigrams within documents, and where their second word stands."""
+    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n-grams of 2, 3, ... words within documents: their keys, and where their last word stands."""
         hashes = self.vocabulary[self.numbers]
-        at = np.arange(1, len(hashes))
-        inside = np.ones(len(hashes), bool)
-        ends = np.cumsum(self.sizes)
-        inside[ends[:-1][ends[:-1] < len(hashes)]] = False  # first words of documents
-        at = at[inside[1:]] if len(hashes) else at
-        return bigrams(hashes)[at - 1] if len(at) else np.zeros(0, np.uint64), at
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Sorted distinct keys (words and bigrams), their counts here, and how to get back to occurrences."""
-        keys, at = self.pairs()
-        two, back, n = np.unique(keys, return_inverse=True, return_counts=True)
-        one, m = self.vocabulary, np.bincount(self.numbers, minlength=len(self.vocabulary))
-        every = np.concatenate([one, two])
-        order = np.argsort(every, kind="stable")
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        keys, at = hashes, np.arange(len(hashes))
+        for k in range(2, order + 1):
+            more = np.flatnonzero(place >= k - 1)
+            keys = longer(keys[np.searchsorted(at, more - 1)], hashes[more])
+            at = more
+            yield keys, at
+
+    def asked(self, order: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Sorted distinct keys (words and n-grams), their counts here, and how to get back to occurrences."""
+        every, counts, ways = [self.vocabulary], [np.bincount(self.numbers, minlength=len(self.vocabulary))], []
+        for keys, at in self.grams(order):
+            distinct, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+            every.append(distinct)
+            counts.append(n)
+            ways.append((back, at))
+        ends = np.cumsum([len(x) for x in every])[:-1]
+        every, counts = np.concatenate(every), np.concatenate(counts).astype(np.uint32)
+        order_of = np.argsort(every, kind="stable")
         place = np.empty(len(every), np.int64)
-        place[order] = np.arange(len(every))
-        return every[order], np.concatenate([m, n])[order].astype(np.uint32), (place[: len(one)], place[len(one) :], back, at)
+        place[order_of] = np.arange(len(every))
+        one, *rest = np.split(place, ends)
+        return every[order_of], counts[order_of], (one, [(p, *w) for p, w in zip(rest, ways, strict=True)])
 
 
 def make_blocks(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
@@ -135,20 +143,25 @@ def make_blocks(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFram
     return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInPandas(build, schema)
 
 
-def backoff_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", backoff: float = BACKOFF, block_words: int = BLOCK, bucket_keys: int = BUCKET) -> DataFrame:
-    """(doc_id, n_words, n_bigrams_known, logprob, mean_logprob) for every row of docs."""
+def backoff_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", backoff: float = BACKOFF, block_words: int = BLOCK, bucket_keys: int = BUCKET, order: int = 2) -> DataFrame:
+    """(doc_id, n_words, n_bigrams_known, logprob, mean_logprob) for every row of docs.
+
+    order is the longest n-gram in words; beyond two, n_trigrams_known, n_4grams_known, ... follow n_bigrams_known.
+    """
+    if order < 1:
+        raise ValueError("the order is at least one word")
     spark = docs.sparkSession
     ship(spark)
     path = scratch(spark, "lm") + "/blocks"
     make_blocks(docs, text, doc_id, block_words).write.option("compression", "none").parquet(path)
     blocks = spark.read.parquet(path)
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, 2 * total / bucket_keys))))
+    bits = max(0, math.ceil(math.log2(max(1, order * total / bucket_keys))))
 
     def ask(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                keys, counts, _ = Block.of(row).asked()
+                keys, counts, _ = Block.of(row).asked(order)
                 if not len(keys):
                     continue
                 bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -167,21 +180,25 @@ def backoff_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         out = []
         for row in own.to_dict("records"):
             b = Block.of(row)
-            _, _, (ones, twos, back, at) = b.asked()
+            _, _, (ones, ways) = b.asked(order)
             parts = [unpack(t, np.uint64) for t in answers.sort_values("bucket")["totals"]]
             totals = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
-            out.append(scored(b, row["ids"], totals[ones], totals[twos], back, at, total, backoff))
+            out.append(scored(b, row["ids"], totals[ones], [(totals[p], back, at) for p, back, at in ways], total, backoff))
         return pd.concat(out)
 
     asked = blocks.select("block", "sizes", "vocabulary", "numbers").mapInPandas(ask, "bucket long, block string, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInPandas(answer, "bucket long, block string, totals binary")
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, f"doc_id {kind}, n_words long, n_bigrams_known long, logprob double")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, f"doc_id {kind}, n_words long, {''.join(f'{c} long, ' for c in known_columns(order))}logprob double")
     return out.withColumn("mean_logprob", F.when(F.col("n_words") > 0, F.col("logprob") / F.col("n_words")))
 
 
-def scored(b: Block, ids, words: np.ndarray, pairs: np.ndarray, back: np.ndarray, at: np.ndarray, total: int, backoff: float) -> pd.DataFrame:
-    """Scores of a block's documents. words, pairs: totals of its vocabulary and of its distinct bigrams."""
+def known_columns(order: int) -> list[str]:
+    return [{2: "n_bigrams_known", 3: "n_trigrams_known"}.get(k, f"n_{k}grams_known") for k in range(2, order + 1)]
+
+
+def scored(b: Block, ids, words: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], total: int, backoff: float) -> pd.DataFrame:
+    """Scores of a block's documents. words: totals of its vocabulary; grams: of n-grams of each length, which of them occurs, and where it ends."""
     n_docs, n = len(b.sizes), len(b.numbers)
     doc = np.repeat(np.arange(n_docs), b.sizes)
 
@@ -193,14 +210,15 @@ def scored(b: Block, ids, words: np.ndarray, pairs: np.ndarray, back: np.ndarray
     c = others(b.numbers, words, np.arange(n))
     rest = (total - b.sizes)[doc].astype(np.float64)
     logs = np.where(c > 0, np.log(np.maximum(c, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1))
-    first = np.ones(n, bool)
-    first[at] = False
-    logs[~first] += np.log(backoff)
-    known = np.zeros(n, bool)
-    if len(at):
-        two = others(back, pairs, at)
-        seen = two > 0
-        logs[at[seen]] = np.log(two[seen]) - np.log(c[at[seen] - 1])
-        known[at[seen]] = True
     sums = lambda v: np.bincount(doc, weights=v, minlength=n_docs)
-    return pd.DataFrame({"doc_id": list(ids), "n_words": b.sizes, "n_bigrams_known": sums(known).astype(np.int64), "logprob": sums(logs)})
+    known = []
+    for totals, back, at in grams:
+        logs[at] += np.log(backoff)
+        count = np.zeros(n)
+        if len(at):
+            count[at] = others(back, totals, at)
+        seen = np.flatnonzero(count > 0)
+        logs[seen] = np.log(count[seen]) - np.log(c[seen - 1])
+        known.append(sums(count > 0).astype(np.int64))
+        c = count
+    return pd.DataFrame({"doc_id": list(ids), "n_words": b.sizes, **dict(zip(known_columns(len(known) + 1), known, strict=True)), "logprob": sums(logs)})

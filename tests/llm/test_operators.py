@@ -335,6 +335,32 @@ def test_backoff_scores(spark, odd, nothing, block, bucket):
     assert lm.backoff_scores(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("order", "block"), [(1, 50), (3, 1_000_000), (3, 20), (4, 20)])
+def test_backoff_scores_of_any_order(spark, nothing, order, block):
+    rng = np.random.default_rng(8)
+    docs = [(100 + k, " ".join(rng.choice(["a", "b", "cé", "d"], int(n)))) for k, n in enumerate(rng.integers(0, 20, 30))] + TEXTS
+    grams = lambda w, k: list(zip(*(w[i:] for i in range(k)), strict=False))
+    texts = [(t or "").encode().lower().split() for _, t in docs]
+    every = Counter(g for w in texts for k in range(1, order + 1) for g in grams(w, k))
+    want = Counter()
+    for (i, _), w in zip(docs, texts, strict=True):
+        own, rest, total, known = Counter(g for k in range(1, order + 1) for g in grams(w, k)), sum(map(len, texts)) - len(w), 0.0, [0] * (order - 1)
+        c = lambda g: every[g] - own[g]  # noqa: B023, E731
+        for p in range(len(w)):
+            most = min(order, p + 1)
+            held = [k for k in range(2, most + 1) if c(tuple(w[p - k + 1 : p + 1])) > 0]
+            for k in held:
+                known[k - 2] += 1
+            k = max(held, default=1)
+            g = tuple(w[p - k + 1 : p + 1])
+            total += (most - k) * log(0.4) + (log(c(g) / c(g[:-1])) if k > 1 else log(c(g) / rest) if c(g) > 0 else -log(rest + 1))
+        want[i, len(w), *known, round(total, 6)] += 1
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = lm.backoff_scores(d, block_words=block, bucket_keys=10 * block, order=order).collect()
+    assert Counter((*r[:-2], round(r.logprob, 6)) for r in got) == want
+    assert lm.backoff_scores(nothing, order=order).count() == 0
+
+
 # --- secrets ---
 
 
