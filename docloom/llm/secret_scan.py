@@ -3,10 +3,14 @@
 Base spans come from three patterns (assign, access, hex). The method adds
 spans: labelled credentials of a format form a prefix tree, whose states are
 merged where their outgoing frequencies are statistically compatible
-(Hoeffding bound, red-blue order), which leaves a probabilistic automaton. All
-runs of credential characters are candidates; one is reported if the best
-automaton gives it a likelihood that exceeds that of a background model of
-prose by MARGIN nats a character, and base spans do not cover it.
+(Hoeffding bound, red-blue order), which leaves a probabilistic automaton.
+Candidates are all runs of credential characters, and in each run what an
+automaton accepts from its start, from behind a separator (+/_.=-) or from one
+of the format's heads, up to the last accepting end at a separator, at the end
+of the run or where the automaton cannot go on (formats of one length: at that
+length). A candidate counts if the automaton gives it a likelihood that exceeds
+that of a background model of prose by MARGIN nats a character; of overlapping
+ones the one with the largest excess is reported, if base spans do not cover it.
 
 Labelled credentials are either given (format, text) or drawn, with a fixed
 seed, from the public formats in FORMATS.
@@ -23,6 +27,7 @@ import math
 import random
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -36,19 +41,24 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 CANDIDATE = 16
+#: Characters by which the literal heads of a format are found.
+HEAD = 3
 MARGIN = 0.25
 LOWER, UPPER, DIGIT, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 BASE64 = UPPER + LOWER + DIGIT
-#: Public credential formats (fixed values): name, literal prefixes, characters, shortest and longest rest.
+#: Public credential formats (fixed values): name, and for each part literal heads, characters, shortest and longest rest.
 FORMATS = [
-    ("hexupper", ("",), DIGIT + "ABCDEF", 32, 64),
-    ("github", ("ghp_", "gho_", "ghs_"), BASE64, 36, 36),
-    ("stripe", ("sk_live_", "rk_live_", "sk_test_"), BASE64, 24, 32),
-    ("slack", ("xoxb-", "xoxp-"), DIGIT + BASE64 + "-", 30, 50),
-    ("google", ("AIza",), BASE64 + "_-", 35, 35),
-    ("jwt", ("eyJ",), BASE64 + "_-", 40, 120),
-    ("random", ("",), BASE64, 24, 64),
+    ("hexupper", [(("",), DIGIT + "ABCDEF", 32, 64)]),
+    ("github", [(("ghp_", "gho_", "ghs_"), BASE64, 36, 36)]),
+    ("stripe", [(("sk_live_", "rk_live_", "sk_test_"), BASE64, 24, 32)]),
+    ("slack", [(("xoxb-", "xoxp-"), DIGIT + BASE64 + "-", 30, 50)]),
+    ("google", [(("AIza",), BASE64 + "_-", 35, 35)]),
+    ("jwt", [(("eyJ",), BASE64 + "_-", 40, 120)]),
+    ("random", [(("",), BASE64, 24, 64)]),
+    ("base64", [(("",), BASE64 + "+/", 24, 88)]),
+    ("jwt", [(("eyJ",), BASE64 + "_-", 17, 60), ((".eyJ",), BASE64 + "_-", 17, 120), ((".",), BASE64 + "_-", 43, 86)]),
 ]
+SEPARATORS = frozenset("+/_.=-")
 _CANDIDATE = np.zeros(256, bool)
 _CANDIDATE[list((BASE64 + "+/_.=-").encode())] = True
 _HEX = np.zeros(256, bool)
@@ -58,7 +68,8 @@ _HEX[list(HEX.encode())] = True
 def drawn_credentials(each: int = 150, seed: int = 7) -> list[tuple[str, str]]:
     """(format, text) examples of FORMATS."""
     rng = random.Random(seed)
-    return [(name, rng.choice(heads) + "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))) for name, heads, chars, a, b in FORMATS for _ in range(each)]
+    part = lambda heads, chars, a, b: rng.choice(heads) + "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
+    return [(name, "".join(part(*p) for p in parts)) for name, parts in FORMATS for _ in range(each)]
 
 
 class Automaton:
@@ -81,6 +92,9 @@ class Automaton:
                 s = self.moves[s][c]
                 self.seen[s] += 1
             self.ends[s] += 1
+        self.shortest, self.longest = min(map(len, examples)), max(map(len, examples))
+        heads = {x[:HEAD] for x in examples}  # few of them: the format has literal ones
+        self.heads = re.compile("(?=" + "|".join(map(re.escape, sorted(heads))) + ")") if len(heads) * 20 <= len(examples) else None
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.merge_states()
         self.finish()
@@ -136,6 +150,7 @@ class Automaton:
         """Log probabilities, with moves not seen left impossible."""
         name = {s: k for k, s in enumerate(self.red)}
         self.table = [{c: (name[to], math.log(self.count[s][c] / self.seen[s])) for c, to in self.moves[s].items()} for s in self.red]
+        self.accepts = [self.ends[s] > 0 for s in self.red]
         self.stop = [math.log((self.ends[s] + 0.5) / (self.seen[s] + 1)) for s in self.red]
 
     def score(self, x: str) -> float:
@@ -148,6 +163,36 @@ class Automaton:
             s, total = m[0], total + m[1]
         return total + self.stop[s]
 
+    def last_end(self, x: str, start: int, passed: dict, most: int | None) -> tuple[int, float, int] | None:
+        """(end, log likelihood so far, state) at the last accepting end from start, or at `most` characters.
+
+        passed: states at places of x that earlier starts came through, from where the way is known.
+        """
+        s, i, total, table, n, best, trail = 0, start, 0.0, self.table, len(x), None, []
+        if most is not None:
+            for i in range(start, start + most):
+                if i >= n or (m := table[s].get(x[i])) is None:
+                    return None
+                s, total = m[0], total + m[1]
+            return (start + most, total, s) if self.accepts[s] else None
+        while True:
+            m = table[s].get(x[i]) if i < n else None
+            if self.accepts[s] and (m is None or x[i] in SEPARATORS):
+                best = (i, total, s)
+            if m is None:
+                break
+            if i > start and (i % 64 == 0 or x[i - 1] in SEPARATORS):
+                if (s, i) in passed:
+                    known, before = passed[s, i]
+                    if known and known[0] > i:
+                        best = (known[0], total + known[1] - before, known[2])
+                    break
+                trail.append((s, i, total))
+            s, i, total = m[0], i + 1, total + m[1]
+        for state, place, before in trail:
+            passed[state, place] = (best, before)
+        return best
+
 
 #: Log probability of a character in prose: mostly letters of one case.
 BACKGROUND = {c: math.log(0.92 / 26) for c in LOWER} | {c: math.log(0.08 / 42) for c in UPPER + DIGIT + "+/_.=-"}
@@ -176,6 +221,33 @@ def likely(x: str, models: dict[str, Automaton], margin: float) -> str | None:
     return name
 
 
+def credentials(x: str, models: dict[str, Automaton], margin: float) -> list[tuple[int, int, str]]:
+    """(start, end, format) of what the automata explain better than prose in a run, without overlaps."""
+    behind = [k for k in range(1, len(x)) if x[k - 1] in SEPARATORS]
+    prose: list[list[float]] = []
+
+    def excess(a: int, b: int, score: float) -> float:
+        if not prose:
+            prose.extend(list(accumulate(map(BACKGROUND.__getitem__, v), initial=0.0)) for v in (x, x.swapcase()))
+        return score - max(p[b] - p[a] for p in prose)
+
+    found = []
+    for kind, m in models.items():
+        if (score := m.score(x)) > -math.inf:
+            found.append((excess(0, len(x), score), 0, len(x), kind))
+        starts, passed = [0, *behind] if m.heads is None else [h.start() for h in m.heads.finditer(x)], {}
+        for a in starts:
+            end = m.last_end(x, a, passed, m.longest if m.shortest == m.longest else None) if len(x) - a >= m.shortest else None
+            if end and end[0] - a >= m.shortest:
+                found.append((excess(a, end[0], end[1] + m.stop[end[2]]), a, end[0], kind))
+    taken, out = bytearray(len(x)), []
+    for gain, a, b, kind in sorted(found, key=lambda f: (-f[0], f[1], f[3])):
+        if gain > margin * (b - a) and taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
+            out.append((a, b, kind))
+    return sorted(out)
+
+
 def runs(b: np.ndarray, member: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of member bytes of at least this length."""
     edge = np.flatnonzero(np.diff(member[b].view(np.int8), prepend=0, append=0))
@@ -207,11 +279,10 @@ def spans_of(text: str | None, models: dict[str, Automaton], margin: float = MAR
         core = x.strip("./=-+")  # punctuation around it is not part of it
         if len(core) < CANDIDATE:
             continue
-        kind = likely(core, models, margin)
-        if kind:
-            start = int(point(s)) + x.index(core)
-            if not any(p <= start and start + len(core) <= q for p, q, _ in base):
-                added.append((start, start + len(core), kind))
+        first = int(point(s)) + x.index(core)
+        for start, end, kind in credentials(core, models, margin):
+            if not any(p <= first + start and first + end <= q for p, q, _ in base):
+                added.append((first + start, first + end, kind))
     return base, added
 
 

@@ -388,3 +388,25 @@ def test_automata_accept_their_format_and_no_other():
     assert np.mean([n is not None for _, n in named]) > 0.9
     for w in ("thereintionanderstanding", "unterschiedlichkeitungen", "internationalization" * 2, "aaaaaaaaaaaaaaaaaaaaaaaa"):
         assert secret_scan.likely(w, models, secret_scan.MARGIN) is None
+
+
+def test_credentials_inside_runs():
+    rng, models = np.random.default_rng(4), secret_scan.automata()
+    some = lambda chars, n: "".join(rng.choice(list(chars), n))
+    b64, url, std = secret_scan.BASE64, secret_scan.BASE64 + "_-", secret_scan.BASE64 + "+/"
+    made = [
+        ("GH_PAT=", "ghp_" + some(b64, 36)),
+        ("STRIPE=", "sk_live_" + some(b64, 24)),
+        ("AWS_KEY=", "AIza" + some(url[:-2], 35)),
+        ("//host/", "xoxb-" + some("0123456789", 12) + "-" + some(b64, 24)),
+        ("", f"eyJ{some(b64, 33)}.eyJ{some(b64, 70)}.{some(b64, 43)}"),
+        ("aws_secret_access_key=", some(b64, 19) + "/" + some(std, 19) + "Z"),
+    ]
+    for before, key in made:
+        for after in ("", ".", " and more"):
+            _, added = secret_scan.spans_of(f"é {before}{key}{after}", models)
+            start = 2 + len(before)
+            assert [x[:2] for x in added] == [(start, start + len(key))], (before, key)
+    glued, key = "thisisordinarytext", "AIza" + some(b64, 35)  # the format's length ends it
+    assert secret_scan.spans_of(f"{key}{glued}", models)[1] == [(0, len(key), "google")]
+    assert secret_scan.spans_of("a-well-known/and_quite.ordinary=run/of-words " + "a/a" * 5000, models) == ([], [])
