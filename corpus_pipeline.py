@@ -17,6 +17,8 @@ from docloom.llm import decontam, dedup, pieces, quality, simhash
 from docloom.llm.common import scratch, table, text_of, without
 from docloom.llm.queries import vocabulary
 
+#: Near copies have this Jaccard similarity of their five-word shingles at least, or fingerprints within two bits.
+SHARE = 0.8
 #: The text of a row, as a key.
 MARK = F.xxhash64
 
@@ -40,7 +42,7 @@ def keep_one_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document that names it."""
     mark = MARK(text_of())
-    rows = simhash.near_duplicates(docs, carry=(mark.alias("mark"),))
+    rows = simhash.near_duplicates(docs, carry=(mark.alias("mark"),), share=SHARE)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
     removed = rows.join(first, "root").where(~F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark").eqNullSafe(F.col("first")))
     return without(docs, removed, {"doc_id": F.col("doc_id"), "mark": mark})

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship, text_of
+from .similar import alike
 
 SEED = 42
 BITS = 2
@@ -158,15 +159,25 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("v", F.col("v").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, bits: int = BITS, seed: int = SEED, carry: tuple[Column, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, bits: int = BITS, seed: int = SEED, carry: tuple[Column, ...] = (), share: float | None = None) -> DataFrame:
     """(doc_id, fp, fingerprint, root, component_id) and the columns to carry, for every row of docs.
 
     root is the group's least fingerprint (signed); it tells groups apart even where ids repeat.
+    With share, texts whose five-word shingles have that Jaccard similarity are linked too.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), *carry, text_of(text).alias("_text"))
-    rows = cut(fingerprints(base, "_text", words, seed).drop("_text"))
+    key = F.xxhash64(text_of(text))
+    base = docs.select(F.col(doc_id).alias("doc_id"), *carry, text_of(text).alias("_text"), *([key.alias("_key")] if share is not None else []))
+    kept = cut(fingerprints(base, "_text", words, seed).drop("_text"))
+    rows = kept.drop("_key")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(distinct.select("fp"), bits))
+    edges = links(distinct.select("fp"), bits)
+    if share is not None:
+        # texts of one fingerprint are one group, so edges between texts are edges between fingerprints
+        texts = kept.select(F.col("_key").alias("key"), "fp").distinct()
+        pairs = alike(base.select(F.col("_key").alias("key"), "_text"), share)
+        both = pairs.join(texts.select(F.col("key").alias("u"), F.col("fp").alias("p")), "u").join(texts.select(F.col("key").alias("v"), F.col("fp").alias("q")), "v")
+        edges = edges.union(both.where("p <> q").select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")))
+    found = components(edges)
     member = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     named = member.join(least, "root").select("fp", "root", "least")

@@ -69,3 +69,40 @@ def test_stages_keep_columns_and_take_empty_tables(spark, corpus):
         out = stage(spark, docs.where("false"), home)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), home).count() == 0
+
+
+def test_near_copies_beyond_two_bits_are_one_group(spark):
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rt", "l")]
+    line = " ".join(rng.choice(words, 12))
+    docs = []
+    for k in range(60):
+        w = list(rng.choice(words, int(rng.integers(3, 90))))
+        docs += [w, w[:30] + line.split() + w[30:]]
+        for n in (1, 2, 3):
+            other = list(w)
+            for at in rng.integers(0, len(w), n):
+                other[at] = f"x{k}"
+            docs.append(other)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in docs]
+    prints = [plain_fingerprint(" ".join(w)) for w in docs]
+    root = list(range(len(docs)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            near = len(a & b) >= 0.8 * len(a | b)
+            bits = (prints[i] ^ prints[j]).bit_count()
+            far += near and bits > 2
+            if near or bits <= 2:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert far > 20
+    table = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_one_near(spark, table, "").collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(len(docs)) if find(i) == i]
