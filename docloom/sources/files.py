@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.extract import estimated_pages
+from ..functions.extract import estimated_pages, quality
 from ..functions.text import clean_extracted
 
 
@@ -93,7 +93,8 @@ def docx_pages(content: bytes) -> tuple[int | None, bool, str]:
 
 
 PARSED = "text string, pages int, exact boolean, label string, error string"
-Engine = Callable[[bytes], list[str]]
+#: An engine gives texts; a PDF engine may give pages as (text, page width, [(x0, x1, text) of blocks], rendered image) instead.
+Engine = Callable[[bytes], list]
 
 
 def parse(kind: str, content: bytes, pdf: Engine | None, ocr: Engine | None) -> tuple:
@@ -104,7 +105,7 @@ def parse(kind: str, content: bytes, pdf: Engine | None, ocr: Engine | None) ->
         engine = {"pdf": pdf}.get(kind, ocr if kind in ("jpg", "jpeg", "png") else None)
         if engine is None:
             return None, None, False, "Page count unavailable", f"no engine for .{kind}"
-        parts = engine(content)
+        parts = [x if isinstance(x, str) else x[0] or "" for x in engine(content)]
         if kind == "pdf":
             marked = [f"--- Page {n} ---\n{t.strip() or '[No text detected on this page]'}" for n, t in enumerate(parts, 1)]
             return "\n".join(marked), len(parts), True, "Actual PDF pages", None
@@ -113,6 +114,52 @@ def parse(kind: str, content: bytes, pdf: Engine | None, ocr: Engine | None) ->
         return None, None, False, "Page count unavailable", f"{type(e).__name__}: {e}"
 
 
+def two_columns(width: float, blocks: list[tuple[float, float, str]]) -> bool:
+    """If text blocks stand on both sides of a page."""
+    middle = [(a + b) / 2 for a, b, t in blocks if (t or "").strip()]
+    return len(middle) >= 4 and sum(x < width * 0.46 for x in middle) >= 2 and sum(x > width * 0.54 for x in middle) >= 2
+
+
+def recognised_pdfs(rows: DataFrame, pdf: Engine, ocr: Engine) -> DataFrame:
+    """(path, p) of PDF files, p as PARSED: empty, poor and two-column pages are recognised, else their own text stands."""
+
+    @F.pandas_udf("pages array<struct<text:string,two:boolean,image:binary>>, error string")
+    def read(contents: pd.Series) -> pd.DataFrame:
+        out = []
+        for c in contents:
+            try:
+                pages = [(x, 0.0, [], None) if isinstance(x, str) else x for x in pdf(c)]
+                out.append(([{"text": t or "", "two": two_columns(w, b), "image": i} for t, w, b, i in pages], None))
+            except Exception as e:  # noqa: BLE001  as in parse
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["pages", "error"])
+
+    @F.pandas_udf("text string, failed boolean")
+    def seen(images: pd.Series) -> pd.DataFrame:
+        out = []
+        for i in images:
+            try:
+                out.append((None if i is None else "\n".join(ocr(i)), False))
+            except Exception:  # noqa: BLE001  the page falls back to its own text
+                out.append((None, True))
+        return pd.DataFrame(out, columns=["text", "failed"])
+
+    own, found = F.col("own"), F.col("found")
+    each = rows.select("path", read("content").alias("r")).select("path", F.col("r.error").alias("error"), F.posexplode_outer("r.pages").alias("k", "page"))
+    each = each.withColumn("own", clean_extracted(F.coalesce("page.text", F.lit(""))))
+    each = each.withColumn("o", seen(F.when((own == "") | (quality(own) < 0.72) | F.col("page.two"), F.col("page.image"))))
+    each = each.withColumn("found", clean_extracted(F.coalesce("o.text", F.lit(""))))
+    body = F.when(found != "", found).when(own != "", own).when(F.col("o.failed"), "[OCR failed - no text could be extracted]").otherwise("[No text detected on this page]")
+    marked = F.concat(F.lit("--- Page "), F.col("k") + 1, F.lit(" ---\n"), body)
+    whole = each.groupBy("path").agg(F.sort_array(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", marked.alias("t"))))).alias("pages"), F.first("error").alias("error"))
+    good = F.col("error").isNull()
+    p = F.struct(
+        F.when(good, F.array_join(F.col("pages.t"), "\n")).alias("text"), F.when(good, F.size("pages")).alias("pages"), good.alias("exact"),
+        F.when(good, "Actual PDF pages").otherwise("Page count unavailable").alias("label"), F.col("error").alias("error"),
+    )
+    return whole.select("path", p.alias("p"))
+
+
 def documents(files: DataFrame, pdf: Engine | None = None, ocr: Engine | None = None) -> DataFrame:
     """Files of scan() as documents: path, name, extension, text, page_info, error.
 
@@ -126,7 +173,13 @@ def documents(files: DataFrame, pdf: Engine | None = None, ocr: Engine | None =
     info = lambda n, exact, label: F.struct(n.cast("int").alias("count"), exact.alias("exact"), label.alias("label"))
     raw = utf8(F.col("content"))
     plain = files.where("extension = 'txt'").select("path", "name", "extension", clean_extracted(raw).alias("text"), info(estimated_pages(raw), F.lit(False), F.lit("Estimated text pages")).alias("page_info"), F.lit(None).cast("string").alias("error"))
-    boxed = files.where(F.col("extension").isin("docx", "pdf", "jpg", "jpeg", "png")).withColumn("p", parsed("extension", "content"))
+    boxed = files.where(F.col("extension").isin("docx", "pdf", "jpg", "jpeg", "png"))
+    if pdf and ocr:
+        pdfs = boxed.where("extension = 'pdf'")
+        rest = boxed.where("extension <> 'pdf'").withColumn("p", parsed("extension", "content")).select("path", "name", "extension", "p")
+        boxed = rest.unionByName(pdfs.select("path", "name", "extension").join(recognised_pdfs(pdfs, pdf, ocr), "path"))
+    else:
+        boxed = boxed.withColumn("p", parsed("extension", "content"))
     boxed = boxed.select("path", "name", "extension", clean_extracted(F.col("p.text")).alias("text"), info(F.col("p.pages"), F.col("p.exact"), F.col("p.label")).alias("page_info"), "p.error")
     other = files.where(~F.col("extension").isin(V.EXTENSIONS)).select("path", "name", "extension", F.lit(None).cast("string").alias("text"), info(F.lit(None), F.lit(False), F.lit("Page count unavailable")).alias("page_info"), F.concat(F.lit("unsupported file type ."), "extension").alias("error"))
     return plain.unionByName(boxed).unionByName(other)

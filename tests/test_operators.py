@@ -109,6 +109,25 @@ def test_files_become_documents(spark, tmp_path):
     assert "no engine" in got["f.png"].error and "unsupported" in got["g.exe"].error
 
 
+def test_pdf_pages_are_recognised_where_their_text_is_poor(spark, tmp_path):
+    for name in ("a.pdf", "b.pdf"):
+        (tmp_path / name).write_bytes(name.encode())
+    fine = "A plain sentence of selectable text stands here."
+    left, right = (10, 90, "l"), (110, 190, "r")
+    pages = [(fine, 200, [left] * 4, b"never"), ("", 200, [], b"scan"), (fine, 200, [left, left, right, right], b"columns"), (fine, 200, [left, left, right, right], b"fail"), ("", 200, [], b"fail"), ("", 200, [], b"blank"), fine]
+
+    def pdf(content):
+        return pages if content == b"a.pdf" else 1 / 0
+
+    def ocr(image):
+        return {b"scan": ["seen text"], b"columns": ["left", "right"], b"blank": [" "]}[image]
+
+    got = {r.name: r for r in files.documents(files.scan(spark, str(tmp_path)), pdf=pdf, ocr=ocr).collect()}
+    want = [fine, "seen text", "left\nright", fine, "[OCR failed - no text could be extracted]", "[No text detected on this page]", fine]
+    assert got["a.pdf"].text == "\n".join(f"--- Page {k} ---\n{t}" for k, t in enumerate(want, 1))
+    assert tuple(got["a.pdf"].page_info) == (7, True, "Actual PDF pages") and "ZeroDivisionError" in got["b.pdf"].error
+
+
 def test_model_step(spark):
     docs = frame(spark, "Alpha is here. Beta follows. Gamma ends.", None)
     ok = {r.doc_id: r.ai for r in analysis.model_analysis(docs).collect()}
