@@ -30,6 +30,11 @@ def if_any(low: Column, needles: list[str], found: Column) -> Column:
     return F.when(has_any(low, needles), found).otherwise(F.array().cast("array<string>"))
 
 
+def if_like(c: Column, part: str, found: Column) -> Column:
+    """found, but only where the text has a part that every match has; that pattern starts at rare characters and has no boundaries."""
+    return F.when(c.rlike(part), found).otherwise(F.array().cast("array<string>"))
+
+
 def first_seen(a: Column) -> Column:
     return F.array_distinct(a)
 
@@ -118,9 +123,9 @@ def information(c: Column) -> Column:
             "pages_processed": F.when(F.contains(low, F.lit("page")), pages_marked(t)),
             "tables_detected": F.when(F.contains(low, F.lit("[table")), tables_marked(t)),
             "emails": some(if_any(low, ["@"], emails(t))),
-            "phone_numbers": some(phones(t)),
+            "phone_numbers": some(if_like(t, r"[6-9]\p{Nd}{9}", phones(t))),
             "urls": some(if_any(low, ["http"], urls(t))),
-            "dates": some(dates(t)),
+            "dates": some(if_like(t, r"[./-]\p{Nd}{1,2}[./-]\p{Nd}", dates(t))),
             "currency": some(if_any(low, ["₹", "rs", "inr"], amounts(t))),
         }
         return F.struct(*[v.alias(k) for k, v in found.items()])
@@ -158,7 +163,9 @@ def quality(c: Column) -> Column:
     n = F.size(kept)
     suspicious = F.length(t) - F.length(F.translate(t, V.SUSPICIOUS, ""))
     short = F.size(F.filter(kept, lambda x: F.length(x) <= 2))
-    broken = sum((count_of(t, p) for p in V.BROKEN[1:]), count_of(t, V.BROKEN[0]))
+    # the marks that a match must have are looked for first
+    with_mark = lambda marks, p: F.when(has_any(t, marks), count_of(t, p)).otherwise(0)
+    broken = count_of(t, V.BROKEN[0]) + with_mark(["»", ">"], V.BROKEN[1]) + with_mark(["@"], V.BROKEN[2])
     score = F.lit(1.0) - suspicious / F.length(t) * 2.5 - short / n * 0.8 - F.least(broken / n, F.lit(1.0)) * 0.8
     return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(F.lit(0.0))
 

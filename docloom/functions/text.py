@@ -29,7 +29,13 @@ def let(value: Column, f) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return sub(c, r"^\s+|\s+$", "")
+    """Without white space (as Unicode has it) at both ends; trimming stops at the first other character, a pattern would not."""
+    return F.btrim(c, F.lit(V.WHITE_SPACE))
+
+
+def if_holds(c: Column, needle: str, f) -> Column:
+    """f(text), run on texts alone that contain a string which it needs to change anything."""
+    return let(c, lambda x: F.when(F.contains(x, F.lit(needle)), f(x)).otherwise(x))
 
 
 def unix_lines(c: Column) -> Column:
@@ -75,11 +81,11 @@ def clean_extracted(c: Column, compose: bool = True) -> Column:
     """Cleaning of extracted text (T5). compose: NFKC first, the one step Spark has no function for."""
     c = unix_lines(c)
     c = composer()(c) if compose else c
-    c = F.regexp_replace(c, r"[\u200b\u200c\u200d\u2060\ufeff\u00a0]", " ")
-    c = F.regexp_replace(c, r"[\x{1F300}-\x{1FAFF}\u2600-\u27bf\u2300-\u23ff\u2b00-\u2bff\p{So}\p{Sk}]", " ")
-    c = sub(c, r"\b(20\d{2})(20\d{2})\b", "$1-$2")
-    c = sub(c, r"\b([0-9])\1\+\s*years?\b", "$1+ years", "iU")
-    c = sub(c, r"\bAl\b", "AI")
+    c = F.translate(c, "\u200b\u200c\u200d\u2060\ufeff\u00a0", "      ")
+    c = F.regexp_replace(c, V.PICTURES, " ")
+    c = if_holds(c, "20", lambda x: sub(x, V.JOINED_YEARS, "$1-$2"))
+    c = if_holds(c, "+", lambda x: sub(x, r"\b([0-9])\1\+\s*years?\b", "$1+ years", "iU"))
+    c = if_holds(c, "Al", lambda x: sub(x, r"\bAl\b", "AI"))
     kept = F.transform(F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != ""), lambda x: strip(sub(x, V.DECORATION, "")))
     return strip(F.regexp_replace(join_lines(F.filter(kept, lambda x: x != "")), r"[ \t]+", " "))
 

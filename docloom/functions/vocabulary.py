@@ -1,5 +1,10 @@
 """Word lists, patterns and labels that results depend on."""
 
+# --- characters and years in texts (fixed values) ---
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+PICTURES = r"[\x{1F300}-\x{1FAFF}\u2600-\u27bf\u2300-\u23ff\u2b00-\u2bff\p{So}\p{Sk}]"
+JOINED_YEARS = r"\b(20\d{2})(20\d{2})\b"
+
 # --- keywords (fixed values) ---
 KEYWORD_STOP_WORDS = """
 the is a an and or of to in for on at by with from this that are was were be as it has have had not only but also
@@ -21,6 +26,10 @@ TECHNICAL_TERMS = [
 ]
 GENERIC_WORDS = ["project", "system", "process", "content", "basic", "important", "different", "general"]
 
+KEYWORD_TOKEN = r"\b[a-zA-Z][a-zA-Z0-9_.-]{2,}\b"
+KEYWORD_EDGES = r"^[.,;:!?()\[\]{}<>\"'`]+|[.,;:!?()\[\]{}<>\"'`]+$"
+PHRASE_TOKEN = r"\b[a-zA-Z][a-zA-Z0-9_-]{2,}\b"
+
 # --- information record (fixed values) ---
 CONCEPTS = {
     "Python": ["python", "python programming", "python installation"],

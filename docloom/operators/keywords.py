@@ -1,38 +1,31 @@
 """Keywords and phrases of each document.
 
-Texts are shuffled once by document; words are exploded, counted and ranked
-within that partitioning, so no word row is shuffled.
+All that a document's keywords rest on is in its own row, so they are Column
+expressions: words are counted by sorting an array, and nothing is shuffled.
+Rows are independent of each other, whatever their ids are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..functions.counting import counted
 from ..functions.extract import every
-from ..functions.text import lower_lines
-from .placement import by_document, exploded
+from ..functions.text import let, lower_lines
 
-TOKEN = r"\b[a-zA-Z][a-zA-Z0-9_.-]{2,}\b"
-PHRASE_TOKEN = r"\b[a-zA-Z][a-zA-Z0-9_-]{2,}\b"
 
+def words_of(c: Column) -> Column:
+    """Candidate keywords of a text in order (T2 and the filters of E12)."""
+    bare = F.transform(every(lower_lines(c), V.KEYWORD_TOKEN), lambda w: F.regexp_replace(w, V.KEYWORD_EDGES, ""))
+    return F.filter(bare, lambda w: (F.length(w) >= 4) & ~w.isin(V.KEYWORD_STOP_WORDS))
 
-def lowered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return by_document(docs, doc_id, text).select("doc_id", lower_lines(F.col("text")).alias("t"))
 
-
-def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pos, word): candidate keywords in order (T2 and the filters of E12)."""
-    rows = exploded(lowered(docs, doc_id, text), every(F.col("t"), TOKEN), "pos", "w")
-    rows = rows.withColumn("word", F.regexp_replace("w", r"^[.,;:!?()\[\]{}<>\"'`]+|[.,;:!?()\[\]{}<>\"'`]+$", ""))
-    return rows.where((F.length("word") >= 4) & ~F.col("word").isin(V.KEYWORD_STOP_WORDS)).select("doc_id", "pos", "word")
-
-
-def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, word, n, first_pos, total): frequencies within documents."""
-    counts = tokens(docs, doc_id, text).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    return counts.withColumn("total", F.greatest(F.sum("n").over(Window.partitionBy("doc_id")), F.lit(1)))
+def terms_of(c: Column) -> Column:
+    """Array of (word, n, first_pos, total): frequencies in a text."""
+    each = lambda total: lambda x: F.struct(x["item"].alias("word"), x["n"].alias("n"), x["first"].alias("first_pos"), total.alias("total"))
+    return let(words_of(c), lambda words: F.transform(counted(words), each(F.greatest(F.size(words).cast("long"), F.lit(1).cast("long")))))
 
 
 def keyword_score(word: Column, n: Column, total: Column) -> Column:
@@ -46,35 +39,72 @@ def keyword_score(word: Column, n: Column, total: Column) -> Column:
     )
 
 
+def top(ordered: Column, limit: int, **fields) -> Column:
+    """The first elements of an array, with their rank."""
+    return F.transform(F.slice(ordered, 1, limit), lambda x, k: F.struct((k + 1).alias("rank"), *[x[c].alias(name) for name, c in fields.items()]))
+
+
+def top_terms(c: Column, limit: int = 10) -> Column:
+    """Array of (rank, word, score, n): the top terms, technical ones first (O2, O3)."""
+    scored = F.transform(terms_of(c), lambda x: F.struct(x.alias("x"), keyword_score(x["word"], x["n"], x["total"]).alias("score")))
+    order = lambda s: F.struct(
+        (~s["x"]["word"].isin(V.TECHNICAL_TERMS)).alias("plain"), (-s["score"]).alias("low"), (-s["x"]["n"]).alias("rare"), (-F.length(s["x"]["word"])).alias("short"),
+        s["x"]["first_pos"].alias("at"), s["x"]["word"].alias("word"), s["score"].alias("score"), s["x"]["n"].alias("n"),
+    )
+    return top(F.array_sort(F.transform(scored, order)), limit, word="word", score="score", n="n")
+
+
+def phrases_of(c: Column, technical: bool = False) -> Column:
+    """Array of (phrase, n, first_pos): neighbours of which neither is a stop word (T3, G2); technical: one is a technical term."""
+
+    def pairs(w: Column) -> Column:
+        two = F.transform(w, lambda a, k: F.struct(a.alias("a"), F.get(w, k + 1).alias("b")))
+        fits = lambda p: p["b"].isNotNull() & ~p["a"].isin(V.KEYWORD_STOP_WORDS) & ~p["b"].isin(V.KEYWORD_STOP_WORDS)
+        wanted = lambda p: fits(p) & (p["a"].isin(V.TECHNICAL_TERMS) | p["b"].isin(V.TECHNICAL_TERMS)) if technical else fits(p)
+        return F.transform(F.filter(two, wanted), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+
+    found = counted(let(every(lower_lines(c), V.PHRASE_TOKEN), pairs))
+    return F.transform(found, lambda x: F.struct(x["item"].alias("phrase"), x["n"].alias("n"), x["first"].alias("first_pos")))
+
+
+def top_phrases(c: Column, limit: int = 10) -> Column:
+    """Array of (rank, phrase, n): the top phrases with a technical term."""
+    order = lambda x: F.struct((-x["n"]).alias("rare"), (-F.length(x["phrase"])).alias("short"), x["first_pos"].alias("at"), x["phrase"].alias("phrase"), x["n"].alias("n"))
+    return top(F.array_sort(F.transform(phrases_of(c, technical=True), order)), limit, phrase="phrase", n="n")
+
+
+def keyword_list(c: Column, limit: int = 10) -> Column:
+    """Terms, then phrases while there is room."""
+    both = F.concat(F.transform(top_terms(c, limit), lambda x: x["word"]), F.transform(top_phrases(c, limit), lambda x: x["phrase"]))
+    return F.slice(F.array_distinct(both), 1, limit)
+
+
+def listed(docs: DataFrame, array: Column, doc_id: str) -> DataFrame:
+    """One row for each element of an array; the outer form, since Spark would else compute the array a second time to drop rows before."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), array.alias("_a")).select("doc_id", F.explode_outer("_a").alias("_x"))
+    return rows.where("_x IS NOT NULL").select("doc_id", "_x.*")
+
+
+def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, word, n, first_pos, total)."""
+    return listed(docs, terms_of(F.col(text)), doc_id)
+
+
 def ranked_terms(docs: DataFrame, limit: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, rank, word, score, n): the top terms, technical ones first (O2, O3)."""
-    terms = term_counts(docs, doc_id, text).withColumn("score", keyword_score(F.col("word"), F.col("n"), F.col("total")))
-    order = [F.col("word").isin(V.TECHNICAL_TERMS).desc(), F.desc("score"), F.desc("n"), F.length("word").desc(), F.asc("first_pos")]
-    ranked = terms.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= limit).select("doc_id", "rank", "word", "score", "n")
+    """(doc_id, rank, word, score, n)."""
+    return listed(docs, top_terms(F.col(text), limit), doc_id)
 
 
 def phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, phrase, n, first_pos): neighbours of which neither is a stop word."""
-    rows = lowered(docs, doc_id, text).withColumn("w", every(F.col("t"), PHRASE_TOKEN))
-    pairs = F.transform(F.when(F.size("w") > 1, F.sequence(F.lit(0), F.size("w") - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))
-    two = exploded(rows, pairs, "pos", "p").select("doc_id", "pos", "p.a", "p.b")
-    two = two.where(~F.col("a").isin(V.KEYWORD_STOP_WORDS) & ~F.col("b").isin(V.KEYWORD_STOP_WORDS))
-    return two.groupBy("doc_id", "a", "b").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).withColumn("phrase", F.concat_ws(" ", "a", "b"))
+    """(doc_id, phrase, n, first_pos)."""
+    return listed(docs, phrases_of(F.col(text)), doc_id)
 
 
 def ranked_phrases(docs: DataFrame, limit: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, rank, phrase, n): the top phrases with a technical term."""
-    own = phrases(docs, doc_id, text).where(F.col("a").isin(V.TECHNICAL_TERMS) | F.col("b").isin(V.TECHNICAL_TERMS))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.length("phrase").desc(), F.asc("first_pos"))
-    return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("doc_id", "rank", "phrase", "n")
+    """(doc_id, rank, phrase, n)."""
+    return listed(docs, top_phrases(F.col(text), limit), doc_id)
 
 
 def keywords(docs: DataFrame, limit: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, keywords): terms, then phrases while there is room (E12); one row per document, null ids left out."""
-    terms = ranked_terms(docs, limit, doc_id, text).select("doc_id", F.col("rank").alias("r"), F.col("word").alias("k"))
-    more = ranked_phrases(docs, limit, doc_id, text).select("doc_id", (F.col("rank") + limit).alias("r"), F.col("phrase").alias("k"))
-    listed = terms.unionByName(more).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "k"))).alias("l"))
-    listed = listed.select("doc_id", F.slice(F.array_distinct(F.transform("l", lambda x: x["k"])), 1, limit).alias("keywords"))
-    ids = by_document(docs, doc_id, text).select("doc_id").distinct()
-    return ids.join(listed, "doc_id", "left").select("doc_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    """(doc_id, keywords) for every row of docs."""
+    return docs.select(F.col(doc_id).alias("doc_id"), keyword_list(F.col(text), limit).alias("keywords"))

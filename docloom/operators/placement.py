@@ -1,23 +1,19 @@
-"""Texts placed by document, once for all operators that explode them.
-
-The exchange carries nothing but id and raw text, so operators that start from
-the same documents have the same exchange, and Spark reuses it. What they
-explode, count and join by document afterwards needs no further one. Rows
-without an id are left out here, as they could not be joined; and arrays are
-exploded by the outer form and empty ones dropped afterwards, since Spark would
-else compute each array a second time in a filter below the exchange.
-"""
+"""Where rows are worked on."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+#: Bytes of input that keep one task busy; tables of fewer for each core are dealt out.
+TASK_BYTES = 32 << 20
 
-def by_document(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL").repartition("doc_id")
 
+def spread(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """df, its rows dealt out over the cores if the whole table is so small that it would be read by a few tasks.
 
-def exploded(rows: DataFrame, array: Column, pos: str, item: str) -> DataFrame:
-    """rows(doc_id) with one row for each element of an array."""
-    return rows.select("doc_id", F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+    A Parquet row group is read by one task, and row-wise operators keep its
+    rows there; large tables have row groups enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * task_bytes else df

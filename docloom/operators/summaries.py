@@ -1,40 +1,47 @@
-"""Extractive summaries: sentences are exploded once per document and ranked there."""
+"""Extractive summaries: a document's sentences are ranked within its row, as Column expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import summary as S
 from ..functions import vocabulary as V
+from ..functions.counting import first_of_each, runs
 from ..functions.extract import every, topics
-from ..functions.text import for_summary, strip
-from .placement import by_document, exploded
+from ..functions.text import for_summary, let, strip
+from .keywords import listed
 
 
 def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", titles: list[str] = ()) -> DataFrame:
-    return by_document(docs, doc_id, text).select("doc_id", "text", for_summary(F.col("text"), titles).alias("cleaned"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), for_summary(F.col(text), titles).alias("cleaned"))
 
 
-def valid_sentences(docs: DataFrame, column: str = "cleaned") -> DataFrame:
-    """docs as of prepared(). (doc_id, pos, sentence): sentences fit for a summary, of equal ones the first."""
-    rows = exploded(docs, S.sentences(F.col(column)), "at", "sentence")
-    c = F.col("sentence")
-    rows = rows.where(~S.is_noise(c) & S.is_good(c) & (F.size(every(c, r"\S+")) >= 8))
-    first = rows.groupBy("doc_id", F.lower(strip(c)).alias("key")).agg(F.min(F.struct("at", "sentence")).alias("s"))
-    rows = first.select("doc_id", F.col("s.at").alias("at"), F.col("s.sentence").alias("sentence"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).drop("at")
+def valid_of(cleaned: Column) -> Column:
+    """Sentences of a cleaned text that are fit for a summary, of equal ones the first, in order."""
+    fits = lambda c: ~S.is_noise(c) & S.is_good(c) & (F.size(every(c, r"\S+")) >= 8)
+    return first_of_each(F.filter(S.sentences(cleaned), fits), lambda c: F.lower(strip(c)))
 
 
-def scored_sentences(docs: DataFrame, column: str = "cleaned") -> DataFrame:
-    """(doc_id, pos, sentence, score): word frequencies among the valid sentences, and bonuses."""
-    valid = valid_sentences(docs, column)
-    used = valid.select("doc_id", "pos", F.explode_outer(S.words(F.col("sentence"))).alias("w")).where("w IS NOT NULL").groupBy("doc_id", "pos", "w").agg(F.count("*").alias("n"))
-    weighted = used.withColumn("f", F.sum("n").over(Window.partitionBy("doc_id", "w")))
-    sums = weighted.groupBy("doc_id", "pos").agg(F.sum(F.col("n") * F.col("f")).alias("words"))
-    c = F.col("sentence")
-    score = F.coalesce("words", F.lit(0)) + S.bonus(c) + F.when(F.col("pos") < 10, 3).otherwise(0)
-    return valid.join(sums, ["doc_id", "pos"], "left").select("doc_id", "pos", "sentence", score.cast("long").alias("score"))
+def scored_of(cleaned: Column) -> Column:
+    """Array of (pos, sentence, score): word frequencies among the valid sentences, and bonuses."""
+
+    def scored(valid: Column) -> Column:
+        used = F.flatten(F.transform(valid, lambda c, k: F.transform(S.words(c), lambda w: F.struct(w.alias("w"), k.alias("k")))))
+        weighted = let(
+            F.array_sort(used),
+            lambda u: F.flatten(F.transform(runs(u, lambda x: x["w"]), lambda r: F.transform(F.slice(u, r["at"] + 1, r["n"]), lambda x: F.struct(x["k"].alias("k"), r["n"].cast("long").alias("f"))))),
+        )
+        # a zero for each sentence, so that every one of them has a run
+        zeros = F.transform(valid, lambda c, k: F.struct(k.alias("k"), F.lit(0).cast("long").alias("f")))
+        sums = let(
+            F.array_sort(F.concat(zeros, weighted)),
+            lambda u: F.transform(runs(u, lambda x: x["k"]), lambda r: F.aggregate(F.slice(u, r["at"] + 1, r["n"]), F.lit(0).cast("long"), lambda a, x: a + x["f"])),
+        )
+        bonus = lambda c, k: (S.bonus(c) + F.when(k < 10, 3).otherwise(0)).cast("long")
+        return let(sums, lambda s: F.transform(valid, lambda c, k: F.struct(k.alias("pos"), c.alias("sentence"), (F.get(s, k) + bonus(c, k)).alias("score"))))
+
+    return let(valid_of(cleaned), scored)
 
 
 def cover(ranked: Column, k: int) -> Column:
@@ -52,29 +59,47 @@ def cover(ranked: Column, k: int) -> Column:
     return F.aggregate(ranked, state, step, lambda a: F.transform(F.array_sort(a["taken"]), lambda t: t["sentence"]))
 
 
+def chosen_of(cleaned: Column, sizes: dict[str, int]) -> Column:
+    """A struct with an array of sentences for each name and size, in document order."""
+    one = lambda x: F.struct((-x["score"]).alias("score"), x["pos"].alias("pos"), x["sentence"].alias("sentence"), topics(x["sentence"]).alias("topics"))
+    return let(F.array_sort(F.transform(scored_of(cleaned), one)), lambda l: F.struct(*[cover(l, k).alias(n) for n, k in sizes.items()]))
+
+
+def valid_sentences(docs: DataFrame, column: str = "cleaned") -> DataFrame:
+    """docs as of prepared(). (doc_id, pos, sentence)."""
+    return listed(docs, F.transform(valid_of(F.col(column)), lambda c, k: F.struct(k.alias("pos"), c.alias("sentence"))), "doc_id")
+
+
+def scored_sentences(docs: DataFrame, column: str = "cleaned") -> DataFrame:
+    """(doc_id, pos, sentence, score)."""
+    return listed(docs, scored_of(F.col(column)), "doc_id")
+
+
 def chosen_sentences(docs: DataFrame, sizes: dict[str, int], column: str = "cleaned") -> DataFrame:
-    """(doc_id, one array of sentences for each name and size), in document order."""
-    rows = scored_sentences(docs, column).withColumn("topics", topics(F.col("sentence")))
-    one = F.struct((-F.col("score")).alias("score"), "pos", "sentence", "topics")
-    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("l"))
-    return listed.select("doc_id", *[cover(F.col("l"), k).alias(n) for n, k in sizes.items()])
+    """(doc_id, one array of sentences for each name and size) for every row of docs."""
+    return docs.select("doc_id", chosen_of(F.col(column), sizes).alias("_c")).select("doc_id", "_c.*")
 
 
-def summaries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", titles: list[str] = ()) -> DataFrame:
-    """(doc_id, kind, summary): the router and the four kinds of summary."""
-    rows = prepared(docs, doc_id, text, titles)
-    # a prepared text is cleaned once more when sentences are chosen
-    again = rows.select("doc_id", for_summary(F.col("cleaned"), titles).alias("cleaned"))
-    found = chosen_sentences(again.dropDuplicates(["doc_id"]), {"four": 4, "five": 5})
-    c = F.col("cleaned")
-    empty = F.array().cast("array<string>")
-    five, four = F.coalesce("five", empty), F.coalesce("four", empty)
+def summary_of(text: Column, titles: list[str] = ()) -> Column:
+    """(kind, summary): the router and the four kinds of summary."""
     block = lambda title, a: F.when(F.size(a) > 0, F.concat(F.lit(title), S.bullets(a)))
-    topic = S.topic_sentence(c)
-    normal = F.concat_ws("\n\n", F.concat(F.lit("PURPOSE\n"), S.purpose(c)), F.when(topic != "", F.concat(F.lit("\nCOVERAGE\n"), topic)), block("\nKEY POINTS\n", five))
-    short = F.concat_ws("\n\n", S.purpose(c), block("KEY FLOW / STEPS\n", four))
-    kind = F.when(F.coalesce("text", F.lit("")) == "", "empty").when(S.is_resume(c), "resume").when(S.structure(c) >= 8, "structured").when(F.length(c) < 1200, "short").otherwise("normal")
-    out = rows.join(found, "doc_id", "left").withColumn("kind", kind)
-    resume = S.resume_summary(c)
-    whole = F.when(F.col("kind") == "empty", V.NO_TEXT).when(c == "", V.NO_TEXT).when(F.col("kind") == "resume", resume).when(F.col("kind") == "short", short).otherwise(normal)
-    return out.select("doc_id", "kind", whole.alias("summary"))
+
+    def normal(c: Column) -> Column:
+        parts = lambda five, topic: F.concat_ws("\n\n", F.concat(F.lit("PURPOSE\n"), S.purpose(c)), F.when(topic != "", F.concat(F.lit("\nCOVERAGE\n"), topic)), block("\nKEY POINTS\n", five))
+        # a prepared text is cleaned once more when sentences are chosen
+        return let(chosen_of(for_summary(c, titles), {"five": 5}), lambda x: let(S.topic_sentence(c), lambda topic: parts(x["five"], topic)))
+
+    def short(c: Column) -> Column:
+        return let(chosen_of(for_summary(c, titles), {"four": 4}), lambda x: F.concat_ws("\n\n", S.purpose(c), block("KEY FLOW / STEPS\n", x["four"])))
+
+    def routed(c: Column) -> Column:
+        kind = F.when(F.coalesce(text, F.lit("")) == "", "empty").when(S.is_resume(c), "resume").when(S.structure(c) >= 8, "structured").when(F.length(c) < 1200, "short").otherwise("normal")
+        whole = lambda k: F.when((k == "empty") | (c == ""), V.NO_TEXT).when(k == "resume", S.resume_summary(c)).when(k == "short", short(c)).otherwise(normal(c))
+        return let(kind, lambda k: F.struct(k.alias("kind"), whole(k).alias("summary")))
+
+    return let(for_summary(text, titles), routed)
+
+
+def summaries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", titles: list[str] = ()) -> DataFrame:
+    """(doc_id, kind, summary) for every row of docs."""
+    return docs.select(F.col(doc_id).alias("doc_id"), summary_of(F.col(text), titles).alias("_s")).select("doc_id", "_s.*")

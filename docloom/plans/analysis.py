@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions.text import for_model, text_of, words_in
-from ..operators.keywords import keywords
-from ..operators.placement import by_document
-from ..operators.summaries import summaries
+from ..operators.keywords import keyword_list
+from ..operators.summaries import summary_of
 
 ANALYSIS = "success boolean, summary string, insights array<string>, raw_response string, message string"
 PROMPTS = {
@@ -64,11 +63,17 @@ def model_analysis(docs: DataFrame, model: Callable[[list[str]], list[str]] | No
 
 
 def analyse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, document_type, word_count, keywords, information, summary): one row per document; ids are taken to be unique."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    t = F.col("text")
-    per_row = by_document(own).select("doc_id", "text", X.document_type(t).alias("document_type"), words_in(t).alias("word_count"), X.information(t).alias("information"))
-    return per_row.join(keywords(own), "doc_id", "left").join(summaries(own).select("doc_id", "summary"), "doc_id", "left")
+    """(doc_id, text, document_type, word_count, keywords, information, summary) for every row of docs; nothing is shuffled."""
+    t = F.col(text)
+    return docs.select(
+        F.col(doc_id).alias("doc_id"),
+        t.alias("text"),
+        X.document_type(t).alias("document_type"),
+        words_in(t).alias("word_count"),
+        keyword_list(t).alias("keywords"),
+        X.information(t).alias("information"),
+        summary_of(t)["summary"].alias("summary"),
+    )
 
 
 def report(rows: DataFrame, name: Column, title: str = "DOCUMENT ANALYSIS") -> DataFrame:

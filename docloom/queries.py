@@ -18,6 +18,7 @@ from .functions import summary as S
 from .functions import text as T
 from .functions import vocabulary as V
 from .operators import catalog, keywords, layout, summaries
+from .operators.placement import spread
 from .plans import analysis
 from .streaming import ingest
 
@@ -57,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *more)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
     return docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), pick(APPENDED, F.col("doc_id"))))
 
 
@@ -305,7 +306,7 @@ def keyword_lists(spark, sf_dir):
 
 @query(f"WITH {CORPUS}, w AS (SELECT doc_id, len({q_all(_FLAT, r'\b[a-z][a-z0-9_.-]{2,}\b')}) AS n FROM c) SELECT n AS n_tokens, count(*) AS n_documents FROM w GROUP BY n")
 def token_histogram(spark, sf_dir):
-    n = F.size(X.every(T.lower_lines(F.col("text")), keywords.TOKEN)).cast("long")
+    n = F.size(X.every(T.lower_lines(F.col("text")), V.KEYWORD_TOKEN)).cast("long")
     return corpus(spark, sf_dir).select(n.alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("n_documents"))
 
 
