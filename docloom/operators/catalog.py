@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.extract import highlighted, matches_of
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 
 def allowed_file(name: Column) -> Column:
@@ -71,18 +71,43 @@ def search(docs: DataFrame, query: str, columns: list[str], owner=None, owner_co
 
 
 def newest_first(docs: DataFrame, time: str = "uploaded_at", doc_id: str = "doc_id") -> DataFrame:
+    """All documents, the newest first (O1)."""
     return docs.orderBy(F.desc(time), F.asc(doc_id))
 
 
+def recent(docs: DataFrame, n: int = 5, time: str = "uploaded_at", doc_id: str = "doc_id") -> DataFrame:
+    """The newest documents."""
+    return newest_first(docs, time, doc_id).limit(n)
+
+
 def page_of(docs: DataFrame, number: int, size: int, order: list[Column]) -> DataFrame:
     """One page of a list, counted from 1."""
     return docs.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def paged_lines(text: Column) -> Column:
+    """Array of (page, line): the lines of a text with page marks, each with the number of the mark above it, 0 before the first."""
+    number = lambda x: F.nullif(F.regexp_extract(x, "(?iU)" + V.PAGE_MARK, 1), F.lit("")).cast("int")
+    rows = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x, k: F.struct(k.alias("at"), number(x).alias("page"), x.alias("line")))
+    start = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("page"), F.lit("").alias("line")))
+
+    def stretches(r: Column) -> Column:
+        marks = F.concat(start, F.filter(r, lambda x: x["page"].isNotNull()))
+        each = lambda m, k: F.transform(
+            F.slice(r, m["at"] + 2, F.greatest(F.coalesce(F.get(marks, k + 1)["at"], F.size(r)) - m["at"] - 1, F.lit(0))),
+            lambda x: F.struct(m["page"].alias("page"), x["line"].alias("line")),
+        )
+        return F.flatten(F.transform(marks, each))
+
+    return let(rows, stretches)
+
+
 def occurrences(docs: DataFrame, needle: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """In-document search: how often, and the text with the hits marked."""
+    """In-document search: how often, the pages of the lines with hits, and the text with the hits marked."""
     n = matches_of(F.col(text), needle)
-    return docs.select(doc_id, n.alias("n_matches"), highlighted(F.col(text), needle).alias("marked")).where("n_matches > 0")
+    hit = F.filter(paged_lines(F.col(text)), lambda r: F.contains(F.lower(r["line"]), F.lit(needle.lower())))
+    pages = F.array_distinct(F.transform(hit, lambda r: r["page"]))
+    return docs.select(doc_id, n.alias("n_matches"), pages.alias("pages"), highlighted(F.col(text), needle).alias("marked")).where("n_matches > 0")
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import wrapped
-from ..functions.text import strip, text_of
+from ..functions.text import let, strip, text_of
 
 #: A4 report pages in points (fixed values): height, margin, space kept at the foot, line height.
 PAGE_HEIGHT, MARGIN, FOOT, LINE_HEIGHT = 841.89, 50, 20, 16
@@ -17,9 +17,15 @@ def lines_per_page() -> int:
 
 
 def report_pages(reports: DataFrame, text: str = "report", doc_id: str = "doc_id", width: int = 95) -> DataFrame:
-    """(doc_id, page, line_no, line): a report's wrapped lines on pages (W7, S15). All lines are of one height, so a page holds a fixed number."""
-    rows = reports.select(F.col(doc_id).alias("doc_id"), F.posexplode(wrapped(F.col(text), width)).alias("line_no", "line"))
-    return rows.select("doc_id", (F.floor(F.col("line_no") / lines_per_page()) + 1).cast("int").alias("page"), "line_no", "line")
+    """(doc_id, page, lines): a report's wrapped lines on pages (W7, S15). All lines are of one height, so a page holds a fixed number."""
+    n = lines_per_page()
+
+    def pages(lines: Column) -> Column:
+        numbers = F.when(F.size(lines) > 0, F.sequence(F.lit(1), F.ceil(F.size(lines) / n).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda k: F.struct(k.alias("page"), F.slice(lines, (k - 1) * n + 1, F.lit(n)).alias("lines")))
+
+    rows = reports.select(F.col(doc_id).alias("doc_id"), let(wrapped(F.col(text), width), pages).alias("p"))
+    return rows.select("doc_id", F.explode_outer("p").alias("p")).where("p IS NOT NULL").select("doc_id", "p.*")
 
 
 def scale_of(width: Column, height: Column) -> Column:

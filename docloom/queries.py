@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,10 @@ from .functions import extract as X
 from .functions import summary as S
 from .functions import text as T
 from .functions import vocabulary as V
-from .operators import catalog, keywords, layout, summaries
+from .operators import catalog, keywords, layout, recognition, summaries
 from .operators.placement import spread
 from .plans import analysis
+from .sources import files
 from .streaming import ingest
 
 APPENDED = [
@@ -38,6 +40,7 @@ ANSWERS = [
     "Just text without marks.",
     "SUMMARY: Beta. DOCUMENT: more",
     "",
+    "```markdown\nSUMMARY: Gamma.\nKEY INSIGHTS:\n1) one\n```\n2) two! ",
 ]
 
 
@@ -67,8 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if there is one."""
+def query(sql: str | Callable[[], str] | None = None):
+    """Register a query under its function's name, with its SQL if there is one; SQL of parts that come later is put together at the end."""
 
     def put(f):
         QUERIES[f.__name__] = f
@@ -251,18 +254,33 @@ def percentages(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", F.array_join(X.every(F.col("text"), r"\d+(?:\.\d+)?%"), ";").alias("percents"))
 
 
-@query(
-    f"WITH {CORPUS}, w AS (SELECT doc_id, unnest({q_lines('t')}) AS l FROM c), x AS (SELECT doc_id, len(l) AS n, unnest(range(0, CAST(ceil(length(l) / 95.0) AS BIGINT))) AS k FROM w) "
-    "SELECT doc_id, count(*) AS n_lines FROM x GROUP BY doc_id"
-)
+Q_WRAPPED = lambda x: f"flatten(list_transform({q_lines(x)}, lambda l: list_transform(range(0, CAST(ceil(length(l) / 95.0) AS BIGINT)), lambda k: substring(l, 95 * k + 1, 95))))"
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, array_to_string({Q_WRAPPED('t')}, chr(10)) AS lines FROM c")
 def hard_wrap(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", F.size(X.wrapped(F.col("text"))).cast("long").alias("n_lines")).where("n_lines > 0")
+    return corpus(spark, sf_dir).select("doc_id", F.array_join(X.wrapped(F.col("text")), "\n").alias("lines"))
 
 
-@query(f"WITH d AS (SELECT doc_id, {pick_sql(ANSWERS, 'doc_id')} AS a FROM documents) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Alpha is.' WHEN 1 THEN 'One.' WHEN 2 THEN 'Just text without marks.' WHEN 3 THEN 'Beta.' ELSE '' END AS summary, CASE doc_id % 5 WHEN 0 THEN 'Alpha;(beta);graduates' WHEN 1 THEN 'a' ELSE '' END AS insights FROM d")
+# a model's answer: the part before its insights, without headings; its insights line by line, else sentence by sentence
+_HEAD = r"CASE WHEN regexp_matches({t}, '(?i)KEY\s+INSIGHTS\s*:') THEN regexp_extract({t}, '(?is)\A(.*?)KEY\s+INSIGHTS\s*:', 1) WHEN regexp_matches({t}, '(?i)\bDOCUMENT\s*:') THEN regexp_extract({t}, '(?is)\A(.*?)\bDOCUMENT\s*:', 1) ELSE {t} END"
+_PART = r"CASE WHEN regexp_matches({t}, '(?i)\bDOCUMENT\s*:') THEN regexp_extract({t}, '(?is)\A(.*?)\bDOCUMENT\s*:', 1) ELSE {t} END"
+_BARE = lambda x: q_strip(q_sub(q_strip(x), r"^[\-*•\d.)\s]+", ""))
+_HEADLESS = reduce(lambda x, h: q_sub(q_strip(x), h, "", "i"), (r"^\s*SUMMARY\s*:\s*", r"\bKEY\s+INSIGHTS\s*:\s*$", r"\bDOCUMENT\s*:\s*$"), "head")
+ANSWERED = f"""a1 AS (SELECT doc_id, a, {q_strip('a')} AS t FROM answers), a2 AS (SELECT doc_id, a, {_HEAD.replace('{t}', 't')} AS head, {q_strip("regexp_extract(t, '(?is)KEY" + chr(92) + "s+INSIGHTS" + chr(92) + "s*:(.*)" + chr(92) + "z', 1)")} AS tail FROM a1),
+a3 AS (SELECT doc_id, a, {q_strip(_HEADLESS)} AS summary, {q_strip(_PART.replace('{t}', 'tail'))} AS tail FROM a2),
+a4 AS (SELECT doc_id, a, summary, list_filter(list_transform(string_split(tail, chr(10)), lambda x: {_BARE('x')}), lambda x: x <> '' AND upper(x) NOT IN ('SUMMARY', 'KEY INSIGHTS', 'DOCUMENT', 'DOCUMENT TYPE')) AS by_line,
+       list_filter(list_transform(string_split({q_sub('tail', r'([.!?])' + chr(92) + 's+', chr(92) + '1' + chr(30))}, chr(30)), lambda x: {_BARE('x')}), lambda x: x <> '') AS by_sentence FROM a3),
+a5 AS (SELECT doc_id, a, summary, CASE WHEN len(by_line) > 0 THEN by_line ELSE by_sentence END AS l FROM a4),
+answered AS (SELECT doc_id, a, summary, {q_distinct('l')}[1:5] AS insights FROM a5)"""
+
+
+@query(f"WITH answers AS (SELECT doc_id, {pick_sql(ANSWERS, 'doc_id')} || coalesce(text, '') AS a FROM documents), {ANSWERED}, p AS (SELECT doc_id, {q_strip(q_sub(q_sub('a', '```(?:text|markdown)?', '', 'i'), r'^' + chr(92) + 's*SUMMARY' + chr(92) + 's*:' + chr(92) + 's*', '', 'i'))} AS plain FROM answers) SELECT doc_id, summary, array_to_string(insights, ';') AS insights, plain FROM answered JOIN p USING (doc_id)")
 def model_answers(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", pick(ANSWERS, F.col("doc_id")).alias("a"))
-    return d.select("doc_id", X.answer_summary(F.col("a")).alias("summary"), F.array_join(X.answer_insights(F.col("a")), ";").alias("insights"))
+    """Answers with the whole text of a document behind their marks."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = d.select("doc_id", F.concat(pick(ANSWERS, F.col("doc_id")), F.coalesce("text", F.lit(""))).alias("a"))
+    return d.select("doc_id", X.answer_summary(F.col("a")).alias("summary"), F.array_join(X.answer_insights(F.col("a")), ";").alias("insights"), T.plain_answer(F.col("a")).alias("plain"))
 
 
 # --- keywords ---
@@ -357,13 +375,34 @@ def sentence_scores(spark, sf_dir):
     return summaries.scored_sentences(with_cleaned(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "score")
 
 
-@query()
+def q_chosen(texts: str, k: int, name: str) -> str:
+    """CTEs up to `name`(doc_id, chosen): the greedy choice of k sentences from the cleaned texts (doc_id, s), walked rank by rank."""
+    n = lambda x: f"{name}_{x}"
+    return f"""{n('e')} AS (SELECT doc_id, unnest(range(0, len(ss))) AS idx, unnest(ss) AS x FROM (SELECT doc_id, {_SENTENCES} AS ss FROM {texts})),
+{n('f')} AS (SELECT doc_id, idx, x, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY idx) AS again FROM {n('e')} WHERE NOT {_NOISE} AND {_GOOD} AND len({q_all('x', r'\S+')}) >= 8),
+{n('g')} AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS pos FROM {n('f')} WHERE again = 1),
+{n('u')} AS (SELECT * FROM (SELECT doc_id, pos, unnest({_WORDS}) AS w FROM {n('g')}) WHERE w NOT IN ({', '.join(map(quoted, V.SUMMARY_STOP_WORDS))})),
+{n('q')} AS (SELECT doc_id, w, count(*) AS f FROM {n('u')} GROUP BY doc_id, w),
+{n('v')} AS (SELECT u.doc_id AS doc_id, pos, sum(f) AS f FROM {n('u')} u JOIN {n('q')} q ON u.doc_id = q.doc_id AND u.w = q.w GROUP BY u.doc_id, pos),
+{n('s')} AS (SELECT g.doc_id AS doc_id, g.pos AS pos, x, {Q_TOPICS('x')} AS topics, coalesce(v.f, 0) + {_BONUS.replace('pos <', 'g.pos <')} AS score FROM {n('g')} g LEFT JOIN {n('v')} v ON g.doc_id = v.doc_id AND g.pos = v.pos),
+{n('r')} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS r FROM {n('s')}),
+{n('walk')}(doc_id, r, n, seen, taken) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), 0, CAST([] AS VARCHAR[]), CAST([] AS STRUCT(pos BIGINT, x VARCHAR)[]) FROM {texts}
+  UNION ALL
+  SELECT k.doc_id, k.r, w.n + CAST(k.fresh AS INTEGER), CASE WHEN k.fresh THEN list_concat(w.seen, k.topics) ELSE w.seen END, CASE WHEN k.fresh THEN list_append(w.taken, {{'pos': k.pos, 'x': k.x}}) ELSE w.taken END
+  FROM {n('walk')} w JOIN LATERAL (SELECT *, len(topics) = 0 OR NOT list_has_all(w.seen, topics) AS fresh FROM {n('r')} r WHERE r.doc_id = w.doc_id AND r.r = w.r + 1) k ON true WHERE w.n < {k}
+),
+{n('last')} AS (SELECT doc_id, max_by(taken, r) AS taken FROM {n('walk')} GROUP BY doc_id),
+{name} AS (SELECT doc_id, list_transform(list_sort(taken), lambda z: z.x) AS chosen FROM {n('last')})"""
+
+
+@query(f"WITH RECURSIVE {CORPUS}, d AS (SELECT doc_id, {CLEANED} AS s FROM c), {q_chosen('d', 5, 'five')} SELECT doc_id, array_to_string(chosen, chr(10)) AS sentences FROM five")
 def summary_sentences(spark, sf_dir):
     found = summaries.chosen_sentences(with_cleaned(spark, sf_dir), {"five": 5})
     return found.select("doc_id", F.array_join("five", "\n").alias("sentences"))
 
 
-@query()
+@query(lambda: f"WITH RECURSIVE {CORPUS}, {SUMMARISED} SELECT doc_id, kind, summary FROM summarised")
 def document_summaries(spark, sf_dir):
     return summaries.summaries(corpus(spark, sf_dir))
 
@@ -372,15 +411,17 @@ def document_summaries(spark, sf_dir):
 
 _HEAD = "trim(regexp_replace(regexp_replace(lower(x), '[^a-zA-Z& ]', '', 'g'), '\\s+', ' ', 'g'))"
 _HEADING = "CASE " + " ".join(f"WHEN {_HEAD} IN ({', '.join(map(quoted, ts))}) THEN {quoted(n)}" for n, ts in V.CV_HEADINGS.items()) + " END"
-_SECTIONED = f"""{CORPUS}, d AS (SELECT doc_id, {CLEANED} AS s FROM c), l AS (SELECT doc_id, unnest(range(0, len(ls))) AS idx, unnest(ls) AS x FROM (SELECT doc_id, {q_lines('s')} AS ls FROM d)),
+_SECTIONS_OF = f"""l AS (SELECT doc_id, unnest(range(0, len(ls))) AS idx, unnest(ls) AS x FROM (SELECT doc_id, {q_lines('s')} AS ls FROM d)),
 h AS (SELECT doc_id, idx, x, {_HEADING} AS h FROM l),
 sec AS (SELECT doc_id, idx, x, h, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'header') AS section FROM h)"""
+_SECTIONED = f"{CORPUS}, d AS (SELECT doc_id, {CLEANED} AS s FROM c), {_SECTIONS_OF}"
 
 
-@query(f"WITH {_SECTIONED} SELECT doc_id, section, count(*) AS n_lines, sum(length(x)) AS n_chars FROM sec WHERE h IS NULL GROUP BY doc_id, section")
+@query(f"WITH {_SECTIONED} SELECT doc_id, section, string_agg(x, chr(10) ORDER BY idx) AS lines FROM sec WHERE h IS NULL GROUP BY doc_id, section")
 def resume_sections(spark, sf_dir):
-    rows = with_cleaned(spark, sf_dir).select("doc_id", F.inline(S.resume_lines(F.col("cleaned"))))
-    return rows.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    rows = with_cleaned(spark, sf_dir).select("doc_id", S.resume_lines(F.col("cleaned")).alias("r")).select("doc_id", "r", F.explode_outer(F.array_distinct(F.col("r.section"))).alias("section")).where("section IS NOT NULL")
+    lines = F.array_join(F.transform(F.filter("r", lambda x: x["section"] == F.col("section")), lambda x: x["line"]), "\n")
+    return rows.select("doc_id", "section", lines.alias("lines"))
 
 
 @query(f"WITH {CORPUS} SELECT doc_id, {q_contained('lower(t)', V.CV_STRONG)} >= 2 OR {q_contained('lower(t)', V.CV_TERMS)} >= 6 AS resume, array_to_string({q_named({n: f'contains(lower(t), {quoted(w)})' for n, w in V.SKILLS.items()})}, ';') AS skills, coalesce(nullif(regexp_extract(t, {quoted('(?i)' + V.CV_EXPERIENCE[0])}), ''), nullif(regexp_extract(t, {quoted('(?i)' + V.CV_EXPERIENCE[1])}), ''), nullif(regexp_extract(t, {quoted('(?i)' + V.CV_EXPERIENCE[2])}), ''), '') AS experience, coalesce(nullif(regexp_extract(t, {quoted('(?i)' + V.CV_ACCURACY[0])}), ''), nullif(regexp_extract(t, {quoted('(?i)' + V.CV_ACCURACY[1])}), ''), '') AS accuracy FROM c")
@@ -423,9 +464,17 @@ def document_page(spark, sf_dir):
     return catalog.page_of(docs, 2, 20, [F.desc("n_chars"), F.asc("doc_id")])
 
 
-@query(f"WITH {CORPUS} SELECT doc_id, CAST((length(t) - length(replace(lower(t), 'python', ''))) / 6 AS BIGINT) AS n_matches, regexp_replace(t, '(?i)(python)', '[\\1]', 'g') AS marked FROM c WHERE contains(lower(t), 'python')")
+PAGED = f"""{CORPUS}, pl AS (SELECT doc_id, unnest(range(0, len(ls))) AS idx, unnest(ls) AS x FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM c)),
+pm AS (SELECT doc_id, idx, x, CAST(nullif(regexp_extract(x, '(?i)---\\s*Page\\s+(\\d+)\\s*---', 1), '') AS INTEGER) AS p FROM pl),
+paged AS (SELECT doc_id, idx, x, p, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS page FROM pm)"""
+
+
+@query(
+    f"WITH {PAGED}, g AS (SELECT doc_id, page, min(idx) AS idx FROM paged WHERE p IS NULL AND contains(lower(x), 'python') GROUP BY doc_id, page), h AS (SELECT doc_id, string_agg(page, ',' ORDER BY idx) AS pages FROM g GROUP BY doc_id) "
+    "SELECT c.doc_id AS doc_id, CAST((length(t) - length(replace(lower(t), 'python', ''))) / 6 AS BIGINT) AS n_matches, pages, regexp_replace(t, '(?i)(python)', '[\\1]', 'g') AS marked FROM c JOIN h ON c.doc_id = h.doc_id"
+)
 def in_document_search(spark, sf_dir):
-    return catalog.occurrences(corpus(spark, sf_dir), "python")
+    return catalog.occurrences(corpus(spark, sf_dir), "python").withColumn("pages", F.array_join("pages", ","))
 
 
 @query("SELECT source, count(*) AS n_documents, sum(length(text)) AS n_chars FROM documents GROUP BY ROLLUP (source)")
@@ -470,17 +519,10 @@ def page_information(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", info.alias("p")).select("doc_id", "p.*")
 
 
-@query(
-    f"WITH {CORPUS}, l AS (SELECT doc_id, unnest(range(0, len(ls))) AS idx, unnest(ls) AS x FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM c)), m AS (SELECT doc_id, idx, CAST(nullif(regexp_extract(x, '(?i)---\\s*Page\\s+(\\d+)\\s*---', 1), '') AS INTEGER) AS p FROM l), "
-    "w AS (SELECT doc_id, p, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS page FROM m) SELECT doc_id, page, count(*) AS n_lines FROM w WHERE p IS NULL GROUP BY doc_id, page"
-)
+@query(f"WITH {PAGED} SELECT doc_id, string_agg(page || ':' || x, chr(10) ORDER BY idx) AS lines FROM paged WHERE p IS NULL GROUP BY doc_id")
 def lines_by_page(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = corpus(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "x"))
-    p = F.nullif(F.regexp_extract("x", "(?iU)" + V.PAGE_MARK, 1), F.lit("")).cast("int")
-    rows = rows.withColumn("p", p).withColumn("page", F.coalesce(F.last("p", True).over(Window.partitionBy("doc_id").orderBy("at")), F.lit(0)))
-    return rows.where("p IS NULL").groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
+    lines = F.transform(catalog.paged_lines(F.col("text")), lambda r: F.concat(r["page"].cast("string"), F.lit(":"), r["line"]))
+    return corpus(spark, sf_dir).select("doc_id", F.array_join(lines, "\n").alias("lines"))
 
 
 _BOXES = "b AS (SELECT CAST(floor(l_orderkey / 12) AS BIGINT) AS image_id, l_quantity AS conf, CAST(l_partkey % 1000 AS INTEGER) AS l, CAST(l_suppkey % 40 AS INTEGER) AS w FROM lineitem)"
@@ -497,18 +539,19 @@ def page_columns(spark, sf_dir):
 
 
 @query(
-    f"WITH {CORPUS}, w AS (SELECT doc_id, unnest({q_lines('t')}) AS l FROM c), x AS (SELECT doc_id, sum(CAST(ceil(length(l) / 95.0) AS BIGINT)) AS n FROM w GROUP BY doc_id), "
-    "y AS (SELECT doc_id, n, unnest(range(1, CAST(ceil(n / 46.0) AS BIGINT) + 1)) AS page FROM x) SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(least(46, n - 46 * (page - 1)) AS BIGINT) AS n_lines FROM y"
+    f"WITH {CORPUS}, w AS (SELECT doc_id, {Q_WRAPPED('t')} AS l FROM c), y AS (SELECT doc_id, l, unnest(range(1, CAST(ceil(len(l) / 46.0) AS BIGINT) + 1)) AS page FROM w) "
+    "SELECT doc_id, CAST(page AS INTEGER) AS page, array_to_string(l[46 * page - 45:46 * page], chr(10)) AS lines FROM y"
 )
 def report_pagination(spark, sf_dir):
-    return layout.report_pages(corpus(spark, sf_dir), "text").groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
+    return layout.report_pages(corpus(spark, sf_dir), "text").select("doc_id", "page", F.array_join("lines", "\n").alias("lines"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id * 1000 * 900 < 1500000 THEN 3 WHEN doc_id * 1000 * 900 < 4000000 THEN 2 ELSE 1 END AS scale, CASE WHEN length(trim(left(coalesce(text, ''), doc_id % 50), chr(10) || ' ')) < 30 AND length(source) > length(trim(left(coalesce(text, ''), doc_id % 50), chr(10) || ' ')) THEN source ELSE trim(left(coalesce(text, ''), doc_id % 50), chr(10) || ' ') END AS reading FROM documents")
+# widths and heights of images, and two readings of each, one of them the whole text
+@query("WITH d AS (SELECT doc_id, source, trim(coalesce(text, ''), chr(10) || ' ') AS a, trim(coalesce(text, '') || ' ' || source, chr(10) || ' ') AS b FROM documents) SELECT doc_id, CASE WHEN doc_id * 1000 * 900 < 1500000 THEN 3 WHEN doc_id * 1000 * 900 < 4000000 THEN 2 ELSE 1 END AS scale, CASE WHEN length(a) < 30 AND length(b) > length(a) THEN b ELSE a END AS reading FROM d")
 def recognition_choices(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    short = F.substring(F.coalesce("text", F.lit("")), F.lit(1), (F.col("doc_id") % 50).cast("int"))
-    return docs.select("doc_id", layout.scale_of(F.col("doc_id") * 1000, F.lit(900)).alias("scale"), layout.better_reading(short, F.col("source")).alias("reading"))
+    docs = spread(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", layout.scale_of(F.col("doc_id") * 1000, F.lit(900)).alias("scale"), layout.better_reading(text, F.concat_ws(" ", text, "source")).alias("reading"))
 
 
 @query(f"WITH {CORPUS} SELECT doc_id, coalesce(list_filter({q_lines('t')}, lambda x: contains(lower(x), 'skills') OR contains(lower(x), 'docker'))[1], '') AS line, regexp_matches(coalesce(regexp_extract(t, {quoted(V.EMAIL)}), ''), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AS address FROM c")
@@ -517,22 +560,284 @@ def lines_and_addresses(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", S.line_with(t, ["skills", "docker"]).alias("line"), catalog.valid_email(F.regexp_extract(t, "(?U)" + V.EMAIL, 0)).alias("address"))
 
 
-# --- whole plans ---
+# --- catalogue, files and pages ---
+
+_NAMES = ["JANE DOE", "Jane Doe", "A. B. CEE\nMore", "SUMMARY", "MACHINE LEARNING\nÉVA MÜLLER\nMARY ANN LEE", "X"]
+_TITLED = "array_to_string(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substring(n, i - 1, 1), '[A-Z]') THEN substring(n, i, 1) ELSE lower(substring(n, i, 1)) END), '')"
+
+
+@query(
+    f"WITH {CORPUS}, f AS (SELECT doc_id, coalesce(list_filter(({q_lines(pick_sql(_NAMES, 'doc_id') + ' || chr(10) || t')})[1:10], lambda x: regexp_full_match(x, '[A-Z][A-Z\\s.]+') AND len({q_all('x', r'\S+')}) BETWEEN 2 AND 5 AND lower(x) NOT IN ({', '.join(map(quoted, V.NOT_NAMES))}))[1], '') AS n FROM c) "
+    f"SELECT doc_id, {_TITLED} AS name FROM f"
+)
+def candidate_names(spark, sf_dir):
+    t = F.concat(pick(_NAMES, F.col("doc_id")), F.lit("\n"), F.col("text"))
+    return corpus(spark, sf_dir).select("doc_id", S.candidate_name(t).alias("name"))
+
+
+@query(lambda: f"WITH {CORPUS} SELECT doc_id, {Q_STRUCTURE('t')} AS structure FROM c")
+def structure_scores(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", S.structure(F.col("text")).alias("structure"))
+
+
+_TITLES = [r"\bPurpose\.\s", r"executive\s+summary"]
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, {Q_CLEAN_LINES(q_chain(MARKLESS, *[(p, ' ', 'i') for p in _TITLES]))} AS out FROM c")
+def clean_without_titles(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", T.for_summary(F.col("text"), _TITLES).alias("out"))
+
+
+@query("SELECT doc_id, regexp_replace(f, '(\\.[^.]*)?$', '') || '_' || left(sha256(coalesce(text, '')), 8) || regexp_extract(f, '(\\.[^.]*)?$') AS stored FROM (SELECT doc_id, text, list_extract(['a.txt', 'b', 'c.tar.gz', '.d'], 1 + CAST(doc_id % 4 AS INTEGER)) AS f FROM documents)")
+def stored_names(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", catalog.unique_name(pick(["a.txt", "b", "c.tar.gz", ".d"], F.col("doc_id")), F.coalesce("text", F.lit(""))).alias("stored"))
+
+
+@query("SELECT doc_id, regexp_matches(CASE WHEN doc_id % 7 = 0 THEN chr(10) || ' ' ELSE coalesce(text, '') END, '\\S') AS accepted FROM documents")
+def empty_texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "\n ").otherwise(F.col("text")).alias("text"))
+    good, bad = catalog.split_empty(d)
+    return good.select("doc_id", F.lit(True).alias("accepted")).unionByName(bad.select("doc_id", F.lit(False).alias("accepted")))
+
+
+_ASKED = ["{n}", "new {n}", " ", "new {n}", "new {n}", "new {n}"]
+_MAILS = ["N{n}@x.io", "N{n}@x.io", "n@x.io", "bad", "U{n}@x.io", "n{n}@x.io"]
+
+
+@query(
+    "WITH u AS (SELECT c_name AS username, 'u' || c_custkey || '@x.io' AS email FROM customer), a AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 2 THEN ' ' ELSE 'new ' || c_name END AS username, "
+    "lower(CASE c_custkey % 6 WHEN 2 THEN 'n@x.io' WHEN 3 THEN 'bad' WHEN 4 THEN 'U' || c_custkey || '@x.io' ELSE 'N' || c_custkey || '@x.io' END) AS email, c_custkey % 5 > 0 AS same FROM customer) "
+    "SELECT username, email FROM a WHERE same AND trim(username) <> '' AND email <> 'bad' AND username NOT IN (SELECT username FROM u) AND email NOT IN (SELECT email FROM u)"
+)
+def registrations(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    filled = lambda texts, by: F.replace(pick(texts, k), F.lit("{n}"), by.cast("string"))
+    users = c.select(F.col("c_name").alias("username"), F.concat(F.lit("u"), k, F.lit("@x.io")).alias("email"))
+    asked = c.select(filled(_ASKED, F.col("c_name")).alias("username"), filled(_MAILS, k).alias("email"), F.lit("p").alias("password"), F.when(k % 5 > 0, "p").otherwise("q").alias("confirm"))
+    return catalog.new_users(asked, users).select("username", "email")
+
+
+@query("SELECT doc_id, source, n_chars FROM documents WHERE source = 'src3' AND doc_id = (SELECT min(doc_id) FROM documents WHERE source = 'src3')")
+def document_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    first = docs.where("source = 'src3'").agg(F.min("doc_id")).first()[0]
+    return catalog.lookup(docs, "src3", first)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders QUALIFY place <= 5")
+def recent_documents(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = catalog.recent(table(spark, sf_dir, "orders"), 5, "o_orderdate", "o_orderkey")
+    return o.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey")).alias("place"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n_orders FROM orders GROUP BY o_orderstatus UNION ALL SELECT NULL, count(*) FROM orders")
+def totals_by_status(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", F.lit("").alias("text"))
+    return catalog.totals(o, "o_orderstatus").select("o_orderstatus", F.col("n_documents").alias("n_orders"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey")
+def newest_orders(spark, sf_dir):
+    return catalog.newest_first(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey")
+
+
+def word_files(spark, sf_dir) -> DataFrame:
+    """Nations as DOCX files of a paragraph, a table and a paragraph; some have saved pages, some page breaks."""
 
+    @F.pandas_udf("binary")
+    def content(name: pd.Series, key: pd.Series, region: pd.Series) -> pd.Series:
+        import io
+        import zipfile
 
-@query(f"WITH {CORPUS}, d AS (SELECT doc_id, t, {', '.join(f'{x} AS n{k}' for k, x in enumerate(_N.values()))} FROM c) SELECT doc_id, len({q_all('t', r'\S+')}) AS word_count, greatest(n0, n1, n2) >= 4 AS typed FROM d")
+        p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+        out = []
+        for n, k, r in zip(name, key, region, strict=True):
+            cut = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>' * (k % 3)
+            body = f"{p(n)}<w:tbl><w:tr><w:tc>{p(k)}</w:tc><w:tc>{p(r)}</w:tc></w:tr></w:tbl>{cut}{p(n)}"
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w") as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="urn:w"><w:body>{body}</w:body></w:document>')
+                if k % 2:
+                    z.writestr("docProps/app.xml", f"<Properties><Pages>{k}</Pages></Properties>")
+            out.append(raw.getvalue())
+        return pd.Series(out)
+
+    n = table(spark, sf_dir, "nation")
+    name = F.concat(F.col("n_nationkey").cast("string"), F.lit(".docx"))
+    return n.select(name.alias("path"), name.alias("name"), F.lit("docx").alias("extension"), content("n_name", "n_nationkey", "n_regionkey").alias("content"))
+
+
+@query(
+    "SELECT n_nationkey || '.docx' AS name, n_name || chr(10) || '[TABLE 1]' || chr(10) || n_nationkey || ' | ' || n_regionkey || chr(10) || n_name AS text, "
+    "CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey WHEN n_nationkey % 3 > 0 THEN n_nationkey % 3 + 1 END AS pages, n_nationkey % 2 = 1 AS exact, "
+    "CASE WHEN n_nationkey % 2 = 1 THEN 'Saved Word pages' WHEN n_nationkey % 3 > 0 THEN 'Estimated Word pages' ELSE 'Page count unavailable' END AS label FROM nation"
+)
+def word_documents(spark, sf_dir):
+    return files.documents(word_files(spark, sf_dir)).select("name", "text", F.col("page_info.count").alias("pages"), "page_info.exact", "page_info.label")
+
+
+_KINDS = [".png", ".jpeg", ".exe", ".JPG", ".pdf", ""]
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 6 IN (0, 1, 3) THEN 1 END AS pages, CASE n_nationkey % 6 WHEN 2 THEN 'unsupported file type .exe' WHEN 4 THEN 'no engine for .pdf' WHEN 5 THEN 'unsupported file type .' ELSE 'no engine for .' || list_extract(['png', 'jpeg', '', 'jpg'], 1 + CAST(n_nationkey % 6 AS INTEGER)) END AS error FROM nation")
+def other_files(spark, sf_dir):
+    """Images without an engine are one page; other files say why they have no text."""
+    n = table(spark, sf_dir, "nation")
+    name = F.concat(F.col("n_nationkey").cast("string"), pick(_KINDS, F.col("n_nationkey")))
+    rows = n.select(name.alias("path"), name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.lit(b"x").alias("content"))
+    return files.documents(rows).select(F.regexp_extract("name", r"\A\d+", 0).cast("int").alias("k"), F.col("page_info.count").alias("pages"), "error")
+
+
+def pdf_stub(content: bytes) -> list:
+    """Pages divided by form feeds; one that starts with # is set in two columns. Each has its image."""
+    sides = lambda t: [(0, 40, "l")] * 2 + [(60, 99, "r")] * 2 if t.startswith("#") else []
+    return [(t, 100, sides(t), t.encode()) for t in content.decode().split("\f")]
+
+
+def ocr_stub(image: bytes) -> list:
+    if image.startswith(b"#A"):
+        raise ValueError("unreadable")
+    return ["seen", image.decode().lstrip("#")]
+
+
+@query(
+    "SELECT n_nationkey || '.pdf' AS name, '--- Page 1 ---' || chr(10) || n_name || ' stands among nations everywhere.' || chr(10) || '--- Page 2 ---' || chr(10) || CASE n_nationkey % 3 WHEN 0 THEN '#A' || n_name ELSE 'seen' || chr(10) || CASE n_nationkey % 3 WHEN 1 THEN 'B' ELSE 'C' END || n_name END || chr(10) || '--- Page 3 ---' || chr(10) || 'seen' AS text, 3 AS pages, true AS exact FROM nation"
+)
+def pdf_documents(spark, sf_dir):
+    """Pages with text stand; two-column and empty ones are recognised, and fall back to their own text where that fails."""
+    n = table(spark, sf_dir, "nation")
+    name = F.concat(F.col("n_nationkey").cast("string"), F.lit(".pdf"))
+    content = F.concat(F.col("n_name"), F.lit(" stands among nations everywhere.\f#"), pick(["A", "B", "C"], F.col("n_nationkey")), F.col("n_name"), F.lit("\f")).cast("binary")
+    rows = n.select(name.alias("path"), name.alias("name"), F.lit("pdf").alias("extension"), content.alias("content"))
+    return files.documents(rows, pdf_stub, ocr_stub).select("name", "text", F.col("page_info.count").alias("pages"), "page_info.exact")
+
+
+def shared_home(spark: SparkSession, what: str) -> str:
+    """A new folder below spark.checkpoint.dir, else below the warehouse, both of which executors share."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+@query("SELECT n_nationkey AS k, n_name || chr(10) || n_regionkey AS text, 1 AS pages, 'Estimated text pages' AS label FROM nation")
+def text_files(spark, sf_dir):
+    """Nations written as a text file each, found by a scan and read."""
+    home = shared_home(spark, "texts")
+    n = table(spark, sf_dir, "nation")
+    n.select("n_nationkey", F.concat_ws("\n", "n_name", F.col("n_regionkey").cast("string")).alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(home)
+    found = files.scan(spark, home).where("extension = 'txt'")
+    return files.documents(found).select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("k"), "text", F.col("page_info.count").alias("pages"), "page_info.label")
+
+
+@query(f"WITH {CORPUS} SELECT CAST(doc_id AS VARCHAR) || chr(10) || t AS report, to_json({{'doc_id': doc_id, 'lang': lang}}) AS json FROM c")
+def written_sinks(spark, sf_dir):
+    """Texts written as reports and as JSON, and read back."""
+    home = shared_home(spark, "sinks")
+    rows = corpus(spark, sf_dir, "lang")
+    files.write_reports(rows.select(F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("report")), f"{home}/reports")
+    files.write_json(rows.select("doc_id", "lang"), f"{home}/json")
+    reports = spark.read.text(f"{home}/reports", lineSep=files.REPORT_END).select(F.col("value").alias("report"), F.regexp_extract("value", r"\A-?\d+", 0).cast("long").alias("doc_id"))
+    listed = spark.read.text(f"{home}/json").select(F.col("value").alias("json"), F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
+    return reports.join(listed, "doc_id").select("report", "json")
+
+
+_BLOCKS = "b AS (SELECT l_orderkey AS page_id, CAST(l_partkey % 100 AS DOUBLE) AS x0, CAST(l_partkey % 100 + l_suppkey % 20 AS DOUBLE) AS x1, CASE WHEN l_linenumber < 6 THEN 'x' ELSE ' ' END AS t FROM lineitem)"
+
+
+@query(
+    f"WITH {_BLOCKS}, n AS (SELECT page_id, count(*) AS n, count(*) FILTER (WHERE (x0 + x1) / 2 < 46) AS l, count(*) FILTER (WHERE (x0 + x1) / 2 > 54) AS r FROM b WHERE t <> ' ' GROUP BY page_id) "
+    "SELECT o_orderkey AS page_id, o_orderkey % 5 = 0 OR coalesce(n >= 4 AND l >= 2 AND r >= 2, false) AS complex FROM orders LEFT JOIN n ON o_orderkey = page_id"
+)
+def complex_pages(spark, sf_dir):
+    fine = "A plain sentence of selectable text stands here."
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.when(F.col("o_orderkey") % 5 > 0, fine).alias("text"), F.lit(100).alias("page_width"))
+    x0 = (F.col("l_partkey") % 100).cast("double")
+    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), x0.alias("x0"), (x0 + F.col("l_suppkey") % 20).alias("x1"), F.when(F.col("l_linenumber") < 6, "x").otherwise(" ").alias("text"))
+    return layout.complex_pages(pages, blocks)
+
+
+@query(
+    f"WITH {CORPUS}, d AS (SELECT doc_id, trim(source) AS l, {q_strip('t')} AS r, 600 + doc_id % 400 AS w, 300 + doc_id % 90 AS z FROM c) SELECT doc_id, greatest(1, z - CAST(floor(w * 0.015) AS INTEGER)) AS left_end, least(w - 1, z + CAST(floor(w * 0.015) AS INTEGER)) AS right_begin, "
+    "CASE WHEN length(l) + length(r) >= 30 THEN array_to_string(list_filter([l, r], lambda x: x <> ''), chr(10) || chr(10)) ELSE '' END AS joined FROM d"
+)
+def page_sides(spark, sf_dir):
+    i = F.col("doc_id").cast("int")
+    d = corpus(spark, sf_dir, "source").select("doc_id", recognition.edges(600 + i % 400, 300 + i % 90).alias("e"), recognition.joined_columns(F.trim("source"), T.strip(F.col("text"))).alias("joined"))
+    return d.select("doc_id", F.col("e.left").alias("left_end"), F.col("e.right").alias("right_begin"), "joined")
+
+
+# --- whole plans ---
+
+Q_PURPOSE = lambda low: f"CASE WHEN contains({low}, 'python') AND contains({low}, 'environment') AND contains({low}, 'deployment') AND contains({low}, 'machine learning') THEN {quoted(V.PURPOSES['full'])} WHEN contains({low}, 'machine learning') AND contains({low}, 'data science') THEN {quoted(V.PURPOSES['learning'])} WHEN contains({low}, 'python') THEN {quoted(V.PURPOSES['python'])} ELSE {quoted(V.PURPOSES['other'])} END"
+Q_COVERAGE = lambda p: f"CASE len({p}) WHEN 0 THEN '' WHEN 1 THEN 'The main technical area covered is ' || {p}[1] || '.' ELSE 'The main technical areas covered are ' || array_to_string({p}[1:len({p}) - 1], ', ') || ' and ' || {p}[len({p})] || '.' END"
+Q_STRUCTURE = lambda x: f"CAST(coalesce(list_sum(list_transform({q_lines(x)}, lambda l: CAST(contains(l, '|') AS INTEGER) + 2 * CAST(contains(upper(l), '[TABLE') AS INTEGER) + CAST(regexp_matches(lower(l), {quoted(V.COMMAND_LINE)}) AS INTEGER))), 0) AS INTEGER)"
+Q_FIRST = lambda x, ps: "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, {quoted('(?i)' + p)}), '')" for p in ps) + ", '')"
+Q_BULLETS = lambda a: f"array_to_string(list_transform({a}, lambda z: '• ' || z), chr(10))"
+_NL2 = "chr(10) || chr(10)"
+_BLOCK = lambda title, body, there: f"CASE WHEN {there} THEN {quoted(title)} || chr(10) || {body} END"
+_POINT = lambda x: f"CASE WHEN {x} <> '' THEN '• ' || upper(left({x}, 1)) || lower(substring({x}, 2)) || '.' END"
+_CV_AIM = "CASE WHEN exp <> '' THEN 'The candidate has ' || exp ELSE 'The candidate has a background in Data Science, AI and related technical fields' END"
+SUMMARISED = f"""d AS (SELECT doc_id, t, {CLEANED} AS s FROM c), once AS (SELECT doc_id, s AS t FROM d), twice AS (SELECT doc_id, {CLEANED} AS s FROM once),
+{q_chosen('twice', 4, 'four')}, {q_chosen('twice', 5, 'five')}, {_SECTIONS_OF},
+k AS (SELECT doc_id, idx, {q_sub('x', r'\s+', ' ')} AS x, {_EDU} AS edu, {_PRO} AS pro FROM sec WHERE h IS NULL),
+p AS (SELECT doc_id, x, edu, pro, min(idx) AS idx FROM k WHERE edu OR pro GROUP BY doc_id, x, edu, pro), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, edu ORDER BY idx) AS r FROM p),
+entries AS (SELECT doc_id, list(x ORDER BY idx) FILTER (WHERE edu AND r <= 6 AND length(x) <= 150) AS edu, list(x ORDER BY idx) FILTER (WHERE pro AND r <= 8) AS pro FROM r GROUP BY doc_id),
+facts AS (SELECT d.doc_id AS doc_id, t, s, coalesce(edu, []) AS edu, coalesce(pro, []) AS pro, {q_named({n: f'contains(lower(s), {quoted(w)})' for n, w in V.SKILLS.items()})} AS ski, {q_strip(Q_FIRST('s', V.CV_EXPERIENCE))} AS exp, {q_strip(q_sub(Q_FIRST('s', V.CV_ACCURACY), r'\s+', ' '))} AS acc,
+  {q_contained('lower(s)', V.CV_STRONG)} >= 2 OR {q_contained('lower(s)', V.CV_TERMS)} >= 6 AS cv, {Q_STRUCTURE('s')} AS structure, {Q_TOPICS('s')}[1:12] AS topics, {Q_PURPOSE('lower(s)')} AS purpose FROM d LEFT JOIN entries ON d.doc_id = entries.doc_id),
+aims AS (SELECT *, concat_ws(' ', {_CV_AIM}, CASE WHEN len(ski) > 0 THEN 'with skills including ' || array_to_string(ski[1:8], ', ') END) AS aim,
+  concat_ws(', ', nullif(exp, ''), CASE WHEN len(pro) > 0 THEN len(pro) || ' notable project(s)' END, nullif(acc, '')) AS overview, {Q_COVERAGE('topics')} AS coverage,
+  CASE WHEN t = '' THEN 'empty' WHEN cv THEN 'resume' WHEN structure >= 8 THEN 'structured' WHEN length(s) < 1200 THEN 'short' ELSE 'normal' END AS kind FROM facts),
+summarised AS (SELECT a.doc_id AS doc_id, kind, CASE WHEN kind = 'empty' OR s = '' THEN {quoted(V.NO_TEXT)}
+  WHEN kind = 'resume' THEN concat_ws({_NL2}, 'PURPOSE' || chr(10) || aim || CASE WHEN ends_with(aim, '.') THEN '' ELSE '.' END, {_BLOCK('EDUCATION', Q_BULLETS('edu'), 'len(edu) > 0')}, {_BLOCK('PROJECTS', Q_BULLETS('pro'), 'len(pro) > 0')},
+    {_BLOCK('SKILLS', "array_to_string(ski, ', ') || '.'", 'len(ski) > 0')}, {_BLOCK('KEY ACHIEVEMENTS', f"concat_ws(chr(10), {_POINT('acc')}, {_POINT('exp')})", "acc <> '' OR exp <> ''")}, {_BLOCK('OVERVIEW', "'Overall, the CV highlights ' || overview || '.'", "overview <> ''")})
+  WHEN kind = 'short' THEN concat_ws({_NL2}, purpose, {_BLOCK('KEY FLOW / STEPS', Q_BULLETS('four.chosen'), 'len(four.chosen) > 0')})
+  ELSE concat_ws({_NL2}, 'PURPOSE' || chr(10) || purpose, chr(10) || {_BLOCK('COVERAGE', 'coverage', "coverage <> ''")}, chr(10) || {_BLOCK('KEY POINTS', Q_BULLETS('five.chosen'), 'len(five.chosen) > 0')}) END AS summary
+  FROM aims a LEFT JOIN four ON a.doc_id = four.doc_id LEFT JOIN five ON a.doc_id = five.doc_id)"""
+
+
+def q_of(name: str) -> str:
+    """The SQL of another query, as a table; of one that is put together later too."""
+    sql = ORACLES[name]
+    return f"({sql() if callable(sql) else sql})"
+
+
+@query(lambda: f"SELECT * FROM {q_of('document_types')} JOIN {q_of('words_and_pages')} USING (doc_id) JOIN {q_of('keyword_lists')} USING (doc_id) JOIN {q_of('information_record')} USING (doc_id) JOIN (SELECT doc_id, summary FROM {q_of('document_summaries')}) USING (doc_id)")
 def document_analysis(spark, sf_dir):
     rows = analysis.analyse(corpus(spark, sf_dir))
-    typed = reduce(lambda a, b: F.greatest(a, b), [T.contained(F.lower("text"), ws) for ws in V.TYPE_WORDS.values()]) >= 4
-    return rows.where("keywords IS NOT NULL AND summary <> '' AND information IS NOT NULL").select("doc_id", "word_count", typed.alias("typed"))
+    listed = [F.array_join(f"information.{n}", " ; ").alias(n) for n in _RECORD]
+    return rows.select("doc_id", F.col("document_type").alias("kind"), F.col("word_count").alias("n_words"), X.estimated_pages(F.col("text")).alias("n_pages"), F.array_join("keywords", " ; ").alias("keywords"), *listed, "information.pages_processed", "information.tables_detected", "information.message", "summary")
+
 
+_LISTED = lambda a, none: f"CASE WHEN {a} <> '' THEN '- ' || replace({a}, ' ; ', chr(10) || '- ') ELSE {quoted(none)} END"
+_SAID = lambda n: f"{quoted(n.replace('_', ' ').title() + ': [')} || chr(39) || replace({n}, ' ; ', chr(39) || ', ' || chr(39)) || chr(39) || ']'"
+_SHOWN = "concat_ws(chr(10), " + ", ".join([*map(_SAID, list(_RECORD)[:3]), "'Pages Processed: ' || pages_processed", "'Tables Detected: ' || tables_detected", *map(_SAID, list(_RECORD)[3:]), "'Message: ' || message"]) + ")"
+_RULE = lambda c: quoted(c * 60)
+_REPORT = ", ".join([
+    quoted("DOCUMENT ANALYSIS"), _RULE("="), "''", "'Document: doc_' || doc_id || '.txt'", "'Uploaded At: 2024-01-02 03:04:05'", "''", "'AI-POWERED ANALYSIS'", _RULE("="), "''",
+    "'AI SUMMARY'", _RULE("-"), "CASE WHEN success THEN ai_summary ELSE 'No text available for AI analysis.' END", "''", "'KEY INSIGHTS'", _RULE("-"), "CASE WHEN success AND insights <> '' THEN '- ' || replace(insights, chr(10), chr(10) || '- ') ELSE 'No AI insights available.' END", "''",
+    "'KEYWORDS'", _RULE("-"), _LISTED("keywords", "No keywords found."), "''", "'EXTRACTED INFORMATION'", _RULE("-"), f"coalesce(nullif({_SHOWN}, ''), 'No structured information found.')", "''",
+    "'SUMMARY'", _RULE("-"), "coalesce(nullif(summary, ''), 'No summary available.')", "''", "'EXTRACTED TEXT'", _RULE("-"), "coalesce(nullif(t, ''), 'No text could be extracted.')",
+])
 
-@query()
+
+@query(lambda: f"WITH {CORPUS} SELECT doc_id, concat_ws(chr(10), {_REPORT}) AS report FROM c JOIN {q_of('document_analysis')} USING (doc_id) JOIN (SELECT doc_id, success, summary AS ai_summary, insights FROM {q_of('model_summaries')}) USING (doc_id)")
 def analysis_reports(spark, sf_dir):
-    return analysis.report(analysis.analyse(corpus(spark, sf_dir)), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))
+    rows = analysis.analyse(corpus(spark, sf_dir), model=analysis.offline)
+    return analysis.report(rows, F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")), uploaded=F.lit("2024-01-02 03:04:05").cast("timestamp"))
+
+
+_STUBBED = f"list_filter(list_transform(string_split(replace(m, chr(10), ' '), '. '), lambda x: {q_strip('x')}), lambda x: x <> '')"
 
 
-@query()
+@query(
+    f"WITH {CORPUS}, m AS (SELECT doc_id, t, {_MODEL} AS s FROM c), n AS (SELECT doc_id, t, array_to_string({q_lines('s')}, chr(10)) AS m FROM m), q AS (SELECT doc_id, t, {_STUBBED} AS l FROM n), "
+    f"answers AS (SELECT doc_id, t AS body, 'SUMMARY: ' || array_to_string(l[1:2], '. ') || chr(10) || 'KEY INSIGHTS:' || chr(10) || array_to_string(list_transform(l[1:3], lambda x: '- ' || x), chr(10)) AS a FROM q), {ANSWERED} "
+    f"SELECT c.doc_id AS doc_id, {q_strip('c.t')} <> '' AS success, CASE WHEN {q_strip('c.t')} <> '' THEN summary ELSE '' END AS summary, CASE WHEN {q_strip('c.t')} <> '' THEN array_to_string(insights, chr(10)) ELSE '' END AS insights FROM answered JOIN c ON c.doc_id = answered.doc_id"
+)
 def model_summaries(spark, sf_dir):
     return analysis.model_analysis(corpus(spark, sf_dir)).select("doc_id", "ai.success", "ai.summary", F.array_join("ai.insights", "\n").alias("insights"))
 
@@ -540,12 +845,12 @@ def model_summaries(spark, sf_dir):
 @query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS word_count FROM documents")
 def streaming_ingest(spark, sf_dir):
     """The table read as a stream, analysed batch by batch, and the result read back."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
-    home = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    home = shared_home(spark, "ingest")
     path = f"{sf_dir}/documents.parquet"
     docs = ingest.incoming(spark, path, spark.read.parquet(path).schema)
     ingest.run(ingest.analysed(docs), f"{home}/out", f"{home}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{home}/out").select("doc_id", "word_count")
+
+
+for _name in ORACLES:
+    ORACLES[_name] = q_of(_name)[1:-1]

@@ -104,7 +104,8 @@ def parse(kind: str, content: bytes, pdf: Engine | None, ocr: Engine | None) ->
             return docx_blocks(content), *docx_pages(content), None
         engine = {"pdf": pdf}.get(kind, ocr if kind in ("jpg", "jpeg", "png") else None)
         if engine is None:
-            return None, None, False, "Page count unavailable", f"no engine for .{kind}"
+            pages = (None, False, "Page count unavailable") if kind == "pdf" else (1, True, "Image page")  # an image is a page, read or not (P7)
+            return None, *pages, f"no engine for .{kind}"
         parts = [x if isinstance(x, str) else x[0] or "" for x in engine(content)]
         if kind == "pdf":
             marked = [f"--- Page {n} ---\n{t.strip() or '[No text detected on this page]'}" for n, t in enumerate(parts, 1)]
@@ -190,9 +191,13 @@ def utf8(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+#: What stands between reports in a file; no text has it.
+REPORT_END = "\n\f\n"
+
+
 def write_reports(rows: DataFrame, path: str, report: str = "report") -> None:
     """One text row per report."""
-    rows.select(report).write.mode("overwrite").text(path, lineSep="\n\f\n")
+    rows.select(report).write.mode("overwrite").text(path, lineSep=REPORT_END)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

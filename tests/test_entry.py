@@ -19,7 +19,7 @@ def test_entry_runs(spark):
 
 
 def test_queries_run_on_the_smallest_tables(spark):
-    for name in ("keyword_lists", "document_types", "resume_entries", "page_columns", "document_upsert", "lines_by_page"):
+    for name in ("keyword_lists", "document_types", "resume_entries", "page_columns", "document_upsert", "lines_by_page", "pdf_documents", "text_files"):
         assert own.QUERIES[name](spark, SMALL).count() > 0, name
 
 

@@ -1,12 +1,15 @@
 """Operators on DataFrames, sources, plans and streams."""
 
 import io
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import catalog, keywords, layout, summaries
+from docloom.functions import counting
+from docloom.operators import catalog, keywords, layout, placement, recognition, summaries
 from docloom.plans import analysis
 from docloom.sources import files
 from docloom.streaming import ingest
@@ -55,7 +58,8 @@ def test_catalog(spark):
     assert ids(catalog.remove(docs, new)) == [1, 3, 4]
     good, bad = catalog.split_empty(docs)
     assert ids(good) == [1, 2, 3] and ids(bad) == [4]
-    assert [r.marked for r in catalog.occurrences(docs, "a_b").collect()] == ["[a_b] 50%"]
+    assert [(r.marked, r.pages) for r in catalog.occurrences(docs, "a_b").collect()] == [("[a_b] 50%", [0])]
+    assert ids(catalog.recent(docs.withColumn("uploaded_at", F.lit(5) - F.col("doc_id")), 2)) == [1, 2]
     users = spark.createDataFrame([("ann", "ann@x.io")], "username string, email string")
     asked = [("ann", "z@x.io", "p", "p"), ("bob", "ANN@x.io", "p", "p"), ("cat", "cat@x.io", "p", "q"), ("dan", "dan@x.io", "p", "p"), ("eve", "bad", "p", "p")]
     fresh = catalog.new_users(spark.createDataFrame(asked, "username string, email string, password string, confirm string"), users)
@@ -106,6 +110,7 @@ def test_files_become_documents(spark, tmp_path):
     assert (got["c.docx"].page_info["count"], got["c.docx"].page_info.exact) == (2, False)
     assert got["d.docx"].error and got["d.docx"].page_info.label == "Page count unavailable"
     assert got["e.pdf"].text == "--- Page 1 ---\npage one\n--- Page 2 ---\n[No text detected on this page]" and got["e.pdf"].page_info["count"] == 2
+    assert tuple(got["f.png"].page_info) == (1, True, "Image page")
     assert "no engine" in got["f.png"].error and "unsupported" in got["g.exe"].error
 
 
@@ -143,18 +148,67 @@ def test_analysis_and_report(spark):
     got = {r.doc_id: r for r in rows.collect()}
     assert set(got) == {0, 1} and got[0].information.emails == ["a@b.co"] and got[1].keywords == []
     text = {r.doc_id: r.report for r in analysis.report(rows, F.lit("n.txt")).collect()}
-    assert "Emails: a@b.co" in text[0] and "No keywords found." in text[1] and "No text could be extracted." in text[1]
+    assert "Emails: ['a@b.co']" in text[0] and "AI analysis is not configured." in text[0] and "KEY INSIGHTS" in text[0] and "No keywords found." in text[1] and "No text could be extracted." in text[1]
 
 
-def test_one_exchange_carries_the_texts(spark, tmp_path):
+def test_analysis_shuffles_nothing(spark, tmp_path):
     frame(spark, "Docker and Flask are used.").write.parquet(str(tmp_path / "d"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = analysis.analyse(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    placed = [x for x in plan.splitlines() if "REPARTITION_BY_COL" in x and "ReusedExchange" not in x]
-    assert plan.count("ReusedExchange") >= 4 and len(placed) <= 3, plan  # of ids alone, of texts, and of texts renamed by a union
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for df in (analysis.analyse(docs), keywords.keywords(docs), keywords.ranked_terms(docs), summaries.summaries(docs), summaries.scored_sentences(summaries.prepared(docs))):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    docs = spark.createDataFrame([(None, "flask and django here"), (1, "docker twice docker"), (1, "pandas alone"), (1, "pandas alone")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.keywords[0]) for r in keywords.keywords(docs).collect())
+    assert got == [(0, "django"), (1, "docker"), (1, "pandas"), (1, "pandas")]
+    assert analysis.analyse(docs).count() == summaries.summaries(docs).count() == 4
+
+
+def test_counting_in_arrays(spark):
+    rng = random.Random(3)
+    lists = [[rng.choice("abcde") for _ in range(rng.randint(0, 30))] for _ in range(40)] + [[]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, a array<string>")
+    got = df.select("k", counting.counted(F.col("a")).alias("c"), counting.first_of_each(F.col("a"), F.upper).alias("f")).collect()
+    for r in got:
+        want = Counter(lists[r.k])
+        assert {x.item: (x.n, x.first) for x in r.c} == {x: (n, lists[r.k].index(x)) for x, n in want.items()}
+        assert r.f == list(dict.fromkeys(lists[r.k]))
+
+
+def test_small_tables_are_spread_and_large_ones_left(spark):
+    docs = spark.range(10)
+    assert placement.spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "Exchange" not in placement.spread(docs, task_bytes=1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_python_lists(spark):
+    lists = [["a"], ["it's", 'say "x"', "both ' and \""], ["a\\b", "tab\there\nline"], []]
+    df = spark.createDataFrame([(x,) for x in lists], "a array<string>")
+    assert [r.v for r in df.select(analysis.quoted_list(F.col("a")).alias("v")).collect()] == [repr(x) for x in lists]
+
+
+def test_recognition_of_images(spark):
+    """Two columns, a page that a second reading improves, an engine that fails."""
+
+    def words(image):
+        if image == b"two":
+            return 1000, [("w", 90.0, x, 20) for x in (90, 140, 190, 240, 690, 740, 790, 840)]
+        return 1 / 0 if image == b"broken" else (1000, [])
+
+    def read(image, mode, span):
+        if image == b"broken":
+            raise ValueError
+        if image == b"two":
+            return "the left column of a page" if span and span[0] == 0 else "the right column" if span else "never"
+        return {6: "short", 11: "a longer reading of the sparse page"}[mode]
+
+    images = spark.createDataFrame([(1, b"two"), (2, b"sparse"), (3, b"broken")], "image_id long, image binary")
+    got = {r.image_id: r.text for r in recognition.recognise(images, words, read).collect()}
+    # columns are apart by an empty line, which cleaning takes out
+    assert got == {1: "the left column of a page\nthe right column", 2: "a longer reading of the sparse page", 3: ""}
+    e = spark.range(1).select(recognition.edges(F.lit(1000), F.lit(10)).alias("e"), recognition.edges(F.lit(1000), F.lit(995)).alias("f")).first()
+    assert tuple(e.e) == (1, 25) and tuple(e.f) == (980, 999)
 
 
 def test_stream(spark, tmp_path):
