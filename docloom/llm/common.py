@@ -84,10 +84,33 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds) == 0
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of the keys of a side, those with more than a row in so many of the other are sent to all executors: there are no more keys than that.
+HOT_KEYS = 10_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, on: str, size: Column, total: int) -> DataFrame:
+    """rows joined with side (one row a key, each with `size` of the `total` rows) without a task that gets all rows of a hot key.
+
+    At most HOT_KEYS keys have more than total / HOT_KEYS rows; their rows meet
+    the side where they are, and only the others are shuffled.
+    """
+    most = max(1, total // HOT_KEYS)
+    hot, rest = F.broadcast(side.where(size > most)), side.where(size <= most)
+    cold = rows.join(hot.select(on), on, "left_anti")
+    return rows.join(hot, on).unionByName(cold.join(rest, on))
+
+
 #: Most bytes of keys that are sent to all executors to drop rows; beyond, both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -96,8 +119,7 @@ def without(docs: DataFrame, removed: DataFrame, key: dict[str, Column], row_byt
     """docs without the rows whose key (names of removed to expressions over docs) is in removed."""
     removed = cut(removed.select(*key).distinct())
     small = removed.count() * row_bytes <= BROADCAST_BYTES
-    marked = docs.withColumns({f"_{k}": c for k, c in key.items()})
-    side = removed.toDF(*[f"_{k}" for k in key])
-    on = [F.col(f"l._{k}").eqNullSafe(F.col(f"r._{k}")) for k in key]
-    both = marked.alias("l").join((F.broadcast(side) if small else side).alias("r"), on, "left_anti")
-    return both.select(*docs.columns)
+    own = {k: unused(docs, k) for k in key}
+    side = removed.select(*[F.col(k).alias(f"removed {k}") for k in key])
+    on = [F.col(own[k]).eqNullSafe(F.col(f"removed {k}")) for k in key]
+    return docs.withColumns({own[k]: c for k, c in key.items()}).join(F.broadcast(side) if small else side, on, "left_anti").select(*docs.columns)
