@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import ship, text_of, unused
 
 #: Wording of public license notices (fixed values).
 TEMPLATES = {
@@ -179,14 +179,15 @@ FOUND = "array<struct<license:string,start:int,end:int,missing:int,between:int>>
 def scan_licenses(docs: DataFrame, text: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
     """docs with n_blocks and found: array of license, start, end, missing, between."""
     ship(docs.sparkSession)
-    own = tuple(sorted((texts or TEMPLATES).items()))
+    listed = tuple(sorted((texts or TEMPLATES).items()))
 
     @F.pandas_udf(f"n_blocks long, found {FOUND}")
     def scan(column: pd.Series) -> pd.DataFrame:
-        t = templates(own)
+        t = templates(listed)
         names = ("license", "start", "end", "missing", "between")
         rows = [(n, [dict(zip(names, f, strict=True)) for f in found]) for n, found in map(t.scan, column)]
         return pd.DataFrame(rows, columns=["n_blocks", "found"])
 
     keep = [c for c in docs.columns if c not in ("n_blocks", "found")]
-    return docs.withColumn("_scan", scan(text_of(text))).select(*keep, "_scan.n_blocks", "_scan.found")
+    own = unused(docs, "scan")
+    return docs.withColumn(own, scan(text_of(text))).select(*keep, f"{own}.n_blocks", f"{own}.found")

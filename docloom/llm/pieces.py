@@ -2,17 +2,18 @@
 
 Method: a text becomes the symbols of its characters; an agenda of candidate
 merges is worked off, best piece first and leftmost among equals, but a
-candidate is skipped if a hash keyed by (seed, variant, chunk, left, middle,
-right) falls below alpha. A skipped candidate stays skipped, so a segmentation
-is a function of the key alone: it can be repeated anywhere, and no random
-state is kept. The variant is drawn by hash from doc_id and the place in the
-text, so that equal words of a text are segmented differently. With alpha 0 the
-library's own BPE segmentation results.
+candidate is skipped if a hash keyed by (seed, document, place of the chunk in
+the text, left, middle, right) falls below alpha. A skipped candidate stays
+skipped, so a segmentation is a function of the key alone: it can be repeated
+anywhere, and no random state is kept. Every occurrence of a word has a key of
+its own. With alpha 0 the library's own BPE segmentation results.
 
 No piece spans a space after a letter or a line break, so texts are encoded
-chunk by chunk, and each distinct (chunk, variant) of a batch once. The agendas
-of all short chunks advance together, one merge a step, as array operations;
-long chunks have a heap each, of n log n.
+chunk by chunk. Each distinct chunk of a batch is first segmented without
+dropout, and the candidates that came up are kept; an occurrence whose key skips
+none of them is segmented just so, and only the others have an agenda of their
+own. The agendas of all short chunks advance together, one merge a step, as
+array operations; long chunks have a heap each, of n log n.
 
 Decoding joins the pieces' bytes. It is lossless for every text: characters
 without a piece, and U+2581 itself, which the library would read as a space,
@@ -32,15 +33,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import ship, text_of, unused
 
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
-ALPHA, VARIANTS, SEED = 0.1, 4, 1
+ALPHA, SEED = 0.1, 1
 #: Longer chunks have a heap of their own.
 SHORT = 40
 #: Characters that are encoded together.
@@ -49,6 +49,9 @@ TOGETHER = 1_000_000
 CELLS = 500_000
 NEVER = np.int32(2**31 - 1)
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Odd factors of a candidate's left, middle and right places.
+PLACES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+FULL = 2**64 - 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,6 +62,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mixed_one(x: int) -> int:
+    x = (x + MIX[0]) & FULL
+    x = ((x ^ (x >> 30)) * MIX[1]) & FULL
+    x = ((x ^ (x >> 27)) * MIX[2]) & FULL
+    return x ^ (x >> 31)
+
+
+def candidate(k, m, r):
+    """A number for a candidate that joins the symbols at k and m, r being the next; for arrays of uint64."""
+    return k * np.uint64(PLACES[0]) + m * np.uint64(PLACES[1]) + r * np.uint64(PLACES[2])
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each stretch, one stretch after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(int(size.sum()))
+
+
 class PieceCoder:
     """Encodes and decodes with one model; one is built per worker and model file."""
 
@@ -107,11 +128,8 @@ class PieceCoder:
     def limit(self, alpha: float) -> int:
         return min(int(alpha * 2.0**64), 2**64 - 1)
 
-    def keys_of(self, hashes: np.ndarray, variants: np.ndarray, seed: int) -> np.ndarray:
-        return mixed(hashes ^ mixed(np.uint64(seed & (2**64 - 1)) + (variants.astype(np.uint64) << np.uint64(32))))
-
-    def spans(self, chunk: str, key: int, limit: int) -> list[int]:
-        """Pieces of one chunk by a heap; takes any characters and lengths."""
+    def spans(self, chunk: str, key: int, limit: int, offered: list[int] | None = None) -> list[int]:
+        """Pieces of one chunk by a heap; takes any characters and lengths. offered: gets the candidates that came up."""
         spelled, pairs, end = self.spelled, self.pairs, len(chunk)
         ids = [spelled.get(c, -1) for c in chunk]
         nxt, prv, heap = [*range(1, end + 1)], [*range(-1, end - 1)], []
@@ -119,9 +137,11 @@ class PieceCoder:
         def offer(k: int) -> None:
             m = nxt[k]
             if m < end and (p := pairs.get((ids[k], ids[m]))):
-                if limit:
-                    where = np.array([k << 42 | m << 21 | nxt[m]], dtype=np.uint64)
-                    if int(mixed(where ^ np.uint64(key))[0]) < limit:
+                if limit or offered is not None:
+                    where = (k * PLACES[0] + m * PLACES[1] + nxt[m] * PLACES[2]) & FULL
+                    if offered is not None:
+                        offered.append(where)
+                    if mixed_one(where ^ key) < limit:
                         return
                 heapq.heappush(heap, (p[0], k, m, nxt[m], p[1]))
 
@@ -152,8 +172,8 @@ class PieceCoder:
         at = np.searchsorted(self.keys, want)
         return np.where(self.keys[at] == want, at, len(self.keys) - 1)
 
-    def agendas(self, ids: np.ndarray, length: np.ndarray, key: np.ndarray, limit: int) -> np.ndarray:
-        """Work off the agendas of all rows together. ids (n, w + 2): symbols from column 0 on, else -1; changed in place."""
+    def agendas(self, ids: np.ndarray, length: np.ndarray, key: np.ndarray, limit: int, offered: list | None = None) -> np.ndarray:
+        """Work off the agendas of all rows together. ids (n, w): symbols from column 0 on, else -1; changed in place. offered: gets (rows, candidates)."""
         n, w = ids.shape
         cols = np.arange(w, dtype=np.int32)
         nxt, prv = np.tile(cols + 1, (n, 1)), np.tile(cols - 1, (n, 1))
@@ -165,9 +185,13 @@ class PieceCoder:
             rows, k, m = rows[ok], k[ok], m[ok]
             at = self.look_up(ids[rows, k], ids[rows, m])
             r = self.ranks[at]
-            if limit:
-                where = k.astype(np.uint64) << np.uint64(42) | m.astype(np.uint64) << np.uint64(21) | nxt[rows, m].astype(np.uint64)
-                r = np.where(mixed(where ^ key[rows]) < np.uint64(limit), NEVER, r)
+            if limit or offered is not None:
+                where = candidate(k.astype(np.uint64), m.astype(np.uint64), nxt[rows, m].astype(np.uint64))
+                if offered is not None:
+                    there = r < NEVER
+                    offered.append((rows[there], where[there]))
+                if limit:
+                    r = np.where(mixed(where ^ key[rows]) < np.uint64(limit), NEVER, r)
             rank[rows, k], made[rows, k] = r, self.made[at]
 
         rows, k = np.nonzero(cols[None, :] < length[:, None] - 1)
@@ -191,11 +215,8 @@ class PieceCoder:
             offer(rows, k)
         return ids
 
-    def segment(self, chunks: list[str], which: np.ndarray, variants: np.ndarray, seed: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of each (chunks[which], variant): flat ids and where each begins."""
-        limit = self.limit(alpha)
-        hashes = np.array([xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass")) for c in chunks], dtype=np.uint64)
-        key = self.keys_of(hashes[which], variants, seed)
+    def worked_off(self, chunks: list[str], which: np.ndarray, keys: np.ndarray, limit: int, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of each (chunks[which], key): flat ids, and where each begins, with the end. offered: gets (place in which, candidates)."""
         size = np.array(list(map(len, chunks)), dtype=np.int64)
         begin = np.cumsum(size) - size
         spelled = self.by_point[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -210,57 +231,80 @@ class PieceCoder:
                 n, cols = size[which[part]], np.arange(b, dtype=np.int64)
                 inside = cols[None, :] < n[:, None]
                 ids = np.where(inside, spelled[np.minimum(begin[which[part]][:, None] + cols[None, :], len(spelled) - 1)], -1).astype(np.int32)
-                ids = self.agendas(ids, n, key[part], limit)
+                own = [] if offered is not None else None
+                ids = self.agendas(ids, n, keys[part], limit, own)
+                if own is not None:
+                    offered += [(part[rows], where) for rows, where in own]
                 keep = ids >= 0
                 count[part] = keep.sum(1)
                 done.append((part, ids[keep]))
         for k in np.flatnonzero(size[which] == 0):
-            own = np.array(self.spans(chunks[which[k]], int(key[k]), limit), dtype=np.int32)
-            count[k] = len(own)
-            done.append((np.array([k]), own))
+            own = [] if offered is not None else None
+            ids = np.array(self.spans(chunks[which[k]], int(keys[k]), limit, own), dtype=np.int32)
+            if own is not None:
+                offered.append((np.full(len(own), k), np.array(own, dtype=np.uint64)))
+            count[k] = len(ids)
+            done.append((np.array([k]), ids))
         starts = np.r_[0, np.cumsum(count)]
         flat = np.zeros(int(starts[-1]), np.int32)
         for part, ids in done:
-            n = count[part]
-            flat[np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+            flat[spread(starts[part], count[part])] = ids
         return flat, starts
 
-    def encode(self, texts: list[str | None], doc_keys: list[int], seed: int = SEED, alpha: float = ALPHA, variants: int = VARIANTS) -> list[np.ndarray]:
+    def segment(self, chunks: list[str], which: np.ndarray, keys: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of each (chunks[which], key): flat ids, where each begins and its length."""
+        limit = self.limit(alpha)
+        offered = [] if limit else None
+        flat, starts = self.worked_off(chunks, np.arange(len(chunks)), np.zeros(len(chunks), np.uint64), 0, offered)
+        begin, size = starts[which], np.diff(starts)[which]
+        if limit and len(which):
+            of = np.concatenate([o for o, _ in offered]) if offered else np.zeros(0, np.int64)
+            where = np.concatenate([w for _, w in offered])[np.argsort(of, kind="stable")] if offered else np.zeros(0, np.uint64)
+            n = np.bincount(of, minlength=len(chunks))
+            first = np.cumsum(n) - n
+            skipped = np.zeros(len(which), bool)
+            for part in np.array_split(np.arange(len(which)), int(n[which].sum()) // (4 * CELLS) + 1):
+                each = n[which[part]]
+                hit = mixed(where[spread(first[which[part]], each)] ^ np.repeat(keys[part], each)) < np.uint64(limit)
+                ends = np.cumsum(each)
+                total = np.r_[0, np.cumsum(hit)]
+                skipped[part] = total[ends] > total[ends - each]
+            again = np.flatnonzero(skipped)
+            more, starts = self.worked_off(chunks, which[again], keys[again], limit)
+            begin[again], size[again] = len(flat) + starts[:-1], np.diff(starts)
+            flat = np.concatenate([flat, more])
+        return flat, begin, size
+
+    def encode(self, texts: list[str | None], doc_keys: list[int], seed: int = SEED, alpha: float = ALPHA) -> list[np.ndarray]:
         """Piece ids of each text."""
         done, group, size = [], [], 0
         for t, d in zip(texts, doc_keys, strict=True):
             group.append((t or "", d))
             size += len(group[-1][0])
             if size >= TOGETHER:
-                done += self.together(group, seed, alpha, variants)
+                done += self.together(group, seed, alpha)
                 group, size = [], 0
-        return done + self.together(group, seed, alpha, variants)
+        return done + self.together(group, seed, alpha)
 
-    def together(self, group: list[tuple[str, int]], seed: int, alpha: float, variants: int) -> list[np.ndarray]:
+    def together(self, group: list[tuple[str, int]], seed: int, alpha: float) -> list[np.ndarray]:
         number: dict[str, int] = {}
         put = number.setdefault
         lists = [np.array([put(c, len(number)) for c in CHUNK.findall(" " + t)], dtype=np.int64) if t else np.zeros(0, np.int64) for t, _ in group]
         if not number:
             return [np.zeros(0, np.int32) for _ in group]
-        drawn = []
-        for found, (_, d) in zip(lists, group, strict=True):
-            if alpha <= 0 or variants < 2:
-                drawn.append(np.zeros(len(found), np.int64))
-            else:
-                h = mixed(np.arange(len(found), dtype=np.uint64) ^ mixed(np.array([d & (2**64 - 1)], dtype=np.uint64) ^ np.uint64(seed & (2**64 - 1))))
-                drawn.append((h % np.uint64(variants)).astype(np.int64))
-        width = max(1, variants)
-        pair, back = np.unique(np.concatenate(lists) * width + np.concatenate(drawn), return_inverse=True)
-        flat, starts = self.segment(list(number), pair // width, pair % width, seed, alpha)
-        sizes, out, at = np.diff(starts), [], 0
+        keys = np.concatenate([self.keys_of(len(found), d, seed) for found, (_, d) in zip(lists, group, strict=True)])
+        flat, begin, size = self.segment(list(number), np.concatenate(lists), keys, alpha)
+        out, at = [], 0
         for found in lists:
-            own = back[at : at + len(found)]
+            out.append(flat[spread(begin[at : at + len(found)], size[at : at + len(found)])])
             at += len(found)
-            n = sizes[own]
-            before = np.cumsum(n) - n
-            out.append(flat[np.repeat(starts[own] - before, n) + np.arange(int(n.sum()))])
         return out
 
+    def keys_of(self, n: int, doc_key: int, seed: int) -> np.ndarray:
+        """The keys of the first n chunks of a text."""
+        own = mixed_one((doc_key & FULL) ^ mixed_one(seed & FULL))
+        return mixed(np.arange(n, dtype=np.uint64) ^ np.uint64(own))
+
     def decode(self, ids) -> str:
         """The text of piece ids; the space put before the first word is taken off."""
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -276,13 +320,13 @@ def doc_key(doc_id: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", seed: int = SEED, alpha: float = ALPHA, variants: int = VARIANTS, into: str = "piece_ids") -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", seed: int = SEED, alpha: float = ALPHA, into: str = "piece_ids") -> DataFrame:
     """docs with the piece ids of the text, an array of int."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def pieces(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series(coder(model).encode(texts.tolist(), keys.tolist(), seed, alpha, variants))
+        return pd.Series(coder(model).encode(texts.tolist(), keys.tolist(), seed, alpha))
 
     return docs.withColumn(into, pieces(text_of(text), doc_key(doc_id)))
 
@@ -298,7 +342,7 @@ def decode(docs: DataFrame, model: str, ids: str = "piece_ids", into: str = "dec
     return docs.withColumn(into, texts(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", seed: int = SEED, alpha: float = ALPHA, variants: int = VARIANTS, ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", seed: int = SEED, alpha: float = ALPHA, ids: bool = False) -> DataFrame:
     """docs with n_pieces, pieces_sha256 (ids as little-endian 32-bit integers), lossless (decoding gives the text) and, if asked for, piece_ids."""
     ship(docs.sparkSession)
     names = ["n_pieces", "pieces_sha256", "decoded_sha256", *["piece_ids"] * ids]
@@ -306,12 +350,13 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", doc_id: str = "d
     @F.pandas_udf("n_pieces long, pieces_sha256 string, decoded_sha256 string" + ", piece_ids array<int>" * ids)
     def both(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
         c = coder(model)
-        found = c.encode(texts.tolist(), keys.tolist(), seed, alpha, variants)
+        found = c.encode(texts.tolist(), keys.tolist(), seed, alpha)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         rows = [(len(i), sha(i.astype("<i4").tobytes()), sha(c.decode(i).encode("utf-8", "surrogatepass")), *[i] * ids) for i in found]
         return pd.DataFrame(rows, columns=names)
 
     keep = [c for c in docs.columns if c not in ("n_pieces", "pieces_sha256", "lossless", "piece_ids")]
-    out = docs.withColumn("_coded", both(text_of(text), doc_key(doc_id)))
-    lossless = F.col("_coded.decoded_sha256") == F.sha2(text_of(text), 256)
-    return out.select(*keep, "_coded.n_pieces", "_coded.pieces_sha256", lossless.alias("lossless"), *["_coded.piece_ids"] * ids)
+    coded = unused(docs, "coded")
+    out = docs.withColumn(coded, both(text_of(text), doc_key(doc_id)))
+    lossless = F.col(f"{coded}.decoded_sha256") == F.sha2(text_of(text), 256)
+    return out.select(*keep, f"{coded}.n_pieces", f"{coded}.pieces_sha256", lossless.alias("lossless"), *[f"{coded}.piece_ids"] * ids)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import ship, text_of, unused
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -307,7 +307,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", labelled: list[tuple[str,
 
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     keep = [c for c in docs.columns if c not in (*names, "found")]
-    out = docs.withColumn("_scan", scan(text_of(text))).select(*keep, *[F.col(f"_scan.{n}").alias(n) for n in names])
+    own = unused(docs, "scan")
+    out = docs.withColumn(own, scan(text_of(text))).select(*keep, *[F.col(f"{own}.{n}").alias(n) for n in names])
     parts = F.filter(F.split("spans", ","), lambda p: p != "")
     each = lambda p: F.struct(F.split_part(p, F.lit(":"), F.lit(1)).alias("kind"), F.split_part(p, F.lit(":"), F.lit(2)).cast("int").alias("start"), F.split_part(p, F.lit(":"), F.lit(3)).cast("int").alias("end"))
     return out.withColumn("found", F.transform(parts, each))
