@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship, text_of
+from .common import cut, held_out, ship, text_of
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 20_000
@@ -183,15 +183,22 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, bin
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, y): at most `most` labelled rows outside the held-out fold, by hash of doc_id.
 
-    The ids are a bounded list, so they are sent to the texts, not the texts to them.
+    The ids are a bounded list, so they are sent to the texts, not the texts to
+    them. Where ids repeat, so that there would be more rows, each text of an id
+    counts once and the rows are bounded by hash of id and text.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    chosen = cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most))
+    found = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    if docs.select("doc_id").join(F.broadcast(chosen), "doc_id").count() <= most:
+        return found
+    found = found.withColumn("mark", F.xxhash64("text"))
+    keys = cut(found.select("doc_id", "mark", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "mark", "y").limit(most))
+    return found.join(F.broadcast(keys), ["doc_id", "mark", "y"]).dropDuplicates(["doc_id", "mark", "y"]).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, **how) -> AdditiveModel:
-    """Fit on features of the bounded sample; the driver gets at most a few rows a label, features only."""
+    """Fit on features of the bounded sample; the driver gets features of at most `most` rows."""
     ship(docs.sparkSession)
 
     def shapes(batches):
