@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, scratch, text_of
+from .common import ascii_lower, cut, discard, join_hot, scratch, text_of
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Most bytes of digests that are sent to all executors to find hits; beyond, both sides are shuffled.
@@ -107,7 +107,7 @@ def exact_duplicates(
     # a digest is emitted once per batch that touched it; sizes and ids only grow
     state = emitted.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     differing = check_bytes(spark, rows, state.where("group_size > 1"), digest, broadcast_bytes, f"{home}/checked")
-    out = feed_rows.join(state, "digest")
+    out = join_hot(feed_rows, cut(state), "digest", F.col("group_size"), feed_rows.count())
     if differing is not None:
         out = out.join(differing, ["digest", "sha"], "left").withColumn("keep_id", F.when(F.col("own_size").isNull(), F.col("keep_id")).otherwise(F.col("own_id"))).withColumn("group_size", F.coalesce("own_size", "group_size"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
