@@ -9,8 +9,12 @@ automaton accepts from its start, from behind a separator (+/_.=-) or from one
 of the format's heads, up to the last accepting end at a separator, at the end
 of the run or where the automaton cannot go on (formats of one length: at that
 length). A candidate counts if the automaton gives it a likelihood that exceeds
-that of a background model of prose by MARGIN nats a character; of overlapping
-ones the one with the largest excess is reported, if base spans do not cover it.
+that of the background by MARGIN nats a character; of overlapping ones the one
+with the largest excess is reported, if base spans do not cover it. The
+background is learned too: how often each character follows each other one in
+all texts, but for runs that may be credentials themselves (long ones with
+digits), and the same with upper and lower case exchanged. It starts from PRIOR,
+prose of one case, as seen PRIOR_PAIRS times after every character.
 
 Labelled credentials are either given (format, text) or drawn, with a fixed
 seed, from the public formats in FORMATS.
@@ -27,7 +31,6 @@ import math
 import random
 import re
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -194,8 +197,59 @@ class Automaton:
         return best
 
 
-#: Log probability of a character in prose: mostly letters of one case.
-BACKGROUND = {c: math.log(0.92 / 26) for c in LOWER} | {c: math.log(0.08 / 42) for c in UPPER + DIGIT + "+/_.=-"}
+#: Characters of candidates, by which the background is counted; all others are one.
+ALPHABET = BASE64 + "+/_.=-"
+OTHER = len(ALPHABET)
+_CODE = np.full(256, OTHER, np.int64)
+_CODE[list(ALPHABET.encode())] = np.arange(OTHER)
+_SWAPPED = np.array([ALPHABET.index(c.swapcase()) for c in ALPHABET] + [OTHER])
+
+
+PRIOR = np.array([0.92 / 26 if c in LOWER else 0.08 / 42 for c in ALPHABET] + [0.01])
+PRIOR_PAIRS = 1000
+
+
+class Background:
+    """Log probability of a character after another, from counts of pairs."""
+
+    def __init__(self, pairs: np.ndarray | None = None) -> None:
+        n = np.tile(PRIOR_PAIRS * PRIOR, (OTHER + 1, 1))
+        n += 0 if pairs is None else pairs.reshape(n.shape)
+        self.logs = np.log(n / n.sum(axis=1, keepdims=True))
+
+    def sums(self, x: str) -> list[np.ndarray]:
+        """Running log probabilities of x, as it is and with cases exchanged, from before its first character on."""
+        code = _CODE[np.frombuffer(x.encode(), np.uint8)]
+        return [np.r_[0.0, np.cumsum(self.logs[np.r_[OTHER, v[:-1]], v])] for v in (code, _SWAPPED[code])]
+
+
+def pair_counts(text: str | None) -> np.ndarray:
+    """How often each character follows each other one in a text, without runs that may be credentials."""
+    b = np.frombuffer(f" {text or ''}".encode("utf-8", "surrogatepass"), np.uint8)
+    code = _CODE[b]
+    for s, e in zip(*runs(b, _CANDIDATE, CANDIDATE), strict=True):
+        if ((b[s:e] >= 48) & (b[s:e] <= 57)).any():
+            code[s:e] = OTHER
+    return np.bincount(code[:-1] * (OTHER + 1) + code[1:], minlength=(OTHER + 1) ** 2)
+
+
+def learned_background(docs: DataFrame, text: str = "text") -> Background:
+    """The background of all texts: counts are summed in each task, and a fixed number of sums meets in the driver."""
+    ship(docs.sparkSession)
+
+    def count(batches):
+        total = np.zeros((OTHER + 1) ** 2, np.int64)
+        for pdf in batches:
+            for t in pdf["t"]:
+                total += pair_counts(t)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"pair": at, "n": total[at]})
+
+    found = docs.select(text_of(text).alias("t")).mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    pairs = np.zeros((OTHER + 1) ** 2, np.int64)
+    for r in found:
+        pairs[r["pair"]] = r["n"]
+    return Background(pairs)
 
 
 @lru_cache(maxsize=4)
@@ -206,30 +260,15 @@ def automata(labelled: tuple[tuple[str, str], ...] | None = None) -> dict[str, A
     return {k: Automaton(v) for k, v in sorted(by.items())}
 
 
-def likely(x: str, models: dict[str, Automaton], margin: float) -> str | None:
-    """The format that explains x best, if it beats prose by margin nats a character."""
-    base = None
-    best, name = margin, None
-    for kind, m in models.items():
-        s = m.score(x)
-        if s == -math.inf:
-            continue
-        if base is None:
-            base = max(sum(map(BACKGROUND.__getitem__, v)) for v in (x, x.swapcase()))
-        if (gain := (s - base) / len(x)) > best:
-            best, name = gain, kind
-    return name
-
-
-def credentials(x: str, models: dict[str, Automaton], margin: float) -> list[tuple[int, int, str]]:
-    """(start, end, format) of what the automata explain better than prose in a run, without overlaps."""
+def credentials(x: str, models: dict[str, Automaton], background: Background, margin: float) -> list[tuple[int, int, str]]:
+    """(start, end, format) of what the automata explain better than the background in a run, without overlaps."""
     behind = [k for k in range(1, len(x)) if x[k - 1] in SEPARATORS]
-    prose: list[list[float]] = []
+    usual: list[np.ndarray] = []
 
     def excess(a: int, b: int, score: float) -> float:
-        if not prose:
-            prose.extend(list(accumulate(map(BACKGROUND.__getitem__, v), initial=0.0)) for v in (x, x.swapcase()))
-        return score - max(p[b] - p[a] for p in prose)
+        if not usual:
+            usual.extend(background.sums(x))
+        return score - max(float(p[b] - p[a]) for p in usual)
 
     found = []
     for kind, m in models.items():
@@ -256,7 +295,7 @@ def runs(b: np.ndarray, member: np.ndarray, least: int) -> tuple[np.ndarray, np.
     return starts[keep], ends[keep]
 
 
-def spans_of(text: str | None, models: dict[str, Automaton], margin: float = MARGIN) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def spans_of(text: str | None, models: dict[str, Automaton], background: Background, margin: float = MARGIN) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base, added): spans (start, end, kind) in code points, sorted by start, then kind as listed."""
     t = text or ""
     if len(t) < min(LEAST.values()):
@@ -280,7 +319,7 @@ def spans_of(text: str | None, models: dict[str, Automaton], margin: float = MAR
         if len(core) < CANDIDATE:
             continue
         first = int(point(s)) + x.index(core)
-        for start, end, kind in credentials(core, models, margin):
+        for start, end, kind in credentials(core, models, background, margin):
             if not any(p <= first + start and first + end <= q for p, q, _ in base):
                 added.append((first + start, first + end, kind))
     return base, added
@@ -290,16 +329,17 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", labelled: list[tuple[str, str]] | None = None, margin: float = MARGIN) -> DataFrame:
-    """docs with n_assign, n_access, n_hex, base_sha256, spans (text) and found (array of kind, start, end, base)."""
+def scan_secrets(docs: DataFrame, text: str = "text", labelled: list[tuple[str, str]] | None = None, margin: float = MARGIN, background: Background | None = None) -> DataFrame:
+    """docs with n_assign, n_access, n_hex, base_sha256, spans (text) and found (array of kind, start, end). background: learned from docs unless given."""
     ship(docs.sparkSession)
+    usual = background or learned_background(docs, text)
     models = automata(tuple(map(tuple, labelled)) if labelled else None)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            base, added = spans_of(t, models, margin)
+            base, added = spans_of(t, models, usual, margin)
             kinds = [k for _, _, k in base]
             every = sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2]) if x[2] in KINDS else len(KINDS), x[2]))
             rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
