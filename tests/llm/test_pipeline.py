@@ -10,7 +10,31 @@ from docloom.llm import pieces, quality
 from docloom.llm.queries import vocabulary
 
 from .conftest import lower
-from .test_operators import plain_contamination, plain_fingerprint, plain_groups
+from .test_operators import plain_contamination, plain_fingerprint
+
+
+def plain_near(texts):
+    """find(i) of near copies, and how many similar pairs differ in more than two bits."""
+    words = [lower(t).split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in words]
+    prints = [plain_fingerprint(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            near = len(a & b) >= 0.8 * len(a | b)
+            bits = (prints[i] ^ prints[j]).bit_count()
+            far += near and bits > 2
+            if near or bits <= 2:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return find, far
 
 
 @pytest.fixture(scope="module")
@@ -43,12 +67,9 @@ def test_pipeline_equals_plain_stages(spark, corpus):
     for i, t in kept:
         best[lower(t)] = max(best.get(lower(t), i), i)
     kept = list(dict.fromkeys((i, lower(t)) for i, t in kept if best[lower(t)] == i))
-    prints = {(i, t): plain_fingerprint(t) for i, t in kept}
-    groups = plain_groups(prints.values())
-    ids = {}
-    for (i, _), f in prints.items():
-        ids[groups[f]] = min(ids.get(groups[f], i), i)
-    kept = [(i, t) for i, t in kept if ids[groups[prints[i, t]]] == i]
+    kept.sort()
+    find, _ = plain_near([t for _, t in kept])
+    kept = [d for k, d in enumerate(kept) if find(k) == k]
     hit = {k[0] for k in plain_contamination(kept, items) if k[5]}
     want = sorted(i for i, t in kept if i not in hit)
     got = corpus_pipeline.run(spark, home).collect()
@@ -84,24 +105,7 @@ def test_near_copies_beyond_two_bits_are_one_group(spark):
             for at in rng.integers(0, len(w), n):
                 other[at] = f"x{k}"
             docs.append(other)
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in docs]
-    prints = [plain_fingerprint(" ".join(w)) for w in docs]
-    root = list(range(len(docs)))
-
-    def find(v):
-        while root[v] != v:
-            v = root[v]
-        return v
-
-    far = 0
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            near = len(a & b) >= 0.8 * len(a | b)
-            bits = (prints[i] ^ prints[j]).bit_count()
-            far += near and bits > 2
-            if near or bits <= 2:
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
+    find, far = plain_near([" ".join(w) for w in docs])
     assert far > 20
     table = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.keep_one_near(spark, table, "").collect()
