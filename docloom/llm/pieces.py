@@ -80,6 +80,14 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - before, size) + np.arange(int(size.sum()))
 
 
+class Numbers(dict):
+    """Numbers strings in the order in which they are asked for first."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class PieceCoder:
     """Encodes and decodes with one model; one is built per worker and model file."""
 
@@ -115,10 +123,16 @@ class PieceCoder:
                 if a is not None and b is not None:
                     self.pairs[a, b] = (rank[sp.get_score(i)], i)
         keys = np.array([a << 20 | b for a, b in self.pairs], dtype=np.int64)
-        by = keys.argsort()
-        self.keys = np.append(keys[by], np.int64(2**62))
-        self.ranks = np.append(np.array([r for r, _ in self.pairs.values()], dtype=np.int32)[by], NEVER)
-        self.made = np.append(np.array([i for _, i in self.pairs.values()], dtype=np.int32)[by], np.int32(0))
+        # a table of twice to four times as many slots as pairs; a pair lies in the first free slot from its hash on
+        self.shift = 64 - (2 * len(keys)).bit_length()
+        self.slots = np.full(1 << (64 - self.shift), -1, np.int64)
+        self.rows = np.full(len(self.slots), len(keys), np.int32)
+        for row, (key, slot) in enumerate(zip(keys.tolist(), self.slot_of(keys).tolist(), strict=True)):
+            while self.slots[slot] >= 0:
+                slot = (slot + 1) % len(self.slots)
+            self.slots[slot], self.rows[slot] = key, row
+        self.ranks = np.append(np.array([r for r, _ in self.pairs.values()], dtype=np.int32), NEVER)
+        self.made = np.append(np.array([i for _, i in self.pairs.values()], dtype=np.int32), np.int32(0))
         self.spelled = {" " if c == SPACE else c: i for c, i in self.symbol.items() if len(c) == 1}
         self.base = len(text)
         self.by_point = np.full(0x110000, -1, np.int32)
@@ -166,54 +180,72 @@ class PieceCoder:
             k = nxt[k]
         return out
 
+    def slot_of(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(MIX[0])) >> np.uint64(self.shift)).astype(np.int64)
+
     def look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Row of the pair table; the last row if the two do not merge."""
         want = a.astype(np.int64) << 20 | b
-        at = np.searchsorted(self.keys, want)
-        return np.where(self.keys[at] == want, at, len(self.keys) - 1)
+        slot = self.slot_of(want)
+        found = self.slots[slot]
+        row = self.rows[slot]
+        other = np.flatnonzero(found != want)
+        while len(other):
+            other = other[found[other] >= 0]  # an empty slot ends the search
+            slot[other] = (slot[other] + 1) & (len(self.slots) - 1)
+            found[other], row[other] = self.slots[slot[other]], self.rows[slot[other]]
+            other = other[found[other] != want[other]]
+        return row
 
     def agendas(self, ids: np.ndarray, length: np.ndarray, key: np.ndarray, limit: int, offered: list | None = None) -> np.ndarray:
         """Work off the agendas of all rows together. ids (n, w): symbols from column 0 on, else -1; changed in place. offered: gets (rows, candidates)."""
         n, w = ids.shape
         cols = np.arange(w, dtype=np.int32)
-        nxt, prv = np.tile(cols + 1, (n, 1)), np.tile(cols - 1, (n, 1))
-        rank, made = np.full((n, w), NEVER, np.int32), np.zeros((n, w), np.int32)
-
-        def offer(rows: np.ndarray, k: np.ndarray) -> None:
-            m = nxt[rows, k]
-            ok = (k >= 0) & (m < length[rows])
-            rows, k, m = rows[ok], k[ok], m[ok]
-            at = self.look_up(ids[rows, k], ids[rows, m])
-            r = self.ranks[at]
+        ids = ids.ravel()  # places are counted through all rows: base + column
+        nxt, prv = np.tile(cols + 1, n), np.tile(cols - 1, n)
+        rank, made = np.full(n * w, NEVER, np.int32), np.zeros(n * w, np.int32)
+        length = length.astype(np.int32)
+
+        def offer(rows: np.ndarray, k: np.ndarray, base: np.ndarray) -> None:
+            at = base + k
+            m = nxt[at]
+            ok = np.flatnonzero(m < length[rows])
+            rows, k, m, base, at = rows[ok], k[ok], m[ok], base[ok], at[ok]
+            row = self.look_up(ids[at], ids[base + m])
+            r = self.ranks[row]
             if limit or offered is not None:
-                where = candidate(k.astype(np.uint64), m.astype(np.uint64), nxt[rows, m].astype(np.uint64))
+                there = np.flatnonzero(r < NEVER)
+                where = candidate(k[there].astype(np.uint64), m[there].astype(np.uint64), nxt[(base + m)[there]].astype(np.uint64))
                 if offered is not None:
-                    there = r < NEVER
-                    offered.append((rows[there], where[there]))
+                    offered.append((rows[there], where))
                 if limit:
-                    r = np.where(mixed(where ^ key[rows]) < np.uint64(limit), NEVER, r)
-            rank[rows, k], made[rows, k] = r, self.made[at]
+                    r[there[mixed(where ^ key[rows[there]]) < np.uint64(limit)]] = NEVER
+            rank[at], made[at] = r, self.made[row]
 
         rows, k = np.nonzero(cols[None, :] < length[:, None] - 1)
-        offer(rows, k.astype(np.int32))
+        offer(rows, k.astype(np.int32), rows * w)
+        table = rank.reshape(n, w)
         rows = np.arange(n)
         while len(rows):
-            k = rank[rows].argmin(1).astype(np.int32)
-            go = rank[rows, k] < NEVER
-            rows, k = rows[go], k[go]
-            if not len(rows):
+            k = table[rows].argmin(1).astype(np.int32)
+            base = rows * w
+            at = base + k
+            go = np.flatnonzero(rank[at] < NEVER)
+            if not len(go):
                 break
-            m = nxt[rows, k]
-            r = nxt[rows, m]
-            ids[rows, k], ids[rows, m], nxt[rows, k] = made[rows, k], -1, r
-            prv[rows, np.minimum(r, w - 1)] = k
-            rank[rows, m] = rank[rows, k] = NEVER
-            left = prv[rows, k]
-            has = left >= 0
-            rank[rows[has], left[has]] = NEVER
-            offer(rows[has], left[has])
-            offer(rows, k)
-        return ids
+            rows, k, base, at = rows[go], k[go], base[go], at[go]
+            m = nxt[at]
+            to = base + m
+            r = nxt[to]
+            ids[at], ids[to], nxt[at] = made[at], -1, r
+            prv[base + np.minimum(r, w - 1)] = k
+            rank[to] = rank[at] = NEVER
+            left = prv[at]
+            has = np.flatnonzero(left >= 0)
+            rank[base[has] + left[has]] = NEVER
+            offer(rows[has], left[has], base[has])
+            offer(rows, k, base)
+        return ids.reshape(n, w)
 
     def worked_off(self, chunks: list[str], which: np.ndarray, keys: np.ndarray, limit: int, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each (chunks[which], key): flat ids, and where each begins, with the end. offered: gets (place in which, candidates)."""
@@ -287,9 +319,8 @@ class PieceCoder:
         return done + self.together(group, seed, alpha)
 
     def together(self, group: list[tuple[str, int]], seed: int, alpha: float) -> list[np.ndarray]:
-        number: dict[str, int] = {}
-        put = number.setdefault
-        lists = [np.array([put(c, len(number)) for c in CHUNK.findall(" " + t)], dtype=np.int64) if t else np.zeros(0, np.int64) for t, _ in group]
+        number = Numbers()
+        lists = [np.array([*map(number.__getitem__, CHUNK.findall(" " + t))] if t else [], dtype=np.int64) for t, _ in group]
         if not number:
             return [np.zeros(0, np.int32) for _ in group]
         keys = np.concatenate([self.keys_of(len(found), d, seed) for found, (_, d) in zip(lists, group, strict=True)])
