@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,18 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def without_old_shuffles(spark: SparkSession):
+    """Within it, a query's shuffle files go when its result is written, so tables of several steps do not pile them up."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: lineage ends, lost executors cost nothing."""
     shared_dir(df.sparkSession)
@@ -99,13 +112,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_KEYS = 10_000
 
 
-def join_hot(rows: DataFrame, side: DataFrame, on: str, size: Column, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, side: DataFrame, on: str, size: Column, total: int, keys: int = HOT_KEYS) -> DataFrame:
     """rows joined with side (one row a key, each with `size` of the `total` rows) without a task that gets all rows of a hot key.
 
-    At most HOT_KEYS keys have more than total / HOT_KEYS rows; their rows meet
-    the side where they are, and only the others are shuffled.
+    At most `keys` keys have more than total / keys rows; their rows meet the side
+    where they are, and only the others are shuffled.
     """
-    most = max(1, total // HOT_KEYS)
+    most = max(1, total // keys)
     hot, rest = F.broadcast(side.where(size > most)), side.where(size <= most)
     cold = rows.join(hot.select(on), on, "left_anti")
     return rows.join(hot, on).unionByName(cold.join(rest, on))

@@ -9,6 +9,10 @@ a third of all rows share arrives as one row per task. A hit is a row whose
 digest has other rows; the full bytes of a digest's rows are compared, and rows
 that turn out to differ are grouped by their whole text.
 
+The state lies in a folder. A later call with the same folder goes on from it:
+only its own rows are fed and returned, but sizes and identifiers cover all rows
+so far. The texts of earlier rows that it hits are fetched by their locators.
+
 Cases: null counts as empty text, empty texts equal each other; texts are
 compared whole; of equal texts the row with the largest doc_id stays, and of
 repeats of that row (same id, same text) all carry kept, as nothing tells them
@@ -18,6 +22,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,7 +69,7 @@ def run_stream(spark: SparkSession, feed_path: str, schema, home: str, files_per
     try:
         for k, v in STATE_CONF.items():
             spark.conf.set(k, v)
-        reader = spark.readStream.schema(schema)
+        reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
@@ -86,31 +91,41 @@ def exact_duplicates(
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    state: str | None = None,
+    fetch: Callable[[list[str]], DataFrame] | None = None,
 ) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs.
+    """(doc_id, keep_id, group_size, kept, text_sha256, locator) for every row of docs; locator: the file of the row that stays.
 
     digest: of the normalised text, as binary; a weaker one than SHA-256 only
     makes more hits to check. files_per_batch: feed files per micro-batch; the
-    state carries on from batch to batch, so the result is the same.
+    state carries on from batch to batch, so the result is the same. state: a
+    shared folder to go on from. fetch: the rows of some files (their locators),
+    with the same columns; without it earlier rows are known by their digests.
     """
     spark = docs.sparkSession
-    home = scratch(spark, "dedup")
+    home, run = (state or scratch(spark, "dedup")).rstrip("/"), uuid.uuid4().hex
+    kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("t"), F.input_file_name().alias("locator"))
-    feed = f"{home}/feed"
     fed = rows.select("doc_id", digest(F.col("t")).alias("digest"), F.unhex(F.sha2("t", 256)).alias("sha"), "locator")
-    fed.write.parquet(feed)
-    feed_rows = spark.read.parquet(feed)
+    fed.write.parquet(f"{home}/feed/{run}")
+    feed_rows = spark.read.parquet(f"{home}/feed/{run}")
     if not feed_rows.head(1):
-        discard(spark, home)
-        return spark.createDataFrame([], f"doc_id {docs.schema[doc_id].dataType.simpleString()}, keep_id {docs.schema[doc_id].dataType.simpleString()}, group_size long, kept boolean, text_sha256 string")
-    emitted = spark.read.parquet(run_stream(spark, feed, feed_rows.schema, home, files_per_batch))
+        discard(spark, home if state is None else f"{home}/feed/{run}")
+        return spark.createDataFrame([], f"doc_id {kind}, keep_id {kind}, group_size long, kept boolean, text_sha256 string, locator string")
+    emitted = spark.read.parquet(run_stream(spark, f"{home}/feed", feed_rows.schema, home, files_per_batch))
     # a digest is emitted once per batch that touched it; sizes and ids only grow
-    state = emitted.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    differing = check_bytes(spark, rows, state.where("group_size > 1"), digest, broadcast_bytes, f"{home}/checked")
-    out = join_hot(feed_rows, cut(state), "digest", F.col("group_size"), feed_rows.count())
+    known = cut(emitted.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max_by("locator", "group_size").alias("locator"), F.max("group_size").alias("group_size")))
+    repeated = known.where("group_size > 1")
+    if fetch is not None:
+        own = [r[0] for r in feed_rows.select("locator").distinct().collect()]  # names of files, not of rows
+        earlier = [r[0] for r in repeated.join(feed_rows.select("digest"), "digest", "left_semi").where((F.col("locator") != "") & ~F.col("locator").isin(own)).select("locator").distinct().collect()]
+        if earlier:
+            rows = rows.unionByName(fetch(earlier).select(F.col(doc_id).alias("doc_id"), normalised(text).alias("t"), F.lit("").alias("locator")))
+    differing = check_bytes(spark, rows, repeated, digest, broadcast_bytes, f"{home}/checked/{run}")
+    out = join_hot(feed_rows.drop("locator"), known, "digest", F.col("group_size"), feed_rows.count())
     if differing is not None:
         out = out.join(differing, ["digest", "sha"], "left").withColumn("keep_id", F.when(F.col("own_size").isNull(), F.col("keep_id")).otherwise(F.col("own_id"))).withColumn("group_size", F.coalesce("own_size", "group_size"))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "locator")
 
 
 def check_bytes(spark: SparkSession, rows: DataFrame, repeated: DataFrame, digest, broadcast_bytes: int, path: str) -> DataFrame | None:

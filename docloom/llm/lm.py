@@ -35,10 +35,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, text_of
+from .common import ascii_lower, join_hot, scratch, ship, text_of, without_old_shuffles
 from .pieces import mixed
 
 BACKOFF = 0.4
@@ -222,3 +222,80 @@ def scored(b: Block, ids, words: np.ndarray, grams: list[tuple[np.ndarray, np.nd
         known.append(sums(count > 0).astype(np.int64))
         c = count
     return pd.DataFrame({"doc_id": list(ids), "n_words": b.sizes, **dict(zip(known_columns(len(known) + 1), known, strict=True)), "logprob": sums(logs)})
+
+
+#: Of the n-grams of a length, those that are sent to the documents: at most as many.
+HOT_GRAMS = 500_000
+WHITE = r"[\x20\x09-\x0D]+"
+
+
+def gram_hashes(h: Column, n: int) -> Column:
+    """Hash of every n consecutive word hashes."""
+    if n == 1:
+        return h
+    starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(n), *[F.get(h, i + d) for d in range(n)]))
+
+
+def relational_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", backoff: float = BACKOFF, order: int = 2) -> DataFrame:
+    """The same as backoff_scores(), by tables and joins alone: nothing is packed, and every row that moves is an n-gram.
+
+    N-grams of a length are counted in a table partitioned by hash, without those
+    that occur once; the exploded n-grams of the documents are joined with it, and
+    what is found is gathered and summed per document. The table's hot n-grams meet
+    the documents where they are. The rows that move grow as the input does.
+    """
+    if order < 1:
+        raise ValueError("the order is at least one word")
+    spark = docs.sparkSession
+    ship(spark)
+    home = scratch(spark, "lm-tables")
+    words = F.filter(F.split(ascii_lower(text_of(text)), WHITE), lambda w: w != "")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+    rows.write.option("compression", "zstd").parquet(f"{home}/words")
+    rows = spark.read.parquet(f"{home}/words")
+    total = rows.agg(F.sum(F.size("h"))).first()[0] or 0
+    found = []
+    with without_old_shuffles(spark):
+        for n in range(1, order + 1):
+            grams = rows.select("row", F.posexplode(gram_hashes(F.col("h"), n)).alias("at", "g"))
+            grams.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").write.option("compression", "zstd").parquet(f"{home}/counts-{n}")
+            counts = spark.read.parquet(f"{home}/counts-{n}")
+            met = join_hot(grams, counts, "g", F.col("n"), total, HOT_GRAMS)
+            met.select("row", F.lit(n).alias("length"), (F.col("at") + (n - 1)).alias("at"), "g", "n").write.option("compression", "zstd").parquet(f"{home}/found-{n}")
+            found.append(f"{home}/found-{n}")
+    listed = spark.read.parquet(*found).groupBy("row").agg(F.collect_list("length").alias("length"), F.collect_list("at").alias("at"), F.collect_list("g").alias("g"), F.collect_list("n").alias("n"))
+    names = known_columns(order)
+
+    @F.pandas_udf(f"{''.join(f'{c} long, ' for c in names)}logprob double")
+    def score(size: pd.Series, lengths: pd.Series, places: pd.Series, grams: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([document_score(*x, total, order, backoff) for x in zip(size, lengths, places, grams, counts, strict=True)], columns=[*names, "logprob"])
+
+    none = F.array().cast("array<long>")
+    scored = rows.select("row", "doc_id", F.size("h").cast("long").alias("n_words")).join(listed, "row", "left")
+    scored = scored.withColumn("s", score("n_words", *[F.coalesce(F.col(c).cast("array<long>"), none) for c in ("length", "at", "g", "n")]))
+    return scored.select("doc_id", "n_words", "s.*").withColumn("mean_logprob", F.when(F.col("n_words") > 0, F.col("logprob") / F.col("n_words")))
+
+
+def document_score(size: int, lengths, places, grams, counts, total: int, order: int, backoff: float) -> tuple:
+    """Known n-grams of each length from two on, and the log-probability of a document of `size` words.
+
+    lengths, places (of the last word), grams and counts: its n-grams that occur more than once in the corpus.
+    """
+    lengths, places, grams, counts = (np.asarray(x, dtype=np.int64) for x in (lengths, places, grams, counts))
+    rest, known, c = float(total - size), [], np.zeros(size)
+    logs = np.zeros(size)
+    for n in range(1, order + 1):
+        own = lengths == n
+        _, back, times = np.unique(grams[own], return_inverse=True, return_counts=True)
+        others = np.zeros(size)
+        others[places[own]] = counts[own] - times[back]  # the document's own are left out
+        if n == 1:
+            logs = np.where(others > 0, np.log(np.maximum(others, 1)) - np.log(max(rest, 1.0)), -np.log(rest + 1))
+        else:
+            logs[n - 1 :] += np.log(backoff)
+            seen = np.flatnonzero(others > 0)
+            logs[seen] = np.log(others[seen]) - np.log(c[seen - 1])
+            known.append(len(seen))
+        c = others
+    return (*known, float(logs.sum()))

@@ -45,7 +45,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("locator")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op8_lm_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", "n_bigrams_known", "n_trigrams_known", F.round("logprob", 4).alias("logprob"), F.round("mean_logprob", 6).alias("mean_logprob"))
 
 
+def op8_lm_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.relational_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", "n_bigrams_known", F.round("logprob", 4).alias("logprob"), F.round("mean_logprob", 6).alias("mean_logprob"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -135,6 +140,6 @@ FROM d LEFT JOIN z USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_licenses, op3_simhash, op4_quality, op5_exact_dedup, op6_decontamination, op7_pieces, op8_lm_scores, op8_lm_trigrams, op9_toxicity, op10_secrets)
+    f.__name__: f for f in (op1_token_counts, op2_licenses, op3_simhash, op4_quality, op5_exact_dedup, op6_decontamination, op7_pieces, op8_lm_scores, op8_lm_trigrams, op8_lm_relational, op9_toxicity, op10_secrets)
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_lm_scores": OP8_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_lm_scores": OP8_SQL, "op8_lm_relational": OP8_SQL}

@@ -283,7 +283,7 @@ def test_held_out_rows_and_repeated_ids_in_samples(spark):
 @pytest.mark.parametrize("digest", [dedup.sha256, lambda c: F.substring(dedup.sha256(c), 1, 0), lambda c: F.length(c).cast("string").cast("binary")])
 @pytest.mark.parametrize("files", [None, 1])
 def test_exact_duplicates(spark, odd, nothing, digest, files):
-    got = dedup.exact_duplicates(odd, digest=digest, files_per_batch=files).collect()
+    got = dedup.exact_duplicates(odd, digest=digest, files_per_batch=files).drop("locator").collect()
     by = {}
     for i, t in TEXTS:
         by.setdefault(lower(t), []).append(i)
@@ -296,6 +296,32 @@ def test_exact_duplicates(spark, odd, nothing, digest, files):
     assert dedup.exact_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_state_carries_on_from_run_to_run(spark, tmp_path, weak):
+    digest = (lambda c: F.length(c).cast("string").cast("binary")) if weak else dedup.sha256
+    parts = [[(1, "Aa"), (2, "bb"), (3, "ccc")], [(4, "aa"), (5, "dd"), (6, None)], [(0, "AA"), (7, "ddd"), (8, "")]]
+    for k, rows_ in enumerate(parts):
+        spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+    seen, fetched = [], []
+
+    def fetch(files):
+        fetched.extend(files)
+        return spark.read.parquet(*files)
+
+    for k, rows_ in enumerate(parts):
+        got = dedup.exact_duplicates(spark.read.parquet(f"{tmp_path}/part{k}"), digest=digest, state=f"{tmp_path}/state", fetch=fetch).collect()
+        seen += rows_
+        by = {}
+        for i, t in seen:
+            by.setdefault(lower(t), []).append(i)
+        assert {r.doc_id: (r.keep_id, r.kept) for r in got} == {i: (max(by[lower(t)]), i == max(by[lower(t)])) for i, t in rows_}
+        if not weak:
+            assert {r.doc_id: r.group_size for r in got} == {i: len(by[lower(t)]) for i, t in rows_}
+            assert all(r.locator.endswith(".parquet") for r in got)
+    assert fetched and all("part" in f for f in fetched)
+    assert dedup.exact_duplicates(spark.read.parquet(f"{tmp_path}/part0").where("false"), state=f"{tmp_path}/state").count() == 0
+
+
 # --- decontamination ---
 
 
@@ -459,6 +485,10 @@ def test_backoff_scores_of_any_order(spark, nothing, order, block):
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = lm.backoff_scores(d, block_words=block, bucket_keys=10 * block, order=order).collect()
     assert Counter((*r[:-2], round(r.logprob, 6)) for r in got) == want
+    if block != 20:
+        got = lm.relational_scores(d, order=order).collect()
+        assert Counter((*r[:-2], round(r.logprob, 6)) for r in got) == want
+        assert lm.relational_scores(nothing, order=order).count() == 0
     assert lm.backoff_scores(nothing, order=order).count() == 0
 
 
