@@ -8,12 +8,18 @@ saves bytes the template is confirmed by the exact differences in wording: its
 words are aligned with the window's, and words missing from and words put
 between the aligned ones are counted. What surrounds a window has no say.
 
+A block reaches as far around cue words as any template's wording lies from
+them, and a template without one has its longest word as a cue, so templates of
+any length, whole license texts among them, lie in one block.
+
 Cases: null and empty texts have no blocks; texts of any length are read whole
-(a run of cue words closer than GAP makes one block, cut every LONGEST
-characters with an overlap as long as the longest template); windows that
+(blocks that touch are one, cut every LONGEST characters or thrice the longest
+template, with an overlap as long as that); windows that
 overlap are aligned together, and again on both sides of what is found, and one
-by one if nothing is; repeated rows get repeated results; an empty
-table gives an empty result; other columns pass through.
+by one if nothing is; of findings that overlap the one with more words in
+agreement stays, of ties the first, then the first name; repeated rows get
+repeated results; an empty table gives an empty result; other columns pass
+through.
 """
 
 from __future__ import annotations
@@ -48,7 +54,7 @@ TEMPLATES = {
 }
 CUE = re.compile(r"licen[sc]e|permission|redistribut|copyright|warrant|\bCC BY|public license|SPDX", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
-AROUND, GAP, LONGEST = 160, 240, 4000
+AROUND, LONGEST = 160, 4000
 LEVEL = 3
 #: A template is confirmed if this share of its words is there, and at most that many others a template word lie between.
 SHARE, BETWEEN = 0.9, 0.1
@@ -65,24 +71,33 @@ class Templates:
         for k, w in self.words.items():
             raw = zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.packers[k] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.overlap = max((len(t) for _, t in texts), default=0)
+        self.cue = re.compile("|".join([CUE.pattern, *sorted({re.escape(max(WORD.findall(t), key=len)) for _, t in texts if not CUE.search(t) and WORD.search(t)})]), re.I)
+        # words between a template's own ones make its wording longer
+        stretch = lambda n: math.ceil(n * (1 + 2 * BETWEEN)) + 40
+        self.overlap = max((stretch(len(t)) for _, t in texts), default=0)
+        self.around = max([AROUND, *(stretch(self.farthest(t)) for _, t in texts)])
+        self.longest = max(LONGEST, 3 * (self.overlap + 2 * self.around))
+
+    def farthest(self, text: str) -> int:
+        """The most characters of a text without a cue."""
+        places = [0, *(x for m in self.cue.finditer(text) for x in m.span()), len(text)]
+        return max(b - a for a, b in zip(places[::2], places[1::2], strict=True))
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
-        for m in CUE.finditer(text):
-            a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-            if out and a <= out[-1][1] + GAP - AROUND:
+        for m in self.cue.finditer(text):
+            a, b = max(0, m.start() - self.around), min(len(text), m.end() + self.around)
+            if out and a <= out[-1][1]:
                 a = out.pop()[0]
             out.append((a, b))
         cut = []
         for a, b in out:
-            step = LONGEST - self.overlap - 2 * AROUND if self.overlap + 2 * AROUND < LONGEST // 2 else LONGEST // 2
             k = a
             while True:
-                cut.append((k, min(b, k + LONGEST)))
-                if k + LONGEST >= b:
+                cut.append((k, min(b, k + self.longest)))
+                if k + self.longest >= b:
                     break
-                k += step
+                k += self.longest - self.overlap - 2 * self.around
         return cut
 
     def saved(self, name: str, have: list[str]) -> int:

@@ -14,7 +14,8 @@ Cases: null and empty texts get the score of an all-zero feature row; texts of
 any length are read whole; repeated rows get repeated scores; rows with null
 labels are not learned from; with no labelled rows, or labels of one value, the
 score is the smoothed share of label 1; an empty table gives an empty result;
-other columns pass through.
+other columns pass through, but for those of the result's names; a score equal
+to the threshold predicts 1.
 """
 
 from __future__ import annotations
@@ -211,8 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return fit(x, rows["y"].to_numpy(dtype=float), **how)
 
 
-def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", threshold: float = THRESHOLD, into: str = "score") -> DataFrame:
-    """docs with `into` (double, 0 to 1) and predicted (1 from threshold on)."""
+def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", threshold: float = THRESHOLD, into: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with `into` (double, 0 to 1) and `predicted` (1 from threshold on)."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -220,5 +221,5 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", thr
         x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
         return pd.Series(model.scores(x))
 
-    keep = [c for c in docs.columns if c not in (into, "predicted")]
-    return docs.select(*keep, score(text_of(text)).alias(into)).withColumn("predicted", (F.col(into) >= threshold).cast("int"))
+    keep = [c for c in docs.columns if c not in (into, predicted)]
+    return docs.select(*keep, score(text_of(text)).alias(into)).withColumn(predicted, (F.col(into) >= threshold).cast("int"))

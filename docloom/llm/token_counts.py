@@ -58,7 +58,8 @@ class Cost(dict):
 class WholeTokenCounter:
     """Counts tokens of texts; one is built per worker and vocabulary file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: frozenset[str] | None = None) -> None:
+        """whole: what prove() has found elsewhere."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
@@ -74,7 +75,7 @@ class WholeTokenCounter:
         self.pre = regex.compile(PATTERN)
         special = [x["content"] for x in spec["added_tokens"] if x["special"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.whole = self.prove()
+        self.whole = self.prove() if whole is None else whole
         self.cost = Cost(self)
 
     def prove(self) -> frozenset[str]:
@@ -136,17 +137,19 @@ class WholeTokenCounter:
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> WholeTokenCounter:
-    return WholeTokenCounter(path)
+def counter(path: str, whole: frozenset[str] | None = None) -> WholeTokenCounter:
+    return WholeTokenCounter(path, whole)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", over: int = 1024, into: str = "n_tokens") -> DataFrame:
     """docs with n_bytes (UTF-8), `into` (tokens) and over_limit (more than `over`) in place of columns of those names."""
     ship(docs.sparkSession)
+    # proven once; the vocabulary bounds what is sent
+    whole = docs.sparkSession.sparkContext.broadcast(counter(vocabulary).whole)
 
     @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:
-        c = counter(vocabulary)
+        c = counter(vocabulary, whole.value)
         return pd.Series([c.count(t) for t in texts], dtype="int64")
 
     keep = [c for c in docs.columns if c not in ("n_bytes", into, "over_limit")]
