@@ -15,8 +15,9 @@ one by a join on the fingerprint, which is shuffled.
 Cases: null and empty texts have no words, are not contaminated and name no
 items; very long texts are read whole; a passage that many documents or items
 share is matched window by window, with the items of a window held once per
-distinct list; repeated rows give repeated results; an empty benchmark leaves
-everything clean; other columns are ignored.
+distinct list; items of equal text have the same windows and all count;
+repeated rows give repeated results; an empty benchmark leaves everything clean;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, text_of
+from .common import BROADCAST_BYTES, ascii_lower, cut, text_of
 
 #: What stands between words: ASCII other than digits and a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -126,7 +127,10 @@ def contamination(
     found = [F.transform(starts_where(n, span, k, tests[n]), window_at(n)) for n in lengths]
     none = F.array().cast("array<struct<s:int,len:int,win:string>>")
     scanned = cut(rows.select(F.monotonically_increasing_id().alias("row"), *own, F.size("words").cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("found")))
-    hits = scanned.select("row", F.inline("found")).join(windows.select("len", "win", "items"), ["len", "win"])
+    # a window that many documents have would be one hot key, so a small benchmark goes to the hits
+    side = windows.select("len", "win", "items")
+    size = windows.agg(F.sum(F.octet_length("win") + F.octet_length(F.array_join("items", ",")) + 64)).first()[0] or 0
+    hits = scanned.select("row", F.inline("found")).join(F.broadcast(side) if size <= BROADCAST_BYTES else side, ["len", "win"])
     per_row = hits.groupBy("row").agg(F.collect_set(F.struct("s", (F.col("s") + F.col("len")).alias("e"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     out = scanned.select("row", *own, "n_words").join(per_row, "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))

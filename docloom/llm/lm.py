@@ -23,7 +23,8 @@ shuffled is about six bytes a distinct n-gram and block.
 Cases: null and empty texts have 0 words, log-probability 0 and mean null; a
 document longer than a block is a block of its own; repeated rows and copies
 count as other documents; a lone document is scored by the last line above; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored. No result depends
+on an order of rows or n-grams, so there are no ties to break.
 """
 
 from __future__ import annotations

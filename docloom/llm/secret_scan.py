@@ -20,8 +20,10 @@ Labelled credentials are either given (format, text) or drawn, with a fixed
 seed, from the public formats in FORMATS.
 
 Cases: null and empty texts have no spans; texts of any length are read whole;
-offsets are code points, ends exclusive; repeated rows get repeated results; an
-empty table gives an empty result; other columns pass through.
+offsets are code points, ends exclusive; of candidates with the same excess the
+first one is reported, then the first format by name; repeated rows get repeated
+results; an empty table gives an empty result; other columns pass through, but
+for those of the result's names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ is merged.
 Cases: null and empty texts have 0 bytes and 0 tokens; texts of any length are
 read whole (merging uses a heap, so a pre-token of n bytes costs n log n);
 repeated rows give repeated results; an empty table gives an empty result;
-other columns, whatever their names, pass through or are dropped untouched.
+other columns pass through, but for those of the result's names. Of merges of one
+rank the leftmost is done first; a count equal to the limit is not over it.
 """
 
 from __future__ import annotations

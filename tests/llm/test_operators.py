@@ -592,3 +592,31 @@ def test_credentials_inside_runs():
     glued, key = "thisisordinarytext", "AIza" + some(b64, 35)  # the format's length ends it
     assert secret_scan.spans_of(f"{key}{glued}", models, usual)[1] == [(0, len(key), "google")]
     assert secret_scan.spans_of("a-well-known/and_quite.ordinary=run/of-words " + "a/a" * 5000, models, usual) == ([], [])
+
+
+# --- other columns ---
+
+
+def test_columns_of_any_name_pass_through(spark):
+    path = vocabulary("piece_bpe_32k.model")
+    names = ["scan", "_scan", "coded", "_coded", "s", "words", "fp", "_key", "mark", "locator", "digest", "row", "at"]
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", *["own"] * len(names)), (2, None, *["own"] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for out in (licenses.scan_licenses(docs), pieces.round_trip(docs, path), secret_scan.scan_secrets(docs), token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json"))):
+        assert [[r[n] for n in names] for r in out.collect()] == [["own"] * len(names)] * 2
+    for out in (dedup.exact_duplicates(docs), simhash.near_duplicates(docs), simhash.near_duplicates(docs, words=5, share=0.8), lm.backoff_scores(docs), lm.relational_scores(docs), decontam.contamination(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))):
+        assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
+def test_a_template_of_any_length_is_found():
+    long = "Preamble of a very long text about nothing. " + " ".join(f"word{k} clause{k % 97} permits{k % 13}" for k in range(600))
+    t = licenses.Templates((("LONG", long), *licenses.TEMPLATES.items()))
+    assert len(long) > 3 * licenses.LONGEST
+    text = "x y z " * 200 + long + " end " * 50
+    assert t.scan(text)[1] == [("LONG", 1200, 1200 + len(long) - 0, 0, 0)]
+    altered = text.replace("word300 ", "other ").replace("word400 ", "word400 more words ")
+    assert [(f[0], *f[3:]) for f in t.scan(altered)[1]] == [("LONG", 1, 3)]
+
+
+def test_templates_that_agree_equally():
+    t = licenses.Templates((("B", "Licensed under one and the same words."), ("A", "Licensed under one and the same words.")))
+    assert [f[0] for f in t.scan("Licensed under one and the same words.")[1]] == ["A"]
