@@ -44,8 +44,9 @@ def emails(c: Column) -> Column:
     return F.filter(first_seen(every(c, V.EMAIL)), lambda x: ~F.lower(x).isin(V.PLACEHOLDER_EMAILS))
 
 
-def phones(c: Column) -> Column:
-    return first_seen(every(c, V.PHONE))
+def phones(c: Column, strict: bool = False) -> Column:
+    """Phone numbers (E2). strict: with their country code, and none that follows a letter, digit or plus."""
+    return first_seen(every(c, V.PHONE_STRICT if strict else V.PHONE))
 
 
 def urls(c: Column) -> Column:
@@ -56,9 +57,9 @@ def dates(c: Column) -> Column:
     return first_seen(every(c, V.DATE))
 
 
-def amounts(c: Column) -> Column:
-    """Amounts of money, pattern by pattern, white space collapsed (E5)."""
-    found = F.concat(*[every(c, p, "iuU") for p in V.CURRENCY])
+def amounts(c: Column, strict: bool = False) -> Column:
+    """Amounts of money, pattern by pattern, white space collapsed (E5). strict: with a digit first."""
+    found = F.concat(*[every(c, p, "iuU") for p in (V.CURRENCY_STRICT if strict else V.CURRENCY)])
     return first_seen(F.transform(found, lambda x: sub(strip(x), r"\s+", " ")))
 
 
@@ -77,9 +78,12 @@ def has_any(low: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
 
 
-def concepts(low: Column) -> Column:
-    """Technical concepts of a lower-case text."""
-    return named({n: has_any(low, ws) for n, ws in V.CONCEPTS.items()})
+def concepts(low: Column, whole: bool = False) -> Column:
+    """Technical concepts of a lower-case text (E7). whole: only where their words are no parts of others."""
+    if not whole:
+        return named({n: has_any(low, ws) for n, ws in V.CONCEPTS.items()})
+    alone = lambda ws: r"(?U)(?<!\w)(?:" + "|".join(map(re.escape, ws)) + r")(?!\w)"
+    return named({n: has_any(low, ws) & low.rlike(alone(ws)) for n, ws in V.CONCEPTS.items()})
 
 
 def literal_of(pattern: str) -> str:
@@ -201,11 +205,11 @@ def answer_summary(c: Column) -> Column:
     return strip(head)
 
 
-def answer_insights(c: Column, most: int = 5) -> Column:
-    """The bullet points of a model's answer."""
+def answer_insights(c: Column, most: int = 5, strict: bool = False) -> Column:
+    """The bullet points of a model's answer (E44). strict: a bullet or number goes, but not what a point begins with."""
     t = strip(F.regexp_extract(strip(text_of(c)), r"(?isuU)KEY\s+INSIGHTS\s*:(.*)\z", 1))
     t = F.when(t.rlike(r"(?iuU)\bDOCUMENT\s*:"), strip(F.regexp_extract(t, r"(?isuU)\A(.*?)\bDOCUMENT\s*:", 1))).otherwise(t)
-    bare = lambda x: strip(sub(strip(x), r"^[\-*\u2022\d.)\s]+", ""))
+    bare = lambda x: strip(sub(strip(x), V.BULLET_STRICT if strict else r"^[\-*\u2022\d.)\s]+", ""))
     by_line = F.filter(F.transform(F.split(t, r"\r\n|[\n\r]"), bare), lambda x: (x != "") & ~F.upper(x).isin("SUMMARY", "KEY INSIGHTS", "DOCUMENT", "DOCUMENT TYPE"))
     by_sentence = F.filter(F.transform(F.split(t, r"(?U)(?<=[.!?])\s+"), bare), lambda x: x != "")
     return F.slice(first_seen(F.when(F.size(by_line) > 0, by_line).otherwise(by_sentence)), 1, most)

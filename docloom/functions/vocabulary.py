@@ -72,6 +72,10 @@ SECTIONS = {
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PLACEHOLDER_EMAILS = ["you@example.com", "example@example.com"]
 PHONE = r"\b(?:\+91[\s-]?)?[6-9]\d{9}\b"
+# stricter forms, as options
+PHONE_STRICT = r"(?<![\w+])(?:\+91[\s-]?)?[6-9]\d{9}\b"
+CURRENCY_STRICT = [r"₹\s?\d[\d,]*(?:\.\d+)?", r"\bRs\.?\s?\d[\d,]*(?:\.\d+)?", r"\bINR\s?\d[\d,]*(?:\.\d+)?"]
+BULLET_STRICT = r"^(?:[-*•]|\d+[.)])\s+"
 URL = r"https?://[^\s]+"
 DATE = r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b"
 CURRENCY = [r"₹\s?[\d,]+(?:\.\d+)?", r"\bRs\.?\s?[\d,]+(?:\.\d+)?", r"\bINR\s?[\d,]+(?:\.\d+)?"]

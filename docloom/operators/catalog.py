@@ -58,15 +58,16 @@ def lookup(docs: DataFrame, owner, doc_id, column: str = "source") -> DataFrame:
     return owned(docs, owner, column).where(F.col("doc_id") == F.lit(doc_id)).limit(1)
 
 
-def search(docs: DataFrame, query: str, columns: list[str], owner=None, owner_column: str = "source") -> DataFrame:
-    """Rows of an owner with the query in any column, ignoring case; % and _ are wildcards."""
+def search(docs: DataFrame, query: str, columns: list[str], owner=None, owner_column: str = "source", literal: bool = False) -> DataFrame:
+    """Rows of an owner with the query in any column, ignoring case; % and _ are wildcards unless literal."""
     q = query.strip()
     rows = docs if owner is None else owned(docs, owner, owner_column)
     if not q:
         return rows
     hit = F.lit(False)
     for c in columns:
-        hit = hit | F.coalesce(F.col(c), F.lit("")).ilike(f"%{q}%")
+        value = F.coalesce(F.col(c), F.lit(""))
+        hit = hit | (F.contains(F.lower(value), F.lit(q.lower())) if literal else value.ilike(f"%{q}%"))
     return rows.where(hit)
 
 

@@ -84,17 +84,18 @@ def summary_of(text: Column, titles: list[str] = ()) -> Column:
     """(kind, summary): the router and the four kinds of summary."""
     block = lambda title, a: F.when(F.size(a) > 0, F.concat(F.lit(title), S.bullets(a)))
 
-    def normal(c: Column) -> Column:
-        parts = lambda five, topic: F.concat_ws("\n\n", F.concat(F.lit("PURPOSE\n"), S.purpose(c)), F.when(topic != "", F.concat(F.lit("\nCOVERAGE\n"), topic)), block("\nKEY POINTS\n", five))
-        # a prepared text is cleaned once more when sentences are chosen
-        return let(chosen_of(for_summary(c, titles), {"five": 5}), lambda x: let(S.topic_sentence(c), lambda topic: parts(x["five"], topic)))
-
-    def short(c: Column) -> Column:
-        return let(chosen_of(for_summary(c, titles), {"four": 4}), lambda x: F.concat_ws("\n\n", S.purpose(c), block("KEY FLOW / STEPS\n", x["four"])))
+    def normal(c: Column, five: Column) -> Column:
+        return let(S.topic_sentence(c), lambda topic: F.concat_ws("\n\n", F.concat(F.lit("PURPOSE\n"), S.purpose(c)), F.when(topic != "", F.concat(F.lit("\nCOVERAGE\n"), topic)), block("\nKEY POINTS\n", five)))
 
     def routed(c: Column) -> Column:
         kind = F.when(F.coalesce(text, F.lit("")) == "", "empty").when(S.is_resume(c), "resume").when(S.structure(c) >= 8, "structured").when(F.length(c) < 1200, "short").otherwise("normal")
-        whole = lambda k: F.when((k == "empty") | (c == ""), V.NO_TEXT).when(k == "resume", S.resume_summary(c)).when(k == "short", short(c)).otherwise(normal(c))
+
+        def whole(k: Column) -> Column:
+            # a prepared text is cleaned once more when sentences are chosen
+            chosen = F.when(~k.isin("empty", "resume"), chosen_of(for_summary(c, titles), {"four": 4, "five": 5}))
+            short = lambda x: F.concat_ws("\n\n", S.purpose(c), block("KEY FLOW / STEPS\n", x["four"]))
+            return let(chosen, lambda x: F.when((k == "empty") | (c == ""), V.NO_TEXT).when(k == "resume", S.resume_summary(c)).when(k == "short", short(x)).otherwise(normal(c, x["five"])))
+
         return let(kind, lambda k: F.struct(k.alias("kind"), whole(k).alias("summary")))
 
     return let(for_summary(text, titles), routed)

@@ -220,6 +220,20 @@ def information_record(spark, sf_dir):
     return r.select("doc_id", *listed, "i.pages_processed", "i.tables_detected", "i.message")
 
 
+_MONEY_STRICT = "list_concat(" + ", ".join(q_all("t", p, "i") for p in V.CURRENCY_STRICT) + ")"
+_MONEY_STRICT = q_distinct(f"list_transform({_MONEY_STRICT}, lambda m: {q_sub(q_strip('m'), r'\s+', ' ')})")
+_PLAIN = "regexp_replace(regexp_replace(lower(t), '[^\\x00-\\x7F\\pL\\pN]', '#', 'g'), '[^\\x00-\\x7F]', 'Z', 'g')"
+_ALONE = lambda ws: f"regexp_matches(p, {quoted('(^|[^A-Za-z0-9_])(?:' + '|'.join(w.replace('.', chr(92) + '.') for w in ws) + ')([^A-Za-z0-9_]|$)')})"
+
+
+@query(
+    f"WITH {CORPUS}, d AS (SELECT doc_id, t, {_PLAIN} AS p FROM c) SELECT doc_id, array_to_string({q_distinct(q_all('t', r'(?:^|[^A-Za-z0-9_+])((?:' + chr(92) + r'+91[' + chr(92) + r's-]?)?[6-9]' + chr(92) + r'd{9})' + chr(92) + 'b', '', 1))}, ' ; ') AS phones, array_to_string({_MONEY_STRICT}, ' ; ') AS amounts, array_to_string({q_named({n: _ALONE(ws) for n, ws in V.CONCEPTS.items()})}, ' ; ') AS concepts FROM d"
+)
+def strict_information(spark, sf_dir):
+    t = F.col("text")
+    return corpus(spark, sf_dir).select("doc_id", *[F.array_join(x, " ; ").alias(n) for n, x in {"phones": X.phones(t, True), "amounts": X.amounts(t, True), "concepts": X.concepts(F.lower(t), True)}.items()])
+
+
 _N = {k: q_contained("lower(t)", ws) for k, ws in V.TYPE_WORDS.items()}
 
 
@@ -458,6 +472,12 @@ def document_search(spark, sf_dir):
     return catalog.search(docs, f" {_SEARCH} ", ["filename", "text"], "src3").select("doc_id", "source", "n_chars")
 
 
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(coalesce(text, '')), 'a_b%') OR contains(lower(source || '_' || doc_id), 'a_b%') OR contains(lower(source || '_' || doc_id), '3_1')")
+def literal_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("filename", F.concat_ws("_", "source", F.col("doc_id").cast("string"))).select("doc_id", "source", "filename", "text")
+    return catalog.search(docs, "A_B%", ["filename", "text"], literal=True).union(catalog.search(docs, "3_1", ["filename"], literal=True)).select("doc_id", "source").distinct()
+
+
 @query("SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20")
 def document_page(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
