@@ -128,7 +128,7 @@ IS_INSULT, STRONG, IS_THREAT, INTENDED, AIMED, NEGATED, REPORTED = (1 << k for k
 #: What a clause's matches are summed by, and the whole document's asserted clauses: number, heaviest, share of all clauses.
 FEATURES = ["plain", "aimed", "strengthened", "negated", "reported", "threat", "vague threat", "clauses", "heaviest", "share"]
 PRIOR = np.array([1.0, 2.0, 0.5, 0.2, 0.1, 4.0, 0.7, 0.3, 1.0, 0.5])
-BIAS, RIDGE = -3.5, 0.3
+BIAS, RIDGE = -4.5, 0.1
 
 
 @dataclass
@@ -229,10 +229,10 @@ def profile(text: str | None) -> tuple[list[str], int]:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, ridge: float = RIDGE, steps: int = 50) -> tuple[float, np.ndarray]:
-    """Logistic regression by Newton steps, drawn to the prior; the intercept is hardly so. Weights do not fall below zero."""
+    """Logistic regression by Newton steps, drawn to the prior as much by any number of rows. Weights do not fall below zero."""
     a = np.hstack([np.ones((len(x), 1)), x])
     m = np.r_[BIAS, prior]
-    w, pen = m.copy(), np.diag([1e-2] + [ridge] * x.shape[1])
+    w, pen = m.copy(), np.diag(np.r_[ridge, np.full(x.shape[1], ridge)]) * len(x) / 1000
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pen, a.T @ (y - p) - pen @ (w - m))
