@@ -25,19 +25,19 @@ Cases: null, empty and white-space texts have fingerprint zero and are linked
 like any other; texts of any length are hashed whole; equal texts have equal
 fingerprints, so they group at distance zero; repeated rows stay repeated rows;
 an empty table gives an empty result; a null doc_id takes part but never names
-a group unless it is alone; other columns are ignored.
+a group unless it is alone; a group is named by its least id, whatever the order
+of rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, text_of
-from .similar import alike
+from .common import cut, join_hot, ship, text_of
+from .similar import alike, band_keys, shingle_hashes, signature, signature_bytes
 
 SEED = 42
 BITS = 2
@@ -46,21 +46,17 @@ BLOCK = 1 << 16
 HOT = 64
 
 
+def bits_of(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[k : k + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
     """Unsigned 64-bit SimHash of a text."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    h = xxhash.xxh64_intdigest
-    if len(w) < words:
-        return h(b" ".join(w), seed)
-    ones, n = np.zeros(64, np.int64), len(w) - words + 1
-    for k in range(0, n, BLOCK):
-        part = w[k : k + BLOCK + words - 1]
-        sets = zip(*(part[i:] for i in range(words)), strict=False)
-        hashes = np.array([h(b" ".join(s), seed) for s in sets], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return bits_of(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int = SEED, into: str = "fp") -> DataFrame:
@@ -159,28 +155,48 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("v", F.col("v").alias("root")))
 
 
+def signed_texts(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """docs with _text replaced by fp, n (distinct shingles), bands and sig, all of one pass over the shingles."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("fp long, n long, bands array<long>, sig binary")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            h = shingle_hashes(t, words, seed)
+            least = signature(h)
+            rows.append((np.array([bits_of(h)], np.uint64).view(np.int64)[0], len(np.unique(h)), band_keys(least) if len(h) else [], signature_bytes(least)))
+        return pd.DataFrame(rows, columns=["fp", "n", "bands", "sig"])
+
+    return docs.withColumn("s", signed("_text")).select(*[c for c in docs.columns if c != "_text"], "s.*")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, bits: int = BITS, seed: int = SEED, carry: tuple[Column, ...] = (), share: float | None = None) -> DataFrame:
     """(doc_id, fp, fingerprint, root, component_id) and the columns to carry, for every row of docs.
 
     root is the group's least fingerprint (signed); it tells groups apart even where ids repeat.
-    With share, texts whose five-word shingles have that Jaccard similarity are linked too.
+    With share, texts whose shingles have that Jaccard similarity are linked too.
     """
-    key = F.xxhash64(text_of(text))
-    base = docs.select(F.col(doc_id).alias("doc_id"), *carry, text_of(text).alias("_text"), *([key.alias("_key")] if share is not None else []))
-    kept = cut(fingerprints(base, "_text", words, seed).drop("_text"))
-    rows = kept.drop("_key")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), *carry, text_of(text).alias("_text"))
+    if share is None:
+        rows = cut(fingerprints(base, "_text", words, seed).drop("_text"))
+    else:
+        base = base.withColumn("_key", F.xxhash64("_text"))
+        kept = cut(signed_texts(base, words, seed))
+        rows = kept.drop("_key", "n", "bands", "sig")
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")))
     edges = links(distinct.select("fp"), bits)
     if share is not None:
         # texts of one fingerprint are one group, so edges between texts are edges between fingerprints
-        texts = kept.select(F.col("_key").alias("key"), "fp").distinct()
-        pairs = alike(base.select(F.col("_key").alias("key"), "_text"), share)
+        texts = kept.select(F.col("_key").alias("key"), "fp", "n", "bands", "sig").dropDuplicates(["key"])
+        pairs = alike(texts, base.select(F.col("_key").alias("key"), "_text"), share, words)
         both = pairs.join(texts.select(F.col("key").alias("u"), F.col("fp").alias("p")), "u").join(texts.select(F.col("key").alias("v"), F.col("fp").alias("q")), "v")
         edges = edges.union(both.where("p <> q").select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")))
     found = components(edges)
     member = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
-    least = member.groupBy("root").agg(F.min("first").alias("least"))
-    named = member.join(least, "root").select("fp", "root", "least")
+    least = member.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("many"))
+    named = join_hot(member, least, "root", F.col("many"), distinct.count()).select("fp", "root", "least")
     alone = F.col("root").isNull()
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    return rows.join(every, "fp").select(*rows.columns, as_hex(F.col("fp")).alias("fingerprint"), "root", "component_id")
+    every = cut(distinct.join(named, "fp", "left").select("fp", "size", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("first")).otherwise(F.col("least")).alias("component_id")))
+    total = every.agg(F.sum("size")).first()[0] or 0
+    return join_hot(rows, every, "fp", F.col("size"), total).select(*rows.columns, as_hex(F.col("fp")).alias("fingerprint"), "root", "component_id")

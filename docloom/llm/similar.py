@@ -1,17 +1,28 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
-Method: prefix filtering, which is exact. A text is its set of shingle hashes, in
-one order for all texts: shingles that a sample shows to be common last, else by
-hash. Two sets of similarity `share` have a shingle among the first
-n - ceil(share n) + 1 of both, and their sizes and its two places bound what they can have in
-common. In each posting of such shingles the texts are first compared with one
-of them, then those that are not in one group yet with each other; every pair
-whose bitmaps do not differ in more bits than the sets may in shingles is
-verified by the whole sets.
+A fingerprint of 64 bits changes by ten bits or so between texts of similarity
+0.8, more than any index of its bytes can promise to find. So the same kind of
+index is kept over a signature of BANDS * ROWS positions, each the least of the
+text's shingle hashes in an order of its own: two texts agree at a position with
+a probability of their similarity. Postings are kept for bands of ROWS
+positions; texts of similarity 0.8 share none of them in one of ten million
+pairs. What meets in a posting is tallied by the bytes that the signatures
+share, kept if that tally is within five standard deviations of the similarity
+asked for, and verified by the whole shingle sets.
+
+Postings are not paired. In each, every text is first compared with one of
+them, the least by a hash that is the same in all postings; and ROUNDS times
+more with the least of those that are not in the posting's largest group yet.
+What is left apart after that is compared pair by pair, but only texts outside
+of a posting's largest group with others, each pair in the first posting that
+it shares, and only if sizes allow the similarity, and so do sketches of WIDE
+bits that these texts get: least hashes in as many orders, a bit of each, which
+of texts of the similarity differ in more than four standard deviations over
+the mean in one of thirty thousand cases.
 
 Cases: null and empty texts have no shingles and are like no other; fewer words
-than a shingle has are one shingle; texts of any length are read whole; an empty
-table gives no pairs.
+than a shingle has are one shingle; texts of any length are read whole; equal
+texts are one key; an empty table gives no pairs.
 """
 
 from __future__ import annotations
@@ -24,99 +35,156 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import BROADCAST_BYTES, cut, ship
 
 WORDS, SHARE, SEED = 5, 0.8, 42
-#: Texts of the sample, in how many of them a shingle is common, and how many common shingles are told apart.
-SAMPLE, COMMON, MOST = 10_000, 3, 50_000
-#: A set's bitmap, in numbers of 64 bits: for each place, if an odd number of its shingles fall there.
-LONGS = 8
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
+#: Postings of a text, and signature positions of each.
+BANDS, ROWS = 40, 5
+#: Further comparisons of all texts of a posting with one of them. Bits of the sketches of texts that are compared one by one.
+ROUNDS, WIDE = 2, 2048
+#: Shingles that are worked on together.
+BLOCK, LIST = 1 << 11, 1 << 16
+_ODD = (np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS + WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+ORDERS, SKETCH = _ODD[: BANDS * ROWS], _ODD[BANDS * ROWS :]
+
+
+def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of the shingles of a text, in order, repeats included; fewer words than a shingle has are one."""
     w, h = (text or "").encode("utf-8", "surrogatepass").lower().split(), xxhash.xxh64_intdigest
+    joined = b" ".join(w)
     if len(w) < words:
-        return np.array([h(b" ".join(w), SEED)] if w else [], np.uint64)
-    n = len(w) - words + 1
-    return np.unique(np.fromiter((h(b" ".join(w[k : k + words]), SEED) for k in range(n)), np.uint64, n))
+        return np.array([h(joined, seed)] if w else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.r_[0, ends[: len(w) - words] + 1]
+    ends, out = ends[words - 1 :], np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), LIST):
+        cut = zip(starts[k : k + LIST].tolist(), ends[k : k + LIST].tolist(), strict=True)
+        out[k : k + LIST] = [h(joined[a:b], seed) for a, b in cut]
+    return out
 
 
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that many texts of a sample have, and of how many."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0)
+def signature(hashes: np.ndarray, orders: np.ndarray = ORDERS) -> np.ndarray:
+    """The least hash in each of the orders; the largest number for no shingles."""
+    least, block = np.full(len(orders), np.uint64(2**64 - 1)), max(1, BLOCK * len(ORDERS) // len(orders))
+    for k in range(0, len(hashes), block):
+        part = hashes[k : k + block]
+        part = part ^ (part >> np.uint64(31))
+        np.minimum(least, np.multiply.outer(orders, part).min(axis=1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key a band; the bands' keys differ."""
+    from .pieces import mixed
+
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = mixed(key ^ column)
+    return key.view(np.int64)
+
+
+def signature_bytes(least: np.ndarray) -> bytes:
+    """One byte of each position."""
+    return ((least >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of the least hash in each of WIDE orders, in numbers of 64 bits."""
+    return np.packbits(((signature(hashes, SKETCH) >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
-    @F.pandas_udf("array<long>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, words).view(np.int64) for t in texts])
 
-    found = some.select(F.explode(hashes("_text")).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST).collect()
-    h, n = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def agreement(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Estimated similarity of signatures: their share of equal bytes, less what chance gives."""
+    p, q = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a, b))
+    return ((p == q).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
-def alike(docs: DataFrame, share: float = SHARE, words: int = WORDS) -> DataFrame:
-    """Pairs (u, v) of similar texts that connect all texts of similarity `share` or more. docs: key (long) and _text."""
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def alike(texts: DataFrame, docs: DataFrame, share: float = SHARE, words: int = WORDS) -> DataFrame:
+    """Pairs (u, v) of similar texts that connect all texts of similarity `share` or more.
+
+    texts: one row per text with key (long), n (distinct shingles), bands and sig; docs: key and _text.
+    """
     ship(docs.sparkSession)
-    common, often = common_shingles(docs, words)
-
-    @F.pandas_udf("n int, first array<long>, bits array<long>")
-    def prefix(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            s = shingles(t, words)
-            rank = np.zeros(len(s), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                rank = np.where(common[at] == s, often[at], 0)
-            most = len(s) - math.ceil(share * len(s) - 1e-9) + 1 if len(s) else 0
-            odd = np.bincount((s & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
-            rows.append((len(s), s[np.lexsort((s, rank))[:most]].view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
-        return pd.DataFrame(rows, columns=["n", "first", "bits"])
-
-    def fits(n: Column, i: Column, m: Column, j: Column) -> Column:
-        enough = F.least(n - i, m - j) >= F.lit(share / (1 + share)) * (n + m) - 1e-6
-        return enough & (F.least(n, m) >= F.lit(share) * F.greatest(n, m) - 1e-6)
-
-    sets = cut(docs.select("key", prefix("_text").alias("s")))
-    bits = sets.select("key", F.col("s.n").alias("n"), F.col("s.bits").alias("bits")).dropDuplicates(["key"])
-    listed = sets.select("key", F.col("s.n").alias("n"), F.posexplode("s.first").alias("i", "h")).repartition("h")
-    centres = listed.groupBy("h").agg(F.min(F.struct("key", "n", "i")).alias("c"), F.max("key").alias("last")).where(F.col("c.key") < F.col("last")).select("h", "c")
-    shared = cut(listed.join(centres, "h"))
-    star = shared.where(F.col("key") > F.col("c.key")).where(fits(F.col("n"), F.col("i"), F.col("c.n"), F.col("c.i"))).select(F.col("key").alias("u"), F.col("c.key").alias("v")).distinct()
-    star = cut(star)
+    # standard deviations below what texts of that similarity agree in
+    low = share - 5 * math.sqrt(share * (1 - share) / (BANDS * ROWS))
+    most = (1 - share) / 2 * WIDE + 4 * math.sqrt((1 - share) / 2 * (1 + share) / 2 * WIDE)
+    sigs = texts.where("n > 0").select("key", "n", "sig")
+    entries = texts.where("n > 0").select("key", F.explode("bands").alias("b"))
+
+    def least(salt: int) -> Column:
+        return F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("o"), F.col("key").alias("hub")))["hub"].alias("hub")
+
+    postings = entries.groupBy("b").agg(F.count("*").alias("size"), least(0)).where("size > 1").select("b", "hub")
+    shared = cut(entries.join(postings, "b"))
+
+    @F.pandas_udf("boolean")
+    def promising(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(agreement(x.tolist(), y.tolist()) >= low if len(x) else [], dtype=bool)
 
     @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, words).tobytes() for t in texts])
+    def packed(column: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in column])
+
+    @F.pandas_udf("array<long>")
+    def sketched(column: pd.Series) -> pd.Series:
+        return pd.Series([sketch(np.unique(shingle_hashes(t, words))) for t in column])
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            return both >= share * (len(p) + len(q) - both) - 1e-9
+        each = (similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True))
+        return pd.Series([s >= share - 1e-9 for s in each], dtype=bool)
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    def texts_of(keys: DataFrame) -> DataFrame:
+        """The texts of some keys; a list of keys of known size goes to the texts, else both sides are shuffled."""
+        keys = cut(keys)
+        small = keys.count() * 16 <= BROADCAST_BYTES
+        return docs.join(F.broadcast(keys) if small else keys, "key", "left_semi").dropDuplicates(["key"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # a shingle that only one of two sets has changes one bit
-        pairs = pairs.join(bits.select(F.col("key").alias("u"), F.col("n").alias("n"), F.col("bits").alias("x")), "u").join(bits.select(F.col("key").alias("v"), F.col("n").alias("m"), F.col("bits").alias("y")), "v")
-        differ = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(LONGS)), F.lit(0))
-        pairs = cut(pairs.where(differ <= F.lit((1 - share) / (1 + share)) * (F.col("n") + F.col("m")) + 1e-6).select("u", "v"))
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-        sets = cut(docs.join(asked, "key", "left_semi").dropDuplicates(["key"]).select("key", packed("_text").alias("s")))
-        both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
+        """Those of the pairs (u, v) that are similar."""
+        u, v = (sigs.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "uv")
+        sized = F.least("nu", "nv") >= F.lit(share) * F.greatest("nu", "nv") - 1e-6
+        told = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(u, "u").join(v, "v").where(sized).where(promising("su", "sv")).select("u", "v"))
+        asked = told.select(F.col("u").alias("key")).union(told.select("v")).distinct()
+        sets = cut(texts_of(asked).select("key", packed("_text").alias("s")))
+        both = told.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
         return cut(both.where(similar("a", "b")).select("u", "v"))
 
     from .simhash import components
 
-    near = verified(star)
-    group = components(near)
-    told = shared.drop("c").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    a, b = told.alias("a"), told.alias("b")
-    rest = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.key") > F.col("b.key")) & (F.col("a.root") != F.col("b.root")))
-    rest = rest.where(fits(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i"))).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
-    return near.union(verified(cut(rest.join(star, ["u", "v"], "left_anti"))))
+    def open_postings(edges: DataFrame, rows: DataFrame) -> DataFrame:
+        """(b, key, root, main) of the entries (b, key) of postings that hold several groups; main: the largest of them."""
+        named = rows.join(components(edges).select(F.col("node").alias("key"), "root"), "key", "left").select("b", "key", F.coalesce("root", "key").alias("root"))
+        sizes = named.groupBy("b", "root").agg(F.count("*").alias("n"))
+        several = sizes.groupBy("b").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("main")).where("groups > 1")
+        return cut(named.join(several.select("b", "main"), "b"))
+
+    edges = verified(shared.where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")))
+    left = open_postings(edges, shared)
+    for k in range(ROUNDS):
+        if not left.head(1):
+            return edges
+        hubs = left.where("root <> main").groupBy("b").agg(least(k), F.min_by("root", F.xxhash64("key", F.lit(k))).alias("own"))
+        edges = edges.union(verified(left.join(hubs, "b").where("root <> own").select(F.col("key").alias("u"), F.col("hub").alias("v"))))
+        left = open_postings(edges, left.select("b", "key"))
+    if not left.head(1):
+        return edges
+    bits = texts_of(left.select("key").distinct()).select("key", sketched("_text").alias("bits"))
+    known = cut(texts.select("key", "n", "bands").join(bits, "key"))
+    x, y = (left.join(known, "key").select(*[F.col(c).alias(f"{c}{k}") for c in ("b", "key", "root", "main", "n", "bands", "bits")]) for k in "xy")
+    differ = sum((F.bit_count(F.col("bitsx")[k].bitwiseXOR(F.col("bitsy")[k])) for k in range(WIDE // 64)), F.lit(0))
+    on = (
+        (F.col("bx") == F.col("by"))
+        & (F.col("rootx") != F.col("rooty"))
+        & ((F.col("rooty") == F.col("mainy")) | (F.col("keyx") < F.col("keyy")))
+        & (F.least("nx", "ny") >= F.lit(share) * F.greatest("nx", "ny") - 1e-6)
+        & (differ <= F.lit(most))
+        & (F.get("bandsx", F.array_position(F.zip_with("bandsx", "bandsy", lambda p, q: p == q), True).cast("int") - 1) == F.col("bx"))
+    )
+    return edges.union(verified(x.where("rootx <> mainx").join(y, on).select(F.col("keyx").alias("u"), F.col("keyy").alias("v"))))

@@ -92,6 +92,20 @@ def test_stages_keep_columns_and_take_empty_tables(spark, corpus):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), home).count() == 0
 
 
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark, corpus):
+    home, _, _ = corpus
+    names = ["predicted", "score", "_score", "sha", "_sha", "doc_id_", "mark", "text_sha256"]
+    rows = [(1, None), (2, ""), (3, "bina dortu " * 20000), (3, "bina dortu " * 20000), (4, "Bina Dortu " * 20000), (5, "gela"), (5, "gela")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *["own"] * len(names)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, home)
+        assert out.columns == docs.columns
+        assert all(r[n] == "own" for r in out.collect() for n in names)
+    kept = corpus_pipeline.keep_one_exact(spark, docs, home).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 4, 5]  # of equal texts the largest id, of repeats one
+    assert corpus_pipeline.keep_quality(spark, docs, home).columns == docs.columns
+
+
 def test_near_copies_beyond_two_bits_are_one_group(spark):
     rng = np.random.default_rng(3)
     words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rt", "l")]
