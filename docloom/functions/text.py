@@ -77,17 +77,26 @@ def composer():
     return F.pandas_udf(nfkc, "string")
 
 
-def clean_extracted(c: Column, compose: bool = True) -> Column:
-    """Cleaning of extracted text (T5). compose: NFKC first, the one step Spark has no function for."""
+def ascii_pattern(pattern: str) -> str:
+    """The pattern with boundaries and white space of ASCII alone, as RE2 has them, in any version of Java; to be run without (?U)."""
+    word = r"[0-9A-Za-z_]"
+    pattern = pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+    return pattern.replace(r"[\s", r"[\t\n\f\r ").replace(r"\s", r"[\t\n\f\r ]")
+
+
+def clean_extracted(c: Column, compose: bool = True, ascii: bool = False) -> Column:
+    """Cleaning of extracted text (T5). compose: NFKC first, the one step Spark has no function for. ascii: letters beyond ASCII are no parts of words, so Al is respelled before them too."""
+    replace = lambda x, p, by, flags="": sub(x, ascii_pattern(p), by, flags + "u") if ascii else sub(x, p, by, flags + "U")
+    trim = (lambda x: F.btrim(x, F.lit("\t\n\f\r "))) if ascii else strip
     c = unix_lines(c)
     c = composer()(c) if compose else c
     c = F.translate(c, "\u200b\u200c\u200d\u2060\ufeff\u00a0", "      ")
     c = F.regexp_replace(c, V.PICTURES, " ")
-    c = if_holds(c, "20", lambda x: sub(x, V.JOINED_YEARS, "$1-$2"))
-    c = if_holds(c, "+", lambda x: sub(x, r"\b([0-9])\1\+\s*years?\b", "$1+ years", "iU"))
-    c = if_holds(c, "Al", lambda x: sub(x, r"\bAl\b", "AI"))
-    kept = F.transform(F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != ""), lambda x: strip(sub(x, V.DECORATION, "")))
-    return strip(F.regexp_replace(join_lines(F.filter(kept, lambda x: x != "")), r"[ \t]+", " "))
+    c = if_holds(c, "20", lambda x: replace(x, V.JOINED_YEARS, "$1-$2"))
+    c = if_holds(c, "+", lambda x: replace(x, r"\b([0-9])\1\+\s*years?\b", "$1+ years", "i"))
+    c = if_holds(c, "Al", lambda x: replace(x, r"\bAl\b", "AI"))
+    kept = F.transform(F.filter(F.transform(F.split(c, "\n"), trim), lambda x: x != ""), lambda x: trim(replace(x, V.DECORATION, "")))
+    return trim(F.regexp_replace(join_lines(F.filter(kept, lambda x: x != "")), r"[ \t]+", " "))
 
 
 def clean_lines(c: Column) -> Column:
