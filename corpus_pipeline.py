@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, dedup, pieces, quality, simhash
-from docloom.llm.common import cut, join_hot, scratch, table, text_of, unused, without
+from docloom.llm.common import cut, join_hot, scratch, table, text_of, unused, without, without_old_shuffles
 from docloom.llm.queries import vocabulary
 
 #: Near copies have this Jaccard similarity of their shingles of so many words at least, or fingerprints within two bits.
@@ -47,10 +47,11 @@ def keep_one_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document that names it."""
     mark = MARK(text_of())
-    rows = cut(simhash.near_duplicates(docs, words=WORDS, carry=(mark.alias("mark"),), share=SHARE))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    removed = join_hot(rows, first, "root", F.col("n"), rows.count()).where(~F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark").eqNullSafe(F.col("first")))
-    return without(docs, removed, {"doc_id": F.col("doc_id"), "mark": mark})
+    with without_old_shuffles(spark):
+        rows = cut(simhash.near_duplicates(docs, words=WORDS, carry=(mark.alias("mark"),), share=SHARE))
+        first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        removed = join_hot(rows, first, "root", F.col("n"), rows.count()).where(~F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark").eqNullSafe(F.col("first")))
+        return without(docs, removed, {"doc_id": F.col("doc_id"), "mark": mark})
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

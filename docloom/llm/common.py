@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
+@lru_cache(maxsize=1)
+def trimmer():
+    """glibc's malloc_trim, if that is the C library."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system; idle workers live on for a minute, and would keep it."""
+    trimmer()(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package even if they start in another folder, and bound their batches.
 

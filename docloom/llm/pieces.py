@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of, unused
+from .common import give_back, ship, text_of, unused
 
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
@@ -44,9 +44,9 @@ ALPHA, SEED = 0.1, 1
 #: Longer chunks have a heap of their own.
 SHORT = 40
 #: Characters that are encoded together.
-TOGETHER = 1_000_000
+TOGETHER = 250_000
 #: Symbols of agendas that advance together; bounds the arrays of a worker.
-CELLS = 500_000
+CELLS = 125_000
 NEVER = np.int32(2**31 - 1)
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Odd factors of a candidate's left, middle and right places.
@@ -384,6 +384,8 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", doc_id: str = "d
         found = c.encode(texts.tolist(), keys.tolist(), seed, alpha)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         rows = [(len(i), sha(i.astype("<i4").tobytes()), sha(c.decode(i).encode("utf-8", "surrogatepass")), *[i] * ids) for i in found]
+        del found
+        give_back()
         return pd.DataFrame(rows, columns=names)
 
     keep = [c for c in docs.columns if c not in ("n_pieces", "pieces_sha256", "lossless", "piece_ids")]

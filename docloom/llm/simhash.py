@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, ship, text_of
+from .common import cut, give_back, join_hot, ship, text_of
 from .similar import alike, band_keys, shingle_hashes, signature, signature_bytes
 
 SEED = 42
@@ -166,6 +166,7 @@ def signed_texts(docs: DataFrame, words: int, seed: int) -> DataFrame:
             h = shingle_hashes(t, words, seed)
             least = signature(h)
             rows.append((np.array([bits_of(h)], np.uint64).view(np.int64)[0], len(np.unique(h)), band_keys(least) if len(h) else [], signature_bytes(least)))
+        give_back()
         return pd.DataFrame(rows, columns=["fp", "n", "bands", "sig"])
 
     return docs.withColumn("s", signed("_text")).select(*[c for c in docs.columns if c != "_text"], "s.*")

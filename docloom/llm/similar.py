@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, ship
+from .common import BROADCAST_BYTES, cut, give_back, ship
 
 WORDS, SHARE, SEED = 5, 0.8, 42
 #: Postings of a text, and signature positions of each.
@@ -129,7 +129,9 @@ def alike(texts: DataFrame, docs: DataFrame, share: float = SHARE, words: int =
 
     @F.pandas_udf("binary")
     def packed(column: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in column])
+        sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in column]
+        give_back()
+        return pd.Series(sets)
 
     @F.pandas_udf("array<long>")
     def sketched(column: pd.Series) -> pd.Series:
@@ -138,7 +140,9 @@ def alike(texts: DataFrame, docs: DataFrame, share: float = SHARE, words: int =
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         each = (similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True))
-        return pd.Series([s >= share - 1e-9 for s in each], dtype=bool)
+        found = [s >= share - 1e-9 for s in each]
+        give_back()
+        return pd.Series(found, dtype=bool)
 
     def texts_of(keys: DataFrame) -> DataFrame:
         """The texts of some keys; a list of keys of known size goes to the texts, else both sides are shuffled."""

@@ -363,6 +363,19 @@ def test_contamination(spark, odd, nothing, literals):
 # --- pieces ---
 
 
+def test_pieces_are_encoded_in_little_memory():
+    import random
+    import tracemalloc
+
+    c, some = pieces.coder(vocabulary("piece_bpe_32k.model")), random.Random(1)
+    texts = [" ".join("".join(some.choices("etaoinshrdlu", k=some.randint(2, 12))) for _ in range(700)) for _ in range(160)]
+    tracemalloc.start()
+    c.encode(texts, list(range(len(texts))))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64e6
+
+
 def test_pieces_without_dropout_are_the_librarys():
     import sentencepiece
 
