@@ -146,14 +146,18 @@ def information(c: Column) -> Column:
 
 def document_type(c: Column) -> Column:
     """CV, study material, report or general document (E41); ties go to the first of these."""
-    low = F.lower(text_of(c))
-    n = {k: contained(low, ws) for k, ws in V.TYPE_WORDS.items()}
-    most = F.greatest(*n.values())
-    kind = F.lit("General Document")
-    for k in reversed(n):
-        kind = F.when(n[k] == most, F.lit(k)).otherwise(kind)
-    weak = (kind == "CV / Resume") & (contained(low, V.TYPE_STRONG) == 0) & (n["CV / Resume"] < 6)
-    return F.when((most < 4) | weak, F.lit("General Document")).otherwise(kind)
+    counts = lambda low: F.struct(*[contained(low, ws).alias(k) for k, ws in {**V.TYPE_WORDS, "strong": V.TYPE_STRONG}.items()])
+
+    def kind_of(n: Column) -> Column:
+        most = F.greatest(*[n.getField(k) for k in V.TYPE_WORDS])
+        weak = (n["strong"] == 0) & (n.getField("CV / Resume") < 6)
+        out = F.when(most < 4, F.lit("General Document"))
+        for k in V.TYPE_WORDS:
+            out = out.when(n.getField(k) == most, F.when(weak, F.lit("General Document")).otherwise(F.lit(k)) if k == "CV / Resume" else F.lit(k))
+        return out
+
+    # counted once even where the type is asked for within a branch
+    return let(let(F.lower(text_of(c)), counts), kind_of)
 
 
 def count_of(c: Column, pattern: str, flags: str = "U") -> Column:
@@ -196,23 +200,32 @@ def wrapped(c: Column, width: int = 95) -> Column:
 
 def answer_summary(c: Column) -> Column:
     """The summary part of a model's answer."""
-    t = strip(text_of(c))
-    head = F.when(t.rlike(r"(?iuU)KEY\s+INSIGHTS\s*:"), F.regexp_extract(t, r"(?isuU)\A(.*?)KEY\s+INSIGHTS\s*:", 1)).otherwise(
-        F.when(t.rlike(r"(?iuU)\bDOCUMENT\s*:"), F.regexp_extract(t, r"(?isuU)\A(.*?)\bDOCUMENT\s*:", 1)).otherwise(t)
-    )
+
+    def head(t: Column) -> Column:
+        return F.when(t.rlike(r"(?iuU)KEY\s+INSIGHTS\s*:"), F.regexp_extract(t, r"(?isuU)\A(.*?)KEY\s+INSIGHTS\s*:", 1)).otherwise(
+            F.when(t.rlike(r"(?iuU)\bDOCUMENT\s*:"), F.regexp_extract(t, r"(?isuU)\A(.*?)\bDOCUMENT\s*:", 1)).otherwise(t)
+        )
+
+    out = let(strip(text_of(c)), head)
     for heading in (r"^\s*SUMMARY\s*:\s*", r"\bKEY\s+INSIGHTS\s*:\s*$", r"\bDOCUMENT\s*:\s*$"):
-        head = sub(strip(head), heading, "", "iuU")
-    return strip(head)
+        out = sub(strip(out), heading, "", "iuU")
+    return strip(out)
 
 
 def answer_insights(c: Column, most: int = 5, strict: bool = False) -> Column:
     """The bullet points of a model's answer (E44). strict: a bullet or number goes, but not what a point begins with."""
-    t = strip(F.regexp_extract(strip(text_of(c)), r"(?isuU)KEY\s+INSIGHTS\s*:(.*)\z", 1))
-    t = F.when(t.rlike(r"(?iuU)\bDOCUMENT\s*:"), strip(F.regexp_extract(t, r"(?isuU)\A(.*?)\bDOCUMENT\s*:", 1))).otherwise(t)
     bare = lambda x: strip(sub(strip(x), V.BULLET_STRICT if strict else r"^[\-*\u2022\d.)\s]+", ""))
-    by_line = F.filter(F.transform(F.split(t, r"\r\n|[\n\r]"), bare), lambda x: (x != "") & ~F.upper(x).isin("SUMMARY", "KEY INSIGHTS", "DOCUMENT", "DOCUMENT TYPE"))
-    by_sentence = F.filter(F.transform(F.split(t, r"(?U)(?<=[.!?])\s+"), bare), lambda x: x != "")
-    return F.slice(first_seen(F.when(F.size(by_line) > 0, by_line).otherwise(by_sentence)), 1, most)
+
+    def part(t: Column) -> Column:
+        return F.when(t.rlike(r"(?iuU)\bDOCUMENT\s*:"), strip(F.regexp_extract(t, r"(?isuU)\A(.*?)\bDOCUMENT\s*:", 1))).otherwise(t)
+
+    def points(t: Column) -> Column:
+        by_line = F.filter(F.transform(F.split(t, r"\r\n|[\n\r]"), bare), lambda x: (x != "") & ~F.upper(x).isin("SUMMARY", "KEY INSIGHTS", "DOCUMENT", "DOCUMENT TYPE"))
+        by_sentence = F.filter(F.transform(F.split(t, r"(?U)(?<=[.!?])\s+"), bare), lambda x: x != "")
+        return let(by_line, lambda found: F.when(F.size(found) > 0, found).otherwise(by_sentence))
+
+    tail = strip(F.regexp_extract(strip(text_of(c)), r"(?isuU)KEY\s+INSIGHTS\s*:(.*)\z", 1))
+    return F.slice(first_seen(let(let(tail, part), points)), 1, most)
 
 
 def matches_of(c: Column, needle: str) -> Column:

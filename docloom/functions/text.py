@@ -102,8 +102,8 @@ def clean_extracted(c: Column, compose: bool = True, ascii: bool = False) -> Col
 def clean_lines(c: Column) -> Column:
     """Cleaning before a summary."""
     c = F.translate(unix_lines(F.translate(text_of(c), "\u00a0", " ")), "\x00", " ")
-    c = sub(c, r"\b(20\d{2})\s*[-\u2013\u2014]\s*(20\d{2})\b", "$1-$2")
-    c = sub(c, r"\bfull\s*time\b", "full-time", "iU")
+    c = if_holds(c, "20", lambda x: sub(x, r"\b(20\d{2})\s*[-\u2013\u2014]\s*(20\d{2})\b", "$1-$2"))
+    c = let(c, lambda x: F.when(F.contains(like(x), F.lit("full")), sub(x, r"\bfull\s*time\b", "full-time", "iU")).otherwise(x))
     return join_lines(F.transform(lines(c), lambda x: F.regexp_replace(x, r"[ \t]+", " ")))
 
 
@@ -145,22 +145,40 @@ def clean_scan(c: Column, names: dict[str, str] | None = None) -> Column:
     return strip(join_lines(F.filter(lines(c), keep)))
 
 
+def like(c: Column) -> Column:
+    """Lower case, with all that patterns which ignore case take for s and i; for cheap tests before them."""
+    return F.lower(F.translate(c, "\u017f\u0131\u0130", "sii"))
+
+
+def respell_words(c: Column, table: list[tuple[str, str]]) -> Column:
+    """respell(), whose patterns are words between boundaries here, run on texts alone that contain one of them."""
+    words = [p.removeprefix(r"\b").removesuffix(r"\b").lower() for p, _ in table]
+    there = lambda x: let(like(x), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]))
+    return let(c, lambda x: F.when(there(x), respell(x, table)).otherwise(x))
+
+
 def for_model(c: Column) -> Column:
     """Cleaning of text that a language model is to read."""
     c = F.translate(F.translate(text_of(c), "\u00a0\u2013\u2014\u2212", " ---"), "\u200b\u200c\u200d\ufeff", "")
-    c = sub(c, r"\b(20\d{2})(20\d{2})\b", "$1-$2")
-    c = sub(sub(c, r"\b(20\d{2})\s+(20\d{2})\b", "$1-$2"), r"\b(20\d{2})\s*-\s*(20\d{2})\b", "$1-$2")
-    c = respell(sub(c, r"\b(20\d{2})\s+Present\b", "$1-Present", "iU"), V.MODEL_SPELLINGS)
-    c = sub(sub(c, r"(\d+(?:\.\d+)?)\s+%", "$1%"), r"\b(\d+)\s*\+\s*years\b", "$1+ years", "iU")
+
+    def years(x: Column) -> Column:
+        x = sub(x, r"\b(20\d{2})(20\d{2})\b", "$1-$2")
+        x = sub(sub(x, r"\b(20\d{2})\s+(20\d{2})\b", "$1-$2"), r"\b(20\d{2})\s*-\s*(20\d{2})\b", "$1-$2")
+        return sub(x, r"\b(20\d{2})\s+Present\b", "$1-Present", "iU")
+
+    c = respell_words(if_holds(c, "20", years), V.MODEL_SPELLINGS)
+    c = if_holds(c, "%", lambda x: sub(x, r"(\d+(?:\.\d+)?)\s+%", "$1%"))
+    c = if_holds(c, "+", lambda x: sub(x, r"\b(\d+)\s*\+\s*years\b", "$1+ years", "iU"))
     return join_lines(lines(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), r"[ \t]+", " ")))
 
 
 def without_page_marks(c: Column) -> Column:
-    return sub(text_of(c), r"---\s*Page\s+\d+\s*---", " ", "iU")
+    return if_holds(text_of(c), "---", lambda x: sub(x, r"---\s*Page\s+\d+\s*---", " ", "iU"))
 
 
 def without_tables(c: Column) -> Column:
-    return reduce(lambda x, p: sub(x, p, " ", "iU"), [r"\[TABLE\s*\d+\]", *V.TABLE_HEADERS], text_of(c))
+    c = if_holds(text_of(c), "[", lambda x: sub(x, r"\[TABLE\s*\d+\]", " ", "iU"))
+    return if_holds(c, "|", lambda x: reduce(lambda y, p: sub(y, p, " ", "iU"), V.TABLE_HEADERS, x))
 
 
 def without_titles(c: Column, titles: list[str] = ()) -> Column:

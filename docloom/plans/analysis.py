@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
-from ..functions.text import for_model, strip, text_of, words_in
+from ..functions.text import for_model, let, strip, text_of, words_in
 from ..operators.keywords import keyword_list
 from ..operators.summaries import summary_of
 
@@ -25,10 +25,14 @@ FORM = "\nAnswer in this form:\nSUMMARY: a paragraph\nKEY INSIGHTS:\n- up to fiv
 
 def prompt(text: Column) -> Column:
     """The prompt for a document by its type."""
-    kind, out = X.document_type(text), F.lit(PROMPTS["General Document"])
-    for k, p in PROMPTS.items():
-        out = F.when(kind == k, F.lit(p)).otherwise(out)
-    return F.concat(out, F.lit(FORM), for_model(text))
+
+    def asked_for(kind: Column) -> Column:
+        out = F.lit(PROMPTS["General Document"])
+        for k, p in PROMPTS.items():
+            out = F.when(kind == k, F.lit(p)).otherwise(out)
+        return out
+
+    return F.concat(let(X.document_type(text), asked_for), F.lit(FORM), for_model(text))
 
 
 def offline(prompts: list[str]) -> list[str]:

@@ -69,6 +69,18 @@ def test_golden(spark, f, text, want):
     assert got == (pytest.approx(want) if isinstance(want, float) else want)
 
 
+def test_the_type_is_counted_once_in_a_prompt_and_words_are_looked_for_first(spark):
+    from docloom.functions import vocabulary as V
+    from docloom.plans.analysis import prompt
+
+    of = lambda c: spark.range(1).select(F.lit("x").alias("t")).select(c.alias("v"))._jdf.queryExecution().analyzed().toString().lower()
+    listed = sum(map(len, V.TYPE_WORDS.values())) + len(V.TYPE_STRONG)
+    assert of(X.document_type(F.col("t"))).count("contains(") == listed
+    assert of(prompt(F.col("t"))).count("contains(") - of(T.for_model(F.col("t"))).count("contains(") == listed
+    assert of(T.for_model(F.col("t"))).count("contains(") >= len(V.MODEL_SPELLINGS)
+    assert one(spark, T.for_model, "T\u0130DB fulltıme Lınkedin \u017fqlite") == one(spark, lambda c: T.respell(c, V.MODEL_SPELLINGS), "T\u0130DB fulltıme Lınkedin \u017fqlite")
+
+
 def test_null_is_empty(spark):
     for f in (T.clean_extracted, T.clean_lines, T.plain_scan, T.clean_scan, T.for_model, T.visible, T.for_summary, T.words_in, X.document_type, X.quality, X.emails, X.information, X.wrapped, X.answer_insights, S.topic_sentence, S.resume_lines, S.purpose):
         a, b = one(spark, f, None, "")
