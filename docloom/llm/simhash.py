@@ -44,6 +44,8 @@ BITS = 2
 BLOCK = 1 << 16
 #: Longest posting that is paired directly: as many pairs a row as the other path has list entries.
 HOT = 64
+#: Edges that a task of a component step writes, if there are that many.
+EDGES = 10_000
 
 
 def bits_of(hashes: np.ndarray) -> int:
@@ -124,8 +126,9 @@ def links(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is the least node that can be reached."""
 
-    def both(e: DataFrame) -> DataFrame:
-        return e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    def two(e: DataFrame, *edges: tuple[str, str]) -> DataFrame:
+        """The edges (names of u and v) of every row."""
+        return e.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in edges])).alias("e")).select("e.*")
 
     def star(e: DataFrame, least: DataFrame) -> DataFrame:
         return e.join(least, "u")
@@ -138,13 +141,15 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     for _ in range(most):
         if not before[0]:
             break
-        wide = both(e)
+        tasks = 1 + 2 * before[0] // EDGES
+        wide = two(e, ("u", "v"), ("v", "u"))
         least = wide.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = star(wide, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = star(wide, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = star(down, least).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct())
+        small = two(star(down, least), ("v", "m"), ("u", "m"))
+        # few edges are dealt to few tasks
+        e = cut(small.where("u <> v").distinct().coalesce(tasks))
         after = mark(e)
         if after == before:
             break

@@ -11,8 +11,9 @@ share, kept if that tally is within five standard deviations of the similarity
 asked for, and verified by the whole shingle sets.
 
 Postings are not paired. In each, every text is first compared with one of
-them, the least by a hash that is the same in all postings; and ROUNDS times
-more with the least of those that are not in the posting's largest group yet.
+them, the one that meets most texts in all its postings: copies that differ from
+one text at different places are each nearer to that text, or to one that is
+little changed, than to each other, so it links nearly all that can be linked.
 What is left apart after that is compared pair by pair, but only texts outside
 of a posting's largest group with others, each pair in the first posting that
 it shares, and only if sizes allow the similarity, and so do sketches of WIDE
@@ -32,7 +33,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, cut, give_back, ship
@@ -40,8 +41,8 @@ from .common import BROADCAST_BYTES, cut, give_back, ship
 WORDS, SHARE, SEED = 5, 0.8, 42
 #: Postings of a text, and signature positions of each.
 BANDS, ROWS = 40, 5
-#: Further comparisons of all texts of a posting with one of them. Bits of the sketches of texts that are compared one by one.
-ROUNDS, WIDE = 2, 2048
+#: Bits of the sketches of texts that are compared one by one.
+WIDE = 2048
 #: Shingles that are worked on together.
 BLOCK, LIST = 1 << 11, 1 << 16
 _ODD = (np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS + WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -117,11 +118,11 @@ def alike(texts: DataFrame, docs: DataFrame, share: float = SHARE, words: int =
     sigs = texts.where("n > 0").select("key", "n", "sig")
     entries = texts.where("n > 0").select("key", F.explode("bands").alias("b"))
 
-    def least(salt: int) -> Column:
-        return F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("o"), F.col("key").alias("hub")))["hub"].alias("hub")
-
-    postings = entries.groupBy("b").agg(F.count("*").alias("size"), least(0)).where("size > 1").select("b", "hub")
-    shared = cut(entries.join(postings, "b"))
+    postings = entries.groupBy("b").agg(F.count("*").alias("size")).where("size > 1")
+    owners = cut(entries.join(postings, "b").groupBy("key").agg(F.sum("size").alias("meets"), F.collect_list("b").alias("bs")))
+    met = owners.select("key", "meets", F.explode("bs").alias("b"))
+    hubs = met.groupBy("b").agg(F.max(F.struct("meets", F.xxhash64("key").alias("o"), "key"))["key"].alias("hub"))
+    shared = cut(met.select("b", "key").join(hubs, "b"))
 
     @F.pandas_udf("boolean")
     def promising(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -150,11 +151,15 @@ def alike(texts: DataFrame, docs: DataFrame, share: float = SHARE, words: int =
         small = keys.count() * 16 <= BROADCAST_BYTES
         return docs.join(F.broadcast(keys) if small else keys, "key", "left_semi").dropDuplicates(["key"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) that are similar."""
+    def screened(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v) that may be similar by sizes and signatures, u < v, each once."""
         u, v = (sigs.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "uv")
         sized = F.least("nu", "nv") >= F.lit(share) * F.greatest("nu", "nv") - 1e-6
-        told = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(u, "u").join(v, "v").where(sized).where(promising("su", "sv")).select("u", "v"))
+        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(u, "u").join(v, "v").where(sized).where(promising("su", "sv")).select("u", "v")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v), each given once, that are similar."""
+        told = cut(pairs)
         asked = told.select(F.col("u").alias("key")).union(told.select("v")).distinct()
         sets = cut(texts_of(asked).select("key", packed("_text").alias("s")))
         both = told.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
@@ -169,14 +174,8 @@ def alike(texts: DataFrame, docs: DataFrame, share: float = SHARE, words: int =
         several = sizes.groupBy("b").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("main")).where("groups > 1")
         return cut(named.join(several.select("b", "main"), "b"))
 
-    edges = verified(shared.where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")))
+    edges = verified(screened(shared.where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v"))))
     left = open_postings(edges, shared)
-    for k in range(ROUNDS):
-        if not left.head(1):
-            return edges
-        hubs = left.where("root <> main").groupBy("b").agg(least(k), F.min_by("root", F.xxhash64("key", F.lit(k))).alias("own"))
-        edges = edges.union(verified(left.join(hubs, "b").where("root <> own").select(F.col("key").alias("u"), F.col("hub").alias("v"))))
-        left = open_postings(edges, left.select("b", "key"))
     if not left.head(1):
         return edges
     bits = texts_of(left.select("key").distinct()).select("key", sketched("_text").alias("bits"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docloom.llm import pieces, quality
+from docloom.llm import pieces, quality, similar
 from docloom.llm.queries import vocabulary
 
 from .conftest import lower
@@ -124,3 +124,27 @@ def test_near_copies_beyond_two_bits_are_one_group(spark):
     table = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.keep_one_near(spark, table, "").collect()
     assert sorted(r.doc_id for r in got) == [i for i in range(len(docs)) if find(i) == i]
+
+
+def test_pairs_of_a_large_group_stay_in_proportion(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rt", "l")]
+    base, docs = list(rng.choice(words, 150)), []
+    for k in range(400):  # copies of one text with 0 to 9 words changed
+        w = list(base)
+        for n, at in enumerate(rng.integers(0, len(w), k % 10)):
+            w[at] = f"x{k}y{n}"
+        docs.append(" ".join(w))
+    find, _ = plain_near(docs)
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs, cut = [], similar.cut
+
+    def counted(df):
+        out = cut(df)
+        pairs.append(out.count() if out.columns == ["u", "v"] else 0)
+        return out
+
+    monkeypatch.setattr(similar, "cut", counted)
+    got = corpus_pipeline.keep_one_near(spark, table, "").collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(len(docs)) if find(i) == i]
+    assert len(got) > 20 and 300 < sum(pairs) < 5 * len(docs)
