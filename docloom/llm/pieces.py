@@ -43,8 +43,10 @@ CHUNK = re.compile(r" *[^ \n]+| +|\n")
 ALPHA, SEED = 0.1, 1
 #: Longer chunks have a heap of their own.
 SHORT = 40
-#: Characters that are encoded together.
-TOGETHER = 250_000
+#: Characters whose distinct chunks are segmented once without dropout.
+TOGETHER = 4_000_000
+#: Chunks whose candidates are gathered, and occurrences with an agenda of their own, that are worked off in one go.
+PLAIN, AGAIN = 20_000, 50_000
 #: Symbols of agendas that advance together; bounds the arrays of a worker.
 CELLS = 125_000
 NEVER = np.int32(2**31 - 1)
@@ -197,8 +199,8 @@ class PieceCoder:
             other = other[found[other] != want[other]]
         return row
 
-    def agendas(self, ids: np.ndarray, length: np.ndarray, key: np.ndarray, limit: int, offered: list | None = None) -> np.ndarray:
-        """Work off the agendas of all rows together. ids (n, w): symbols from column 0 on, else -1; changed in place. offered: gets (rows, candidates)."""
+    def agendas(self, ids: np.ndarray, length: np.ndarray, key: np.ndarray, limit: int, first: np.ndarray, begin: np.ndarray, offered: list | None = None) -> np.ndarray:
+        """Work off the agendas of all rows together. ids (n, w): symbols from column 0 on, else -1; changed in place. first: rows of the pair table for a row's symbols and their next, from its begin on. offered: gets (rows, candidates)."""
         n, w = ids.shape
         cols = np.arange(w, dtype=np.int32)
         ids = ids.ravel()  # places are counted through all rows: base + column
@@ -206,12 +208,13 @@ class PieceCoder:
         rank, made = np.full(n * w, NEVER, np.int32), np.zeros(n * w, np.int32)
         length = length.astype(np.int32)
 
-        def offer(rows: np.ndarray, k: np.ndarray, base: np.ndarray) -> None:
+        def offer(rows: np.ndarray, k: np.ndarray, base: np.ndarray, row: np.ndarray | None = None) -> None:
             at = base + k
             m = nxt[at]
-            ok = np.flatnonzero(m < length[rows])
-            rows, k, m, base, at = rows[ok], k[ok], m[ok], base[ok], at[ok]
-            row = self.look_up(ids[at], ids[base + m])
+            if row is None:
+                ok = np.flatnonzero(m < length[rows])
+                rows, k, m, base, at = rows[ok], k[ok], m[ok], base[ok], at[ok]
+                row = self.look_up(ids[at], ids[base + m])
             r = self.ranks[row]
             if limit or offered is not None:
                 there = np.flatnonzero(r < NEVER)
@@ -223,7 +226,7 @@ class PieceCoder:
             rank[at], made[at] = r, self.made[row]
 
         rows, k = np.nonzero(cols[None, :] < length[:, None] - 1)
-        offer(rows, k.astype(np.int32), rows * w)
+        offer(rows, k.astype(np.int32), rows * w, first[begin[rows] + k])
         table = rank.reshape(n, w)
         rows = np.arange(n)
         while len(rows):
@@ -247,13 +250,21 @@ class PieceCoder:
             offer(rows, k, base)
         return ids.reshape(n, w)
 
-    def worked_off(self, chunks: list[str], which: np.ndarray, keys: np.ndarray, limit: int, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of each (chunks[which], key): flat ids, and where each begins, with the end. offered: gets (place in which, candidates)."""
+    def laid_out(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of chunks: the symbols of all characters, the row of the pair table for each and its next, where each chunk begins, and its size, 0 if it goes by the heap."""
         size = np.array(list(map(len, chunks)), dtype=np.int64)
         begin = np.cumsum(size) - size
         spelled = self.by_point[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
         bare = np.add.reduceat((spelled < 0) | (spelled >= self.base), begin) > 0 if len(chunks) else size > 0
-        size[bare | (size > SHORT)] = 0  # these go by the heap
+        size[bare | (size > SHORT)] = 0
+        first = np.zeros(len(spelled), np.int32)  # where a chunk ends, it is never read
+        for k in range(0, len(spelled) - 1, CELLS):
+            first[k : k + CELLS][: len(spelled) - 1 - k] = self.look_up(spelled[k : k + CELLS][: len(spelled) - 1 - k], spelled[k + 1 : k + 1 + CELLS])
+        return spelled, first, begin, size
+
+    def worked_off(self, chunks: list[str], laid: tuple, which: np.ndarray, keys: np.ndarray, limit: int, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of each (chunks[which], key): flat ids, and where each begins, with the end. laid: of laid_out(chunks). offered: gets (place in which, candidates)."""
+        spelled, first, begin, size = laid
         count, done = np.zeros(len(which), np.int64), []
         for a, b in zip((1, 5, 9, 13, 19, 27), (5, 9, 13, 19, 27, SHORT + 1), strict=True):
             group = np.flatnonzero((size[which] >= a) & (size[which] < b))
@@ -264,7 +275,7 @@ class PieceCoder:
                 inside = cols[None, :] < n[:, None]
                 ids = np.where(inside, spelled[np.minimum(begin[which[part]][:, None] + cols[None, :], len(spelled) - 1)], -1).astype(np.int32)
                 own = [] if offered is not None else None
-                ids = self.agendas(ids, n, keys[part], limit, own)
+                ids = self.agendas(ids, n, keys[part], limit, first, begin[which[part]], own)
                 if own is not None:
                     offered += [(part[rows], where) for rows, where in own]
                 keep = ids >= 0
@@ -285,27 +296,39 @@ class PieceCoder:
 
     def segment(self, chunks: list[str], which: np.ndarray, keys: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of each (chunks[which], key): flat ids, where each begins and its length."""
-        limit = self.limit(alpha)
-        offered = [] if limit else None
-        flat, starts = self.worked_off(chunks, np.arange(len(chunks)), np.zeros(len(chunks), np.uint64), 0, offered)
-        begin, size = starts[which], np.diff(starts)[which]
+        limit, laid = self.limit(alpha), self.laid_out(chunks)
+        flats, sizes, wheres, many = [], [], [], []
+        for a in range(0, len(chunks), PLAIN):
+            some = np.arange(a, min(a + PLAIN, len(chunks)))
+            offered = [] if limit else None
+            flat, starts = self.worked_off(chunks, laid, some, np.zeros(len(some), np.uint64), 0, offered)
+            flats.append(flat)
+            sizes.append(np.diff(starts))
+            if offered:
+                of = np.concatenate([o for o, _ in offered])
+                wheres.append(np.concatenate([w for _, w in offered])[np.argsort(of, kind="stable")])
+                many.append(np.bincount(of, minlength=len(some)))
+            elif limit:
+                many.append(np.zeros(len(some), np.int64))
+        size = np.concatenate([np.zeros(0, np.int64), *sizes])
+        begin, size = (np.cumsum(size) - size)[which], size[which]
         if limit and len(which):
-            of = np.concatenate([o for o, _ in offered]) if offered else np.zeros(0, np.int64)
-            where = np.concatenate([w for _, w in offered])[np.argsort(of, kind="stable")] if offered else np.zeros(0, np.uint64)
-            n = np.bincount(of, minlength=len(chunks))
-            first = np.cumsum(n) - n
-            skipped = np.zeros(len(which), bool)
-            for part in np.array_split(np.arange(len(which)), int(n[which].sum()) // (4 * CELLS) + 1):
+            n, where = np.concatenate(many), np.concatenate([np.zeros(0, np.uint64), *wheres])
+            first, total, again = np.cumsum(n) - n, sum(map(len, flats)), []
+            del wheres
+            for part in np.array_split(np.arange(len(which)), int(n[which].sum()) // CELLS + 1):
                 each = n[which[part]]
                 hit = mixed(where[spread(first[which[part]], each)] ^ np.repeat(keys[part], each)) < np.uint64(limit)
                 ends = np.cumsum(each)
-                total = np.r_[0, np.cumsum(hit)]
-                skipped[part] = total[ends] > total[ends - each]
-            again = np.flatnonzero(skipped)
-            more, starts = self.worked_off(chunks, which[again], keys[again], limit)
-            begin[again], size[again] = len(flat) + starts[:-1], np.diff(starts)
-            flat = np.concatenate([flat, more])
-        return flat, begin, size
+                hits = np.r_[0, np.cumsum(hit)]
+                again.append(part[hits[ends] > hits[ends - each]])
+            again = np.concatenate(again)
+            for part in np.array_split(again, len(again) // AGAIN + 1):
+                more, starts = self.worked_off(chunks, laid, which[part], keys[part], limit)
+                begin[part], size[part] = total + starts[:-1], np.diff(starts)
+                flats.append(more)
+                total += len(more)
+        return np.concatenate([np.zeros(0, np.int32), *flats]), begin, size
 
     def encode(self, texts: list[str | None], doc_keys: list[int], seed: int = SEED, alpha: float = ALPHA) -> list[np.ndarray]:
         """Piece ids of each text."""
@@ -320,15 +343,17 @@ class PieceCoder:
 
     def together(self, group: list[tuple[str, int]], seed: int, alpha: float) -> list[np.ndarray]:
         number = Numbers()
-        lists = [np.array([*map(number.__getitem__, CHUNK.findall(" " + t))] if t else [], dtype=np.int64) for t, _ in group]
+        which = [np.fromiter(map(number.__getitem__, CHUNK.findall(" " + t) if t else ()), np.int32) for t, _ in group]
         if not number:
             return [np.zeros(0, np.int32) for _ in group]
-        keys = np.concatenate([self.keys_of(len(found), d, seed) for found, (_, d) in zip(lists, group, strict=True)])
-        flat, begin, size = self.segment(list(number), np.concatenate(lists), keys, alpha)
+        many = [*map(len, which)]
+        which = np.concatenate(which)
+        keys = np.concatenate([self.keys_of(n, d, seed) for n, (_, d) in zip(many, group, strict=True)])
+        flat, begin, size = self.segment(list(number), which, keys, alpha)
         out, at = [], 0
-        for found in lists:
-            out.append(flat[spread(begin[at : at + len(found)], size[at : at + len(found)])])
-            at += len(found)
+        for n in many:
+            out.append(flat[spread(begin[at : at + n], size[at : at + n])])
+            at += n
         return out
 
     def keys_of(self, n: int, doc_key: int, seed: int) -> np.ndarray:

@@ -376,6 +376,21 @@ def test_pieces_are_encoded_in_little_memory():
     assert most < 64e6
 
 
+def test_distinct_chunks_are_segmented_once(monkeypatch):
+    c, rng = pieces.coder(vocabulary("piece_bpe_32k.model")), np.random.default_rng(2)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 12))) for _ in range(2000)]
+    texts = [" ".join(rng.choice(words, 1000)) for _ in range(100)]
+    plain, agendas = [], c.agendas
+
+    def counted(ids, length, key, limit, *more):
+        plain.append(len(ids) if limit == 0 else 0)
+        return agendas(ids, length, key, limit, *more)
+
+    monkeypatch.setattr(c, "agendas", counted)
+    c.encode(texts, list(range(len(texts))))
+    assert sum(plain) == len({x for t in texts for x in pieces.CHUNK.findall(" " + t)})
+
+
 def test_pieces_without_dropout_are_the_librarys():
     import sentencepiece
 
